@@ -5,9 +5,9 @@ copies cost one row each and are never paired. Classes are linked when the Jacca
 
 Two sets that are similar enough differ in few shingles. Tokens are hashed into more groups than that, so some group
 holds the same shingles in both: classes that share a group's content (in the same size band) are candidates, found
-by one equi-join key per group, and candidates are gathered into clusters. (Groups that happen to be empty agree
-without meaning; there are two groups to spare for them, and classes with more empty ones use these too, so that no
-pair is lost.) Within a cluster the count-vector R-tree does the join: group counts are points, a node's corner of
+by one equi-join key per group, and candidates are gathered into clusters. Groups that happen to be empty agree
+without meaning; there are groups to spare for them, and classes with more empty ones use these too, so that no pair
+is lost. Small sets are dealt by their first shingles in hash order, some of which similar sets share. Within a cluster the count-vector R-tree does the join: group counts are points, a node's corner of
 maxima bounds the overlap of all below it by summed coordinate minima, node pairs that cannot reach the needed
 overlap are skipped, and surviving pairs are verified on the whole sets. A pair whose classes are already connected
 need not be verified. Large clusters are cut into blocks of bounded size, sorted by set size, and block pairs that
@@ -20,6 +20,7 @@ ids are null. An empty table gives an empty table. Sets are compared by 64-bit h
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from docloom.llm.components import connected_components
 
 #: Size bands grow by this factor.
 BAND = 1.45
-SPARE_GROUPS = 2
+#: Sets of fewer shingles are too small for groups: they are dealt by the shingles themselves.
+SMALL = 32
 DIMENSIONS = 64
 LEAF = 32
 #: Shingles in a block of a large cluster (or one set, if it has more).
@@ -68,22 +70,37 @@ class Plan:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        # sets of n shingles or more differ in at most n * (den - num) / num shingles from a larger similar one
-        edges = [max(2, -(-num // max(1, den - num)))]
+        edges = [SMALL]
         while edges[-1] < 1 << 40:
-            edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
+            edges.append(int(edges[-1] * BAND))
         self.edges = np.array(edges)
-
-    def groups(self, band: int) -> int:
-        return int((self.edges[band + 1] - 1) * (self.den - self.num) // self.num) + 1 + SPARE_GROUPS
+        self._groups: dict[int, tuple[int, int]] = {}
+
+    def differing(self, n: int) -> int:
+        """Most shingles in which a set of n and a similar one of as many or more can differ."""
+        return n * (self.den - self.num) // self.num
+
+    def groups(self, band: int) -> tuple[int, int]:
+        """Groups of a band, and how many of them are to spare for empty ones."""
+        if band not in self._groups:
+            least, low = self.differing(int(self.edges[band + 1]) - 1) + 1, int(self.edges[band])
+            spare = 1
+            while spare < least:
+                empty = (least + spare) * math.exp(-low / (least + spare))
+                if spare >= empty + 2.5 * math.sqrt(empty):
+                    break
+                spare += 1
+            self._groups[band] = least + spare, spare
+        return self._groups[band]
 
     def bands(self, n: int) -> list[int]:
-        """The band a set of n shingles is in, and the one below if a similar set could be there."""
+        """The band a set of n shingles is in, and those below in which a similar set could be."""
         own = int(np.searchsorted(self.edges, n, "right")) - 1
-        if own < 0:
-            return []
-        below = own > 0 and self.den * (self.edges[own] - 1) >= self.num * n
-        return [own, own - 1] if below else [own]
+        return [b for b in range(own, -1, -1) if b == own or self.den * (int(self.edges[b + 1]) - 1) >= self.num * n]
+
+    def has_small(self, n: int) -> bool:
+        """Whether a set of n shingles is small or could be similar to a small one."""
+        return self.num * n <= self.den * (SMALL - 1)
 
     def needed(self, total):
         """Least overlap of two sets with `total` shingles together."""
@@ -91,15 +108,21 @@ class Plan:
 
 
 def signatures(own: np.ndarray, plan: Plan) -> np.ndarray:
-    """Keys that two similar sets have at least one of in common."""
-    mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(own, 42), dtype=np.uint64)))
+    """Keys that two similar sets, if not equal, have at least one of in common."""
+    n = len(own)
+    if not plan.differing(n):
+        return np.zeros(0, np.uint64)
     out = []
-    for band in plan.bands(len(own)):
-        p = plan.groups(band)
+    if plan.has_small(n):
+        # small sets: those shingles of each that come first by hash, as many as cannot all be missing in the other
+        out.append(mix(own[: n + (-plan.num * n // plan.den) + 1], 48))
+    mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(own, 42), dtype=np.uint64)))
+    for band in plan.bands(n):
+        p, spare = plan.groups(band)
         cut = np.searchsorted(own, _group_starts(p))
         content = mixed[cut[1:]] - mixed[cut[:-1]]
         full = cut[1:] > cut[:-1]
-        if p - full.sum() > SPARE_GROUPS:
+        if p - full.sum() > spare:
             full[:] = True
         out.append(mix(content + _group_names(band, p), 44)[full])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, ordinal_quality, quality_rules, suffix_tree_lm
+from docloom.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, ordinal_quality, quality_rules, suffix_dedup, suffix_tree_lm
 from docloom.llm.common import remainder
 
 
@@ -57,6 +57,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), doc_id(), length=200)
+    return found.select("doc_id", "n_bytes", suffix_dedup.n_removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), doc_id(), min_docs=10, min_chars=1, keep="none").select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
 
@@ -69,5 +74,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ordinal_quality, op2_language_id, op3_quality_rules, op4_decontaminate, op5_jaccard_join, op6_mixing, op8_line_dedup, op10_suffix_tree)
+    f.__name__: f for f in (op1_ordinal_quality, op2_language_id, op3_quality_rules, op4_decontaminate, op5_jaccard_join, op6_mixing, op7_suffix_dedup, op8_line_dedup, op10_suffix_tree)
 }
