@@ -242,11 +242,12 @@ def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def similar_documents(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """id, n_shingles, class_key (documents with equal sets), component_id (smallest id connected by links)."""
+    """id, text_hash, n_shingles, class_key (documents with equal sets), root (class that names the component), component_id (smallest id connected by links)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     plan = Plan(num, den)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +263,9 @@ def similar_documents(docs: DataFrame, num: int = 80, den: int = 100, size: int
                 at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 sigs = pa.ListArray.from_arrays(pa.array(at), as_i64(np.concatenate(found)))
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(n), pa.array(keys.view(np.int64), mask=n == 0), sigs], ["id", "n", "key", "sigs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), batch.column(2).slice(chunk.first, len(chunk)), pa.array(n), pa.array(keys.view(np.int64), mask=n == 0), sigs], ["id", "text_hash", "n", "key", "sigs"])
 
-    described = scratch.save(rows.mapInArrow(describe, f"id {kind}, n long, key long, sigs array<long>"), "described")
+    described = scratch.save(rows.mapInArrow(describe, f"id {kind}, text_hash long, n long, key long, sigs array<long>"), "described")
     signed = described.where("key is not null").select("key", F.explode("sigs").alias("sig"))
     first = F.first("key").over(Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     candidates = signed.withColumn("first", first).where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
@@ -273,9 +274,9 @@ def similar_documents(docs: DataFrame, num: int = 80, den: int = 100, size: int
     final = scratch.save(connected_components(linked, scratch, "links"), "components")
     classes = described.where("key is not null").groupBy("key").agg(F.min("id").alias("least"))
     joined = classes.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    out = described.select("id", "n", "key").join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.coalesce("component_id", "id").alias("component_id"))
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "root", "component_id")
+    out = described.select("id", "text_hash", "n", "key").join(named, "key", "left")
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), "root", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _cluster_links(rows: DataFrame, clusters: DataFrame, described: DataFrame, plan: Plan, size: int, scratch: Scratch) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, ordinal_quality, quality_rules, suffix_dedup, suffix_tree_lm
+from docloom.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, ordinal_quality, quality_rules, suffix_dedup, suffix_tree_lm
 from docloom.llm.common import remainder
 
 
@@ -66,6 +66,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), doc_id(), min_docs=10, min_chars=1, keep="none").select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license (the best covered template, if any), coverage, licenses (all found, comma-joined)."""
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"), doc_id())
+    return found.select("doc_id", "license", "coverage", F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"))
+
+
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 10) == 0
@@ -74,5 +80,5 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ordinal_quality, op2_language_id, op3_quality_rules, op4_decontaminate, op5_jaccard_join, op6_mixing, op7_suffix_dedup, op8_line_dedup, op10_suffix_tree)
+    f.__name__: f for f in (op1_ordinal_quality, op2_language_id, op3_quality_rules, op4_decontaminate, op5_jaccard_join, op6_mixing, op7_suffix_dedup, op8_line_dedup, op9_license_scan, op10_suffix_tree)
 }
