@@ -67,7 +67,7 @@ class Normalizer:
 
     def column(self, v: Column) -> Column:
         """The normalised VARIANT of a VARIANT column; absent stays absent unless there is a default."""
-        return self._node(self.schema, v, Place(self.schema))
+        return self._node(self.schema, v, Place.start(self.schema))
 
     def normalize(self, df: DataFrame, column: str, into: str | None = None) -> DataFrame:
         return df.withColumn(into or column, self.column(F.col(f"`{column}`")))
@@ -77,6 +77,9 @@ class Normalizer:
             schema, place = follow(schema, place, self.options)
         except TooDeep:
             return v
+        if place.again:
+            inner = Place(place.document, place.entered, place.is_root)
+            return F.when(v.isNull(), v).otherwise(self._node(schema, v, inner))
         missing = lambda x: x.isNull() | F.is_variant_null(x)
         if "default" in schema:
             v = F.when(missing(v), constant(schema["default"])).otherwise(v)

@@ -335,7 +335,7 @@ class Validator:
 
     def piece(self, v: Value, path: list[Column] | None = None) -> Piece:
         self._messages_now: dict | None = None
-        return self._node(self.schema, v, Place(self.schema), path or [], None, None)
+        return self._node(self.schema, v, Place.start(self.schema), path or [], None, None)
 
     def branch(self, schema: dict, v: Value, ctx: Context, path: list[Column] | None = None) -> Piece:
         """A schema of its own at the same value: a combinator's branch or a dependency."""
@@ -366,7 +366,7 @@ class Validator:
         pieces += self._children(schema, v, place.below(), path)
         if schema.get("messages"):
             self._messages_now = None
-        return Piece.join(pieces)
+        return Piece.join(pieces).unless(v.absent) if place.again else Piece.join(pieces)
 
     def _children(self, schema: dict, v: Value, place: Place, path: list[Column]) -> list[Piece]:
         kids = children(schema, self.options)

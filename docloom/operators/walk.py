@@ -91,7 +91,8 @@ class Walk:
         parts = (one(attr) if attr else []) + one("start") + one(None)
         parts += self._children(schema, v, place.below(), path, schema_only)
         parts += one("end") + (one(f"{attr}-end") if attr else [])
-        return F.concat(*parts) if parts else F.expr(NONE)
+        made = F.concat(*parts) if parts else F.expr(NONE)
+        return F.when(v.absent, F.expr(NONE)).otherwise(made) if place.again and v is not None else made
 
     def _children(self, schema: dict, v: Value | None, place: Place, path: list[Column], schema_only: bool) -> list[Column]:
         kids = children(schema, self.options)
@@ -125,7 +126,7 @@ class Walk:
 
     def visits_of(self, v: Value) -> Column:
         """All visits of a document, in order."""
-        return self._node(self.schema, v, Place(self.schema), [], None, None, None, False)
+        return self._node(self.schema, v, Place.start(self.schema), [], None, None, None, False)
 
     def visits(self, df: DataFrame, column: str | None, keys: list[str]) -> DataFrame:
         """The visit table: `keys`, seq, and the visit's fields, a row each."""
@@ -142,5 +143,5 @@ class Walk:
 
     def schema_visits(self, spark: SparkSession) -> DataFrame:
         """The walk without a document: list items once, at path `[]`."""
-        made = self._node(self.schema, None, Place(self.schema), [], None, None, None, True)
+        made = self._node(self.schema, None, Place.start(self.schema), [], None, None, None, True)
         return spark.range(1).select(F.posexplode(made).alias("seq", "visit")).select("seq", "visit.*")

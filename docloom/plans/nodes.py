@@ -34,6 +34,12 @@ class Place:
     document: dict
     entered: tuple[tuple[int, int], ...] = ()
     is_root: bool = True
+    #: Whether the node was entered before, above itself; such a node is walked only where there is a value.
+    again: bool = False
+
+    @staticmethod
+    def start(schema: dict) -> Place:
+        return Place(schema, ((id(schema), 1),))
 
     def below(self) -> Place:
         return Place(self.document, self.entered, False)
@@ -51,9 +57,9 @@ def follow(schema: dict, place: Place, options: Options) -> tuple[dict, Place]:
         entered = dict(place.entered)
         entered[id(schema)] = entered.get(id(schema), 0) + 1
         seen += 1
-        if entered[id(schema)] > options.max_depth or seen > 64:
+        if entered[id(schema)] > options.max_depth + 1 or seen > 64:
             raise TooDeep
-        place = Place(document, tuple(entered.items()), place.is_root)
+        place = Place(document, tuple(entered.items()), place.is_root, entered[id(schema)] > 1)
     return schema, place
 
 
