@@ -27,5 +27,10 @@ def new_validator(schema: dict, factory: Callable[..., Validator] = Validator, *
     return factory(schema, **options)
 
 
+def source_of(df) -> str:
+    """The physical plan that a compiled operator became, generated code included."""
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+
+
 def new_normalizer(schema: dict) -> Normalizer:
     return Normalizer(schema)

@@ -225,12 +225,19 @@ def _multiple(validator: Validator, schema: dict, v: Value, ctx: Context):
     return ctx.when(v.is_type("number") & bad, "multipleOf", v, m)
 
 
+def _comparable(v: Value) -> Column:
+    """The number that a comparison with a number uses; NULL where it would be none."""
+    text = F.trim(v.text())
+    number = F.when(v.is_type("number"), v.number()).when(v.is_type("string"), F.when(text == "", 0.0).otherwise(text.try_cast("double")))
+    return number.when(v.is_type("boolean"), F.when(v.json() == "true", 1.0).otherwise(0.0)).when(v.is_type("null"), 0.0)
+
+
 def _bound(keyword: str, upper: bool) -> Rule:
     def rule(validator: Validator, schema: dict, v: Value, ctx: Context):
         strict = bool(schema.get("exclusive" + keyword.capitalize()))
-        n, x = v.number(), _literal(schema[keyword])
+        n, x = _comparable(v) if validator.options.js_coercion else v.number(), _literal(schema[keyword])
         bad = (n >= x if strict else n > x) if upper else (n <= x if strict else n < x)
-        return ctx.when(v.is_type("number") & bad, keyword + (".exclusive" if strict else ""), v, schema[keyword])
+        return ctx.when(bad if validator.options.js_coercion else v.is_type("number") & bad, keyword + (".exclusive" if strict else ""), v, schema[keyword])
 
     return rule
 
@@ -302,6 +309,8 @@ class Validator:
     gettext: Callable[[str], str] | None = None
     str_length: str | Callable[[Column], Column] = "utf16"
     rules: dict[str, Rule] = field(default_factory=dict)
+    #: Where the documents stand in a larger one; all error paths start with it.
+    path: tuple[str, ...] = ()
 
     def __post_init__(self):
         self.formats = DEFAULT_FORMATS | self.formats
@@ -407,13 +416,16 @@ class Validator:
 
     # -- on data
 
+    def start_path(self) -> list[Column]:
+        return [F.lit(p) for p in self.path]
+
     def is_valid(self, df: DataFrame, column: str | None = None, null_as: str = "missing") -> Column:
         """A boolean column: whether the document (a column, or with None the row) has no error."""
         return ~self.piece(value_of(df, column, null_as)).bad
 
     def result(self, df: DataFrame, column: str | None = None, null_as: str = "missing") -> Column:
         """struct<valid, errors>."""
-        p = self.piece(value_of(df, column, null_as))
+        p = self.piece(value_of(df, column, null_as), self.start_path())
         return F.struct((~p.bad).alias("valid"), p.errors.alias("errors"))
 
     def validate(self, df: DataFrame, column: str | None = None, into: str = "result", null_as: str = "missing") -> DataFrame:

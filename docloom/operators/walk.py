@@ -55,6 +55,8 @@ class Walk:
     options: Options = field(default_factory=Options)
     begin: str = ""
     end: Callable[[Column], Column] | None = None
+    #: Where the documents stand in a larger one; all visit paths start with it.
+    path: tuple[str, ...] = ()
 
     def __post_init__(self):
         self._selectors: list[tuple[Selector, Handler]] = [(parse(k), h) for k, h in self.selectors.items() if is_selector(k)]
@@ -126,7 +128,7 @@ class Walk:
 
     def visits_of(self, v: Value) -> Column:
         """All visits of a document, in order."""
-        return self._node(self.schema, v, Place.start(self.schema), [], None, None, None, False)
+        return self._node(self.schema, v, Place.start(self.schema), [F.lit(p) for p in self.path], None, None, None, False)
 
     def visits(self, df: DataFrame, column: str | None, keys: list[str]) -> DataFrame:
         """The visit table: `keys`, seq, and the visit's fields, a row each."""
@@ -143,5 +145,5 @@ class Walk:
 
     def schema_visits(self, spark: SparkSession) -> DataFrame:
         """The walk without a document: list items once, at path `[]`."""
-        made = self._node(self.schema, None, Place.start(self.schema), [], None, None, None, True)
+        made = self._node(self.schema, None, Place.start(self.schema), [F.lit(p) for p in self.path], None, None, None, True)
         return spark.range(1).select(F.posexplode(made).alias("seq", "visit")).select("seq", "visit.*")

@@ -23,6 +23,8 @@ class Options:
     ignore_schema_only: bool = False
     loader: Callable[[str], dict] | None = None
     strict_draft4: bool = False
+    #: Bounds also apply to numeric strings, booleans (1, 0) and null (0), as ECMAScript's comparisons do.
+    js_coercion: bool = False
     #: Levels of a recursive reference that are unrolled; content below is reported, never passed silently.
     max_depth: int = MAX_DEPTH
 

@@ -86,6 +86,21 @@ def test_quirks(spark):
     assert [e["message"] for e in results(spark, deep, [{"a": 1, "b": 1, "c": 1}])[0]] == ["outer", "shall be a string"]
 
 
+def test_js_coercion_and_start_path(spark):
+    bound = {"minimum": 3}
+    assert codes(spark, bound, ["2", "4", "x", None, True, "", [1]]) == [[]] * 7
+    low = ["minimum"]
+    assert codes(spark, bound, ["2", "4", "x", None, True, "", [1]], options=Options(js_coercion=True)) == [low, [], [], low, low, low, []]
+    assert paths(spark, {"properties": {"a": {"type": "string"}}}, [{"a": 1}], path=("orders", "7")) == [[["orders", "7", "a"]]]
+
+
+def test_source_of(spark):
+    from docloom import source_of
+
+    df = spark.range(3).selectExpr("id", "cast(id as double) q")
+    assert "WholeStageCodegen" in source_of(df.where(Validator({"properties": {"q": {"maximum": 1}}}).is_valid(df))) or "Generated code" in source_of(df)
+
+
 def test_compile_errors():
     import pyspark.sql.functions as functions
 
