@@ -28,9 +28,13 @@ from docloom.llm.common import SPACED, Words, chunks, mix, prefix_hash, segment_
 
 BITS = 20
 MAX_RATED = 12_000
-#: Features seen in fewer rated texts than this keep the weight 0.
+#: Features keep the weight 0 that fewer rated texts have than this ...
 MIN_TEXTS = 4
+#: ... or whose share of every grade is within so many standard deviations of that grade's share of all texts.
+MIN_DEVIATION = 4.0
+#: Passes over the rated rows: this many, or more where there are few rows.
 EPOCHS = 8
+ROW_VISITS, MOST_EPOCHS = 64_000, 40
 RATE = 0.12
 SHARE_SCALE = 20.0
 
@@ -84,6 +88,18 @@ class OrdinalModel:
         return self.grades[0] + tails @ np.diff(self.grades) if len(self.thresholds) else np.full(len(tails), self.grades[0])
 
 
+def telling_features(ids: np.ndarray, begin: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Which features the grades differ in; the others would only add noise, most of all in long texts."""
+    own = np.repeat(step, np.diff(begin))
+    n = np.bincount(ids, minlength=1 << BITS)
+    out = np.zeros(1 << BITS, bool)
+    for k in np.unique(step):
+        share = (step == k).mean()
+        off = np.abs(np.bincount(ids[own == k], minlength=1 << BITS) - share * n)
+        out |= off > MIN_DEVIATION * np.sqrt(share * (1 - share) * n)
+    return out & (n >= MIN_TEXTS)
+
+
 def fit(ids: np.ndarray, values: np.ndarray, begin: np.ndarray, grade: np.ndarray) -> OrdinalModel:
     """Stochastic gradient steps with a rate of its own for every weight; same input, same model."""
     grades = np.unique(grade)
@@ -92,14 +108,15 @@ def fit(ids: np.ndarray, values: np.ndarray, begin: np.ndarray, grade: np.ndarra
     weights, theta = np.zeros(1 << BITS), np.zeros(0)
     if k < 1:
         return OrdinalModel(weights.astype(np.float32), theta, tuple(grades.tolist()))
-    seen = np.bincount(ids, minlength=1 << BITS)
-    values = np.where(seen[ids] >= MIN_TEXTS, values, 0.0)
+    telling = telling_features(ids, begin, step)[ids]
+    begin = np.concatenate(([0], np.cumsum(telling)))[begin]
+    ids, values = ids[telling], values[telling]
     tail = np.array([(step >= i + 1).mean() for i in range(k)])
     theta = np.log((1 - tail) / tail)
     gap = np.log(np.maximum(np.diff(theta), 1e-3))
     base, squares = theta[0], np.full(1 << BITS, 1e-2)
     rng = np.random.default_rng(0)
-    for _ in range(EPOCHS):
+    for _ in range(min(MOST_EPOCHS, max(EPOCHS, ROW_VISITS // len(step)))):
         order = rng.permutation(len(step))
         for at in range(0, len(order), 32):
             rows = order[at : at + 32]
