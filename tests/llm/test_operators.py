@@ -403,8 +403,8 @@ def test_suffix_tree(spark, empty):
     c = Counter(w for _, t in rows_of(train) for w in [*tokens(t), None])
     n, v = sum(c.values()), len(c)
     model = suffix_tree_lm.train(train, p_min=0.002, gamma=0.01, g_least=5.0)
-    for size in (1 << 20, 100):  # one vocabulary block, and many
-        got = suffix_tree_lm.score(docs, model, ids() | {"text": F.col("text"), "held_out": held}, block_bytes=size).collect()
+    for size, known in ((1 << 20, None), (100, None), (1 << 20, ~held), (100, ~held)):  # one vocabulary block, and many
+        got = suffix_tree_lm.score(docs, model, ids() | {"text": F.col("text"), "held_out": held}, block_bytes=size, trained=known).collect()
         assert tally((r["doc_id"], r["text"]) for r in got) == tally(rows_of(docs))
         for r in got:
             own = [*tokens(r["text"]), None]
