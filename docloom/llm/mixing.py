@@ -22,7 +22,7 @@ from docloom.llm.common import Scratch, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-ROWS_PER_BIN = 20_000
+ROWS_PER_BIN = 500
 MAX_BROADCAST_SOURCES = 200_000
 
 
