@@ -46,6 +46,35 @@ class Cursor:
 Handler = Callable[[dict, "Value | None", Cursor], "Output | Column | str | None"]
 
 
+class _Rows:
+    """Visits as an array of structs."""
+
+    none = staticmethod(lambda: F.expr(NONE))
+    join = staticmethod(lambda parts: F.concat(*parts))
+    flat = staticmethod(lambda made: F.flatten(made))
+
+    @staticmethod
+    def one(selector: Selector, phase: str | None, schema: dict, v: Value | None, cursor: Cursor, text: Column | None) -> Column:
+        shown = {k: x for k, x in schema.items() if not callable(x)}
+        path = F.array(*cursor.path) if cursor.path else F.expr("cast(array() as array<string>)")
+        null = F.lit(None).cast("string")
+        fields = {"selector": F.lit(selector.text), "phase": F.lit(phase or ""), "path": path, "property": null if cursor.property is None else cursor.property}
+        fields |= {"value": null if v is None else v.json(), "schema": F.lit(json.dumps(shown, sort_keys=True, default=str)), "output": null if text is None else text.cast("string")}
+        return F.array(F.struct(*[c.alias(k) for k, c in fields.items()]).cast(VISIT))
+
+
+class _Text:
+    """Only the outputs, as one text."""
+
+    none = staticmethod(lambda: F.lit(""))
+    join = staticmethod(lambda parts: F.concat(*parts))
+    flat = staticmethod(lambda made: F.array_join(made, ""))
+
+    @staticmethod
+    def one(selector: Selector, phase: str | None, schema: dict, v: Value | None, cursor: Cursor, text: Column | None) -> Column | None:
+        return None if text is None else F.coalesce(text.cast("string"), F.lit(""))
+
+
 @dataclass
 class Walk:
     """selectors: selector text -> handler, tried in order; other keys are ignored. begin and end wrap the fold."""
@@ -63,43 +92,38 @@ class Walk:
 
     # -- compiling
 
-    def _phase(self, schema: dict, v: Value | None, cursor: Cursor, phase: str | None) -> list[Column]:
+    def _phase(self, schema: dict, v: Value | None, cursor: Cursor, phase: str | None, form: type) -> list[Column]:
         out = []
         for selector, handler in self._selectors:
             if not selector.matches(schema, phase):
                 continue
             got = handler(schema, v, cursor)
             got = got if isinstance(got, Output) else Output(F.lit(got) if isinstance(got, str) else got)
-            shown = {k: x for k, x in schema.items() if not callable(x)}
-            path = F.array(*cursor.path) if cursor.path else F.expr("cast(array() as array<string>)")
-            out.append(
-                F.struct(
-                    F.lit(selector.text).alias("selector"), F.lit(phase or "").alias("phase"), path.alias("path"), (F.lit(None).cast("string") if cursor.property is None else cursor.property).alias("property"),
-                    (F.lit(None).cast("string") if v is None else v.json()).alias("value"), F.lit(json.dumps(shown, sort_keys=True, default=str)).alias("schema"), (F.lit(None).cast("string") if got.text is None else got.text.cast("string")).alias("output"),
-                ).cast(VISIT)
-            )
+            made = form.one(selector, phase, schema, v, cursor, got.text)
+            if made is not None:
+                out.append(made)
             if got.stop:
                 break
         return out
 
-    def _node(self, schema: dict, v: Value | None, place: Place, path: list[Column], prop: Column | None, parent: Value | None, attr: str | None, schema_only: bool) -> Column:
+    def _node(self, schema: dict, v: Value | None, place: Place, path: list[Column], prop: Column | None, parent: Value | None, attr: str | None, schema_only: bool, form: type) -> Column:
         try:
             schema, place = follow(schema, place, self.options)
         except TooDeep:
-            return F.expr(NONE)
+            return form.none()
         branches = {k: [Walk(s, self.selectors, self.options) for s in (schema[k] if isinstance(schema[k], list) else [schema[k]])] for k in ("oneOf", "anyOf", "allOf", "not") if schema.get(k)}
         cursor = Cursor(path, prop, parent, branches)
-        one = lambda phase: [F.array(x) for x in self._phase(schema, v, cursor, phase)]
+        one = lambda phase: self._phase(schema, v, cursor, phase, form)
         parts = (one(attr) if attr else []) + one("start") + one(None)
-        parts += self._children(schema, v, place.below(), path, schema_only)
+        parts += self._children(schema, v, place.below(), path, schema_only, form)
         parts += one("end") + (one(f"{attr}-end") if attr else [])
-        made = F.concat(*parts) if parts else F.expr(NONE)
-        return F.when(v.absent, F.expr(NONE)).otherwise(made) if place.again and v is not None else made
+        made = form.join(parts) if parts else form.none()
+        return F.when(v.absent, form.none()).otherwise(made) if place.again and v is not None else made
 
-    def _children(self, schema: dict, v: Value | None, place: Place, path: list[Column], schema_only: bool) -> list[Column]:
+    def _children(self, schema: dict, v: Value | None, place: Place, path: list[Column], schema_only: bool, form: type) -> list[Column]:
         kids = children(schema, self.options)
-        go = lambda s, x, key, attr=None: self._node(s, x, place, [*path, key], key, v, attr, schema_only)
-        flat = lambda made: [] if made is None else [F.coalesce(F.flatten(F.filter(made, lambda e: e.isNotNull())), F.expr(NONE))]
+        go = lambda s, x, key, attr=None: self._node(s, x, place, [*path, key], key, v, attr, schema_only, form)
+        flat = lambda made: [] if made is None else [F.coalesce(form.flat(F.filter(made, lambda e: e.isNotNull())), form.none())]
         out: list[Column] = []
         if kids.items is not None:
             if schema_only:
@@ -117,9 +141,9 @@ class Walk:
 
             def member(x: Value, key: Column) -> Column:
                 hits = [(key.rlike(to_java(p)), s) for p, s in kids.patterns]
-                parts = [F.when(hit, go(s, x, key)).otherwise(F.expr(NONE)) for hit, s in hits]
+                parts = [F.when(hit, go(s, x, key)).otherwise(form.none()) for hit, s in hits]
                 spared = any_of([key.isin(known)] * bool(known) + [hit for hit, _ in hits])
-                return F.concat(*parts, F.when(spared, F.expr(NONE)).otherwise(go(kids.more_properties, x, key)))
+                return form.join([*parts, F.when(spared, form.none()).otherwise(go(kids.more_properties, x, key))])
 
             out += flat(v.each_member(member, "transform"))
         return out
@@ -128,22 +152,23 @@ class Walk:
 
     def visits_of(self, v: Value) -> Column:
         """All visits of a document, in order."""
-        return self._node(self.schema, v, Place.start(self.schema), [F.lit(p) for p in self.path], None, None, None, False)
+        return self._node(self.schema, v, Place.start(self.schema), [F.lit(p) for p in self.path], None, None, None, False, _Rows)
 
     def visits(self, df: DataFrame, column: str | None, keys: list[str]) -> DataFrame:
         """The visit table: `keys`, seq, and the visit's fields, a row each."""
         made = df.select(*keys, F.posexplode(self.visits_of(value_of(df, column))).alias("seq", "visit"))
         return made.select(*keys, "seq", "visit.*")
 
-    def fold_of(self, visits: Column) -> Column:
-        text = F.concat(F.lit(self.begin), F.array_join(F.transform(visits, lambda x: F.coalesce(x["output"], F.lit(""))), ""))
+    def fold_of(self, v: Value) -> Column:
+        text = self._node(self.schema, v, Place.start(self.schema), [F.lit(p) for p in self.path], None, None, None, False, _Text)
+        text = F.concat(F.lit(self.begin), text) if self.begin else text
         return self.end(text) if self.end else text
 
     def fold(self, df: DataFrame, column: str | None = None) -> Column:
         """The outputs of a document's visits joined, `begin` first, `end` applied."""
-        return self.fold_of(self.visits_of(value_of(df, column)))
+        return self.fold_of(value_of(df, column))
 
     def schema_visits(self, spark: SparkSession) -> DataFrame:
         """The walk without a document: list items once, at path `[]`."""
-        made = self._node(self.schema, None, Place.start(self.schema), [F.lit(p) for p in self.path], None, None, None, True)
+        made = self._node(self.schema, None, Place.start(self.schema), [F.lit(p) for p in self.path], None, None, None, True, _Rows)
         return spark.range(1).select(F.posexplode(made).alias("seq", "visit")).select("seq", "visit.*")
