@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import SPACED, Words, chunks, mix, prefix_hash, segment_sum, slice_hash
 
 BITS = 20
-MAX_RATED = 12_000
+MAX_RATED = 8_000
 #: Features keep the weight 0 that fewer rated texts have than this ...
 MIN_TEXTS = 4
 #: ... or whose share of every grade is within so many standard deviations of that grade's share of all texts.
@@ -90,7 +90,7 @@ class OrdinalModel:
 
 def telling_features(ids: np.ndarray, begin: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Which features the grades differ in; the others would only add noise, most of all in long texts."""
-    own = np.repeat(step, np.diff(begin))
+    own = np.repeat(step.astype(np.int8), np.diff(begin))
     n = np.bincount(ids, minlength=1 << BITS)
     out = np.zeros(1 << BITS, bool)
     for k in np.unique(step):
@@ -169,11 +169,19 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc
     if not table.num_rows:
         return None
     table = table.sort_by([("id", "ascending"), ("grade", "ascending")])
-    raw = table.column("ids").to_pylist()
-    ids = np.frombuffer(b"".join(raw), np.int32)
-    values = np.frombuffer(b"".join(table.column("vals").to_pylist()), np.float32)
-    begin = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))
-    return fit(ids, values, begin, table.column("grade").to_numpy())
+    grade = table.column("grade").to_numpy()
+    size, ids = _flat(table.column("ids"), np.int32)
+    _, values = _flat(table.column("vals"), np.float32)
+    del table
+    return fit(ids, values, np.concatenate(([0], np.cumsum(size // 4))), grade)
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Each binary value's length in bytes, and all of them side by side, without copies of single ones."""
+    array = column.combine_chunks()
+    _, offsets, data = array.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1]
+    return np.diff(offsets), np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind)
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, keep: dict[str, Column], text_col: str = "text", at_least: float | None = None) -> DataFrame:
