@@ -181,7 +181,8 @@ def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     array = column.combine_chunks()
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1]
-    return np.diff(offsets), np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    raw = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+    return np.diff(offsets), raw[offsets[0] : offsets[-1]].view(kind)
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, keep: dict[str, Column], text_col: str = "text", at_least: float | None = None) -> DataFrame:
