@@ -5,7 +5,8 @@ copies cost one row each and are never paired. Classes are linked when the Jacca
 
 Two sets that are similar enough differ in few shingles. Tokens are hashed into more groups than that, so some group
 holds the same shingles in both: classes that share a group's content (in the same size band) are candidates, found
-by one equi-join key per group, and candidates are gathered into clusters. Groups that happen to be empty agree
+by one equi-join key per group. Those whose count vectors bound their overlap below what is needed are dropped (by an
+R-tree where a key has many), and the others are gathered into clusters. Groups that happen to be empty agree
 without meaning; there are groups to spare for them, and classes with more empty ones use these too, so that no pair
 is lost. Small sets are dealt by their first shingles in hash order, some of which similar sets share. Within a cluster the count-vector R-tree does the join: group counts are points, a node's corner of
 maxima bounds the overlap of all below it by summed coordinate minima, node pairs that cannot reach the needed
@@ -150,16 +151,28 @@ def class_key(own: np.ndarray) -> int:
 # ---------------------------------------------------------------- the R-tree within a block
 
 
+def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
+    """How many of each set's shingles are in each hashed group; a row adds up to the set's size."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    cells = owner * DIMENSIONS + (mix(flat, 47) >> np.uint64(58)).astype(np.int64)
+    return np.bincount(cells, minlength=len(sets) * DIMENSIONS).reshape(len(sets), DIMENSIONS).astype(np.int32)
+
+
+def pack_vector(v: np.ndarray) -> bytes:
+    return v.astype("<u1" if v.max() < 256 else "<i4").tobytes()
+
+
+def unpack_vectors(packed: list[bytes]) -> np.ndarray:
+    return np.array([np.frombuffer(x, "<u1" if len(x) == DIMENSIONS else "<i4") for x in packed], np.int32)
+
+
 class RTree:
     """Points packed into leaves of near sets; each node keeps its corner of maxima and its smallest set size."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), self.n)
-        flat = np.concatenate(sets)
-        self.points = np.bincount(owner * DIMENSIONS + (mix(flat, 47) >> np.uint64(58)).astype(np.int64), minlength=len(sets) * DIMENSIONS).reshape(len(sets), DIMENSIONS).astype(np.int32)
-        self.leaves: list[np.ndarray] = []
-        self.nodes = [self._pack(np.arange(len(sets)))]
+    def __init__(self, points: np.ndarray):
+        self.points, self.n = points, points.sum(axis=1)
+        self.root = self._pack(np.arange(len(points)))
 
     def _pack(self, members: np.ndarray):
         high, least = self.points[members].max(axis=0), int(self.n[members].min())
@@ -174,7 +187,7 @@ class RTree:
 
     def pairs(self, plan: Plan, other: RTree | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of positions, in batches, whose bound reaches the overlap they need; with `other`, across the two."""
-        stack = [(self.nodes[0], (other or self).nodes[0])]
+        stack = [(self.root, (other or self).root)]
         right = other or self
         while stack:
             a, b = stack.pop()
@@ -206,9 +219,9 @@ def links(sets: list[np.ndarray], split: int, plan: Plan) -> list[tuple[int, int
     out: list[tuple[int, int]] = []
     n = np.array([len(s) for s in sets])
     if split:
-        batches = ((i, j + split) for i, j in RTree(sets[:split]).pairs(plan, RTree(sets[split:])))
+        batches = ((i, j + split) for i, j in RTree(count_vectors(sets[:split])).pairs(plan, RTree(count_vectors(sets[split:]))))
     else:
-        batches = RTree(sets).pairs(plan)
+        batches = RTree(count_vectors(sets)).pairs(plan)
     for i, j in batches:
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
@@ -231,6 +244,20 @@ def links(sets: list[np.ndarray], split: int, plan: Plan) -> list[tuple[int, int
     return out
 
 
+def possible_links(points: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
+    """Pairs that the bound leaves possible, as few as connect what all of those do."""
+    if len(points) == 2:
+        return [(0, 1)] if np.minimum(points[0], points[1]).sum() >= plan.needed(int(points.sum())) else []
+    label = np.arange(len(points))
+    out: list[tuple[int, int]] = []
+    for i, j in RTree(points).pairs(plan):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True) if len(np.unique(label[np.concatenate((i, j))])) > 1 else ():
+            if label[a] != label[b]:
+                out.append((a, b))
+                label[label == label[b]] = label[a]
+    return out
+
+
 def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(others)
     at = np.searchsorted(one, flat)
@@ -254,21 +281,52 @@ def similar_documents(docs: DataFrame, num: int = 80, den: int = 100, size: int
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 sets = shingles(chunk, size)
-                keys = np.array([class_key(s) for s in sets], np.uint64)
-                found: list[np.ndarray] = []
-                done: set[int] = set()
-                for key, own in zip(keys.tolist(), sets, strict=True):
-                    found.append(np.zeros(0, np.uint64) if key in done else signatures(own, plan))  # copies in a chunk would repeat them
-                    done.add(key)
-                at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                sigs = pa.ListArray.from_arrays(pa.array(at), as_i64(np.concatenate(found)))
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), batch.column(2).slice(chunk.first, len(chunk)), pa.array(n), pa.array(keys.view(np.int64), mask=n == 0), sigs], ["id", "text_hash", "n", "key", "sigs"])
+                keys = np.array([class_key(s) for s in sets], np.uint64)
+                own = batch.slice(chunk.first, len(chunk))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(n), pa.array(keys.view(np.int64), mask=n == 0), pa.array([pack_vector(v) for v in count_vectors(sets)], pa.binary())], ["id", "text_hash", "n", "key", "vector"])
 
-    described = scratch.save(rows.mapInArrow(describe, f"id {kind}, text_hash long, n long, key long, sigs array<long>"), "described")
-    signed = described.where("key is not null").select("key", F.explode("sigs").alias("sig"))
-    first = F.first("key").over(Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    candidates = signed.withColumn("first", first).where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # copies that a task has signed
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                found: list[np.ndarray] = []
+                keys: list[int] = []
+                for own in shingles(chunk, size):
+                    if len(own) and (key := class_key(own)) not in done:
+                        done.add(key)
+                        found.append(signatures(own, plan))
+                        keys.append(key)
+                if found:
+                    yield pa.RecordBatch.from_arrays([as_i64(np.repeat(np.array(keys, np.uint64), [len(x) for x in found])), as_i64(np.concatenate(found))], ["key", "sig"])
+
+    described = scratch.save(rows.mapInArrow(describe, f"id {kind}, text_hash long, n long, key long, vector binary"), "described")
+    # written nowhere but in its shuffle, as it is the largest table here
+    signed = rows.select("text").mapInArrow(sign, "key long, sig long")
+    order = Window.partitionBy("sig").orderBy("key")
+    near = signed.withColumns({"before": F.lag("key").over(order), "after": F.lead("key").over(order)}).where("before <> key or after <> key").select("sig", "key")
+    vectors = described.where("key is not null").groupBy("key").agg(F.first("vector").alias("vector"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(keys: list[int], packed: list[bytes]) -> list[tuple[int, int]]:
+            return [(keys[i], keys[j]) for i, j in possible_links(unpack_vectors(packed), plan)]
+
+        at, keys, packed, out = None, [], [], []
+        for batch in batches:
+            for sig, key, vector in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if sig != at:
+                    out += done(keys, packed) if len(keys) > 1 else []
+                    at, keys, packed = sig, [], []
+                if not keys or key != keys[-1]:
+                    keys.append(key)
+                    packed.append(vector)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+            out = []
+        out += done(keys, packed) if len(keys) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    blocks = near.join(vectors, "key").select("sig", "key", "vector").repartition("sig").sortWithinPartitions("sig", "key")
+    candidates = blocks.mapInArrow(bound, "a long, b long").distinct()
     clusters = scratch.save(connected_components(candidates, scratch, "candidates"), "clusters")
     linked = _cluster_links(rows, clusters, described, plan, size, scratch)
     final = scratch.save(connected_components(linked, scratch, "links"), "components")
@@ -314,8 +372,10 @@ def _cluster_links(rows: DataFrame, clusters: DataFrame, described: DataFrame, p
     sets = rows.select("text").mapInArrow(sets_of, "key long, own binary")
     if shared is None:
         sets = sets.join(wanted, "key", "left_semi")
-    sets = scratch.save(sets.groupBy("key").agg(F.first("own").alias("own")), "sets")
-    dealt = placed.join(sets, "key").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "right", "key")
+    sets = sets.groupBy("key").agg(F.first("own").alias("own"))
+    placed = scratch.save(placed, "placed")
+    placed = F.broadcast(placed) if 64 * placed.count() <= BROADCAST_BYTES else placed
+    dealt = sets.join(placed, "key").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "right", "key")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(run):
