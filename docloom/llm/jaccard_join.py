@@ -151,20 +151,32 @@ def class_key(own: np.ndarray) -> int:
 # ---------------------------------------------------------------- the R-tree within a block
 
 
+def dimensions(n: int) -> int:
+    """Groups for a set of n shingles: so many that unlike sets of that size differ by more than similar ones may."""
+    return max(DIMENSIONS, 1 << max(0, n // 12 - 1).bit_length()) if n else DIMENSIONS
+
+
+def count_vector(own: np.ndarray, size: int) -> np.ndarray:
+    """How many of a set's shingles are in each of `size` hashed groups; neighbours add up to half as many groups."""
+    cells = mix(own, 47) >> np.uint64(64 - size.bit_length() + 1)
+    return np.bincount(cells.astype(np.int64), minlength=size).astype(np.int32)
+
+
 def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
-    """How many of each set's shingles are in each hashed group; a row adds up to the set's size."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    cells = owner * DIMENSIONS + (mix(flat, 47) >> np.uint64(58)).astype(np.int64)
-    return np.bincount(cells, minlength=len(sets) * DIMENSIONS).reshape(len(sets), DIMENSIONS).astype(np.int32)
+    """One point a set, all with the dimensions that the smallest set has."""
+    size = min((dimensions(len(s)) for s in sets), default=DIMENSIONS)
+    return np.array([count_vector(s, size) for s in sets], np.int32).reshape(len(sets), size)
 
 
 def pack_vector(v: np.ndarray) -> bytes:
-    return v.astype("<u1" if v.max() < 256 else "<i4").tobytes()
+    kind = "<u1" if v.max() < 256 else "<i4"
+    return kind.encode() + v.astype(kind).tobytes()
 
 
 def unpack_vectors(packed: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(x, "<u1" if len(x) == DIMENSIONS else "<i4") for x in packed], np.int32)
+    vectors = [np.frombuffer(x, x[:3].decode(), offset=3).astype(np.int32) for x in packed]
+    size = min(len(v) for v in vectors)
+    return np.array([v.reshape(size, -1).sum(axis=1) for v in vectors], np.int32)
 
 
 class RTree:
@@ -218,10 +230,11 @@ def links(sets: list[np.ndarray], split: int, plan: Plan) -> list[tuple[int, int
     label = np.arange(len(sets))
     out: list[tuple[int, int]] = []
     n = np.array([len(s) for s in sets])
+    points = count_vectors(sets)
     if split:
-        batches = ((i, j + split) for i, j in RTree(count_vectors(sets[:split])).pairs(plan, RTree(count_vectors(sets[split:]))))
+        batches = ((i, j + split) for i, j in RTree(points[:split]).pairs(plan, RTree(points[split:])))
     else:
-        batches = RTree(count_vectors(sets)).pairs(plan)
+        batches = RTree(points).pairs(plan)
     for i, j in batches:
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
@@ -284,7 +297,7 @@ def similar_documents(docs: DataFrame, num: int = 80, den: int = 100, size: int
                 n = np.array([len(s) for s in sets], np.int64)
                 keys = np.array([class_key(s) for s in sets], np.uint64)
                 own = batch.slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(n), pa.array(keys.view(np.int64), mask=n == 0), pa.array([pack_vector(v) for v in count_vectors(sets)], pa.binary())], ["id", "text_hash", "n", "key", "vector"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(n), pa.array(keys.view(np.int64), mask=n == 0), pa.array([pack_vector(count_vector(s, dimensions(len(s)))) for s in sets], pa.binary())], ["id", "text_hash", "n", "key", "vector"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies that a task has signed
