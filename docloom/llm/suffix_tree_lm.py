@@ -1,17 +1,20 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to `max_depth` words. A context is a candidate if it makes up at least `p_min`
-of the training tokens (so its parents do too), which bounds their number by 1 / p_min per depth whatever the input.
-Its next-word counts are summed over the whole training part; words below the share `gamma` after it are left to the
-parent. A candidate stays if its next-word distribution diverges from its parent's: twice the count times the
-divergence (the G statistic) beyond `g_least` and the divergence beyond `kl_least`; parents of kept states stay too.
-A state's probabilities are discounted counts plus its parent's distribution, weighted by what the discount left;
-the root is the unigram model with add-0.1 smoothing, in which all unseen words share one place. So each state's
-probabilities sum to 1. A token is scored by the longest kept suffix of the words before it.
-
-Words are counted by 64-bit hash. The vocabulary grows with the corpus, so it is never gathered whole: it is
-broadcast in hash blocks of bounded size, and the documents pass through one narrow scoring step per block, which
-scores the tokens whose word is in it.
+The tree's states are contexts of up to `max_depth` words. A context is a candidate if it occurs at least `min_count`
+times before a word of the training part, whatever the input's size (so its parents are candidates too); a caller may
+ask for a share `p_min` of all training tokens instead. Its next-word counts are summed over the whole training part;
+words below the share `gamma` after it are left to the parent. A candidate stays if its next-word distribution diverges
+from its parent's: twice the count times the divergence (the G statistic) beyond `g_least` and the divergence beyond
+`kl_least`; parents of kept states stay too. A state's probabilities are discounted counts plus its parent's
+distribution, weighted by what the discount left; the root is the unigram model with add-0.1 smoothing, in which all
+unseen words share one place. So each state's probabilities sum to 1. A token is scored by the longest kept suffix of
+the words before it.
+
+Words and contexts are counted by 64-bit hash. Vocabulary, candidates and tree grow with the corpus, so they are tables
+and never gathered whole. Candidates are counted in hash blocks of bounded size, with a pass over the texts per block.
+A tree row holds by how much (log10) a state, or one of its words, changes its parent's probability: a token's score
+is its unigram score plus one row per depth, so vocabulary and tree are broadcast in hash blocks, and the documents
+pass through one narrow scoring step per block, which adds what lies in it.
 
 Defined results: a null text is empty, and so has the end token only; with nothing to learn from, every token is
 unseen. Repeated rows count and are scored each; ids may be null (such rows are in fold 0, which is held out).
@@ -22,25 +25,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, Words, as_i64, blocks_for, chunks, mix, segment_sum
+from docloom.llm.common import BROADCAST_BYTES, Scratch, Words, as_i64, blocks_for, chunks, mix, segment_sum
 
 ALPHA = 0.1
-P_MIN = 1e-4
+MIN_COUNT = 10
 GAMMA = 0.02
 MAX_DEPTH = 3
 DISCOUNT = 0.5
 G_LEAST = 30.0
 KL_LEAST = 0.02
-#: Bytes of a vocabulary block: a hash and a count, 16 bytes a word.
+#: Bytes of a block of the vocabulary and of the tree: a hash and a number, 16 bytes a row.
 BLOCK_BYTES = 128 << 20
+TREE_BYTES = 64 << 20
+#: Bytes of a block of candidates, 8 bytes each, that a counting pass looks up.
+CANDIDATE_BYTES = 64 << 20
 #: Distinct keys that a counting task holds before it passes them on.
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 20
 END = np.uint64(0xE5D0F7E57)
 
 
@@ -56,12 +63,18 @@ def tokens(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, at, np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
 
 
+def extend(context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of a context of `depth` words: one of a word less, and the word after it."""
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word, 20 + depth)
+
+
 def contexts(t: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each depth the hash of the words before each token, and whether there are that many."""
     h = np.zeros(len(t), np.uint64)
     for d in range(1, depth + 1):
-        h = h.copy()
-        h[d:] = mix(h[d:] * np.uint64(0x9E3779B97F4A7C15) + t[:-d], 20 + d) if len(t) > d else h[d:]
+        longer = np.zeros(len(t), np.uint64)
+        longer[1:] = extend(h[:-1], t[:-1], d)
+        h = longer
         yield h, place >= d
 
 
@@ -69,59 +82,67 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Index of each key in a sorted table, or -1."""
     if not len(table):
         return np.full(len(keys), -1, np.int64)
-    at = np.searchsorted(table, keys)
+    order = np.argsort(keys)  # sorted, neighbours meet the same part of the table
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.searchsorted(table, keys[order])
     at[at == len(table)] = 0
     return np.where(table[at] == keys, at, -1)
 
 
 class Counter:
-    """Counts of 64-bit keys, compacted as they come and passed on when there are many."""
+    """Counts of 64-bit keys, compacted as they come and passed on when there are many, as the columns that make a key."""
 
     def __init__(self, most: int = HELD_KEYS):
         self.parts, self.size, self.most = [], 0, most
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, n = np.unique(keys, return_counts=True)
-        self.parts.append((k, n))
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, at, n = np.unique(entry(*columns) if len(columns) > 1 else columns[0], return_index=True, return_counts=True)
+        self.parts.append((k, n, *[c[at] for c in columns[1:]], *[c[at] for c in columns[:1] if len(columns) > 1]))
         self.size += len(k)
         if self.size > 2 * self.most:
-            k, n = self._compact()
-            if len(k) > self.most:
-                yield from self.rows(k, n)
+            held = self._compact()
+            if len(held[0]) > self.most:
+                yield from self.rows(*held)
             else:
-                self.parts, self.size = [(k, n)], len(k)
+                self.parts, self.size = [held], len(held[0])
 
-    def _compact(self) -> tuple[np.ndarray, np.ndarray]:
+    def _compact(self) -> tuple[np.ndarray, ...]:
         parts, self.parts, self.size = self.parts, [], 0
-        k = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-        n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        order = np.argsort(k)
-        k, n = k[order], n[order]
+        if not parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        order = np.argsort(np.concatenate([p[0] for p in parts]))
+        k, n, *rest = (np.concatenate(c)[order] for c in zip(*parts, strict=True))
         new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-        return k[new], np.add.reduceat(n, new) if len(new) else n
+        return k[new], np.add.reduceat(n, new) if len(new) else n, *[c[new] for c in rest]
 
-    def rows(self, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(self, k: np.ndarray, n: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [n, *rest] if rest else [n, k]
         for i in range(0, len(k), 1 << 17):
-            yield pa.RecordBatch.from_arrays([as_i64(k[i : i + (1 << 17)]), as_i64(n[i : i + (1 << 17)])], ["k", "n"])
+            yield pa.RecordBatch.from_arrays([as_i64(c[i : i + (1 << 17)]) for c in columns], ["n", "b", "a"] if rest else ["n", "a"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         yield from self.rows(*self._compact())
 
 
-def count(texts: DataFrame, keys) -> DataFrame:
-    """k, p and n: how often keys(chunk), a list of (p, keys), gives each key over the table's only column."""
+def count(texts: DataFrame, keys, names: list[str]) -> DataFrame:
+    """kind, the named key columns and n: how often keys(chunk), a list of (kind, *columns), gives each key over the table's only column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {}
-        mark = lambda p, rows: (pa.RecordBatch.from_arrays([*r.columns, pa.array(np.full(r.num_rows, p, np.int8))], ["k", "n", "kind"]) for r in rows)
+
+        def mark(kind: int, made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in made:
+                yield pa.RecordBatch.from_arrays([*[r.column(x) for x in names], r.column("n"), pa.array(np.full(r.num_rows, kind, np.int8))], [*names, "n", "kind"])
+
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                for kind, found in keys(chunk):
-                    yield from mark(kind, held.setdefault(kind, Counter()).add(found))
+                for kind, *found in keys(chunk):
+                    yield from mark(kind, held.setdefault(kind, Counter()).add(*found))
         for kind, counter in held.items():
             yield from mark(kind, counter.rest())
 
-    return texts.mapInArrow(run, "k long, n long, kind byte").groupBy("kind", "k").agg(F.sum("n").alias("n"))
+    schema = "".join(f"{x} long, " for x in names)
+    return texts.mapInArrow(run, f"{schema}n long, kind byte").groupBy("kind", *names).agg(F.sum("n").alias("n"))
 
 
 def gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -132,186 +153,220 @@ def gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[order], t.column("n").to_numpy()[order] if t.num_rows else np.zeros(0, np.int64)
 
 
+def entry(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0xC2B2AE3D27D4EB4F) + word, 31)
+
+
+def in_block(h: np.ndarray, block: int, n_blocks: int) -> np.ndarray:
+    return np.full(len(h), block == 0) if n_blocks == 1 else h.view(np.int64) % n_blocks == block
+
+
 @dataclass
 class Level:
-    """Kept states of one depth: context hashes, counts, mass left to the parent; and their (context, word) entries."""
+    """Kept states of one depth, or of a block of it, and their (context, word) entries: hashes, and log10 of what each makes of the parent's probability."""
 
     states: np.ndarray
-    count: np.ndarray
     left: np.ndarray
     keys: np.ndarray
-    discounted: np.ndarray
+    lift: np.ndarray
 
 
 @dataclass
 class Tree:
+    """The levels of a tree, or of its block."""
+
     levels: list[Level]
     n: int
     v: int
+    block: int = 0
+    n_blocks: int = 1
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return (c + ALPHA) / (self.n + ALPHA * (self.v + 1))
 
-    def probability(self, t: np.ndarray, place: np.ndarray, c: np.ndarray, upto: int | None = None) -> np.ndarray:
-        p = self.unigram(c)
-        levels = self.levels[:upto]
-        for level, (h, there) in zip(levels, contexts(t, place, len(levels)), strict=True):
-            at = find(level.states, h)
-            own = np.flatnonzero(there & (at >= 0))
-            if not len(own):
-                continue
-            s = at[own]
+    def change(self, t: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 of what the states in the tree make of each token's unigram probability."""
+        out = np.zeros(len(t))
+        alive = np.ones(len(t), bool)
+        for level, (h, there) in zip(self.levels, contexts(t, place, len(self.levels)), strict=True):
+            own = np.flatnonzero(there & alive & in_block(h, self.block, self.n_blocks))
+            s = find(level.states, h[own])
+            own, s = own[s >= 0], s[s >= 0]
             e = find(level.keys, entry(h[own], t[own]))
-            seen = np.where(e >= 0, level.discounted[e] if len(level.keys) else 0.0, 0.0)
-            p[own] = (seen + level.left[s] * p[own]) / level.count[s]
-        return p
+            out[own] += np.where(e >= 0, level.lift[e] if len(level.keys) else 0.0, level.left[s] if len(s) else 0.0)
+            if self.n_blocks == 1:  # parents of states are states
+                alive = np.zeros(len(t), bool)
+                alive[own] = True
+        return out
 
+    def probability(self, t: np.ndarray, place: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.unigram(c) * 10.0 ** self.change(t, place)
 
-def entry(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * np.uint64(0xC2B2AE3D27D4EB4F) + word, 31)
 
+def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """A saved table, to be broadcast if it is small, else joined by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
-@dataclass
-class Candidates:
-    """Contexts of one depth, by index: hash, count, parent's index; and their sorted (index, word) entries."""
 
-    states: np.ndarray
-    count: np.ndarray
-    parent: np.ndarray
-    keys: np.ndarray
-    n: np.ndarray
-    left: np.ndarray
+def _longer(rows: DataFrame, depth: int) -> DataFrame:
+    """Adds h, the context of `depth` words that context g and word w make, and above, the same without its first word (g's is `g_above`)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, g_above, w = (batch.column(x).to_numpy().view(np.uint64) for x in ("g", "g_above", "w"))
+            above = extend(g_above, w, depth - 1) if depth > 1 else np.zeros(len(w), np.uint64)
+            yield pa.RecordBatch.from_arrays([as_i64(extend(g, w, depth)), as_i64(above), batch.column("n")], ["h", "above", "size"])
 
-def _parent_p(tree: Tree, below: list[Candidates], c: np.ndarray, w: np.ndarray, word_n: np.ndarray) -> np.ndarray:
-    """Probability of words w after the candidates c of the deepest level in `below`; of the root if there is none."""
-    if not below:
-        return tree.unigram(word_n[w])
-    level = below[-1]
-    e = find(level.keys, (c.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64))
-    seen = np.where(e >= 0, level.n[e] - DISCOUNT if len(level.keys) else 0.0, 0.0)
-    return (seen + level.left[c] * _parent_p(tree, below[:-1], level.parent[c], w, word_n)) / level.count[c]
+    return rows.select("g", "g_above", "w", "n").mapInArrow(run, "h long, above long, size long")
 
 
-def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: int, p_min: float, gamma: float, max_depth: int, g_least: float, kl_least: float) -> Tree:
-    """Build the tree level by level; each level counts the next words of its candidates over all training texts."""
+def _count_level(texts: DataFrame, scratch: Scratch, candidates: DataFrame, depth: int, block_bytes: int) -> DataFrame:
+    """h, w, n: how often a word comes after a candidate, twice or more."""
     spark = texts.sparkSession
-    tree = Tree([], n, v)
-    least = p_min * n
-    if not n:
-        return tree
-    # at most 1 / (gamma * p_min) words and 1 / p_min contexts can pass
-    word, word_n = gather(vocabulary.where(F.col("n") >= max(2.0, gamma * least)))
-    frequent = (word_n >= max(2.0, least)) & (word != END)
-    states = mix(word[frequent] + np.uint64(0), 21)
-    order = np.argsort(states)
-    states, size, parent = states[order], word_n[frequent][order], np.zeros(len(order), np.int64)
-    levels: list[Candidates] = []
-    marked: list[np.ndarray] = []
-    for depth in range(1, max_depth + 1):
-        if not len(states):
-            break
-        shared = spark.sparkContext.broadcast((states, word))
+    n_blocks = blocks_for(8 * candidates.count(), block_bytes)
+    parts = []
+    for block in range(n_blocks):
+        mine = candidates.where(F.pmod("h", F.lit(n_blocks)) == block).select(F.col("h").alias("k"), F.lit(0).alias("n"))
+        shared = spark.sparkContext.broadcast(gather(mine)[0])
 
-        def keys(chunk, shared=shared, depth=depth):
-            states, word = shared.value
+        def keys(chunk, shared=shared, block=block):
             t, _, place = tokens(chunk)
-            walk = list(contexts(t, place, depth + 1))
-            h, there = walk[depth - 1]
-            c = np.where(there, find(states, h), -1)
-            own = np.flatnonzero(c >= 0)
-            w = find(word, t[own])
-            yield 0, (c[own].astype(np.uint64) << np.uint64(32) | np.maximum(w, 0).astype(np.uint64))[w >= 0]
-            if depth < max_depth:
-                # a longer candidate's words but the last, and its words but the first, are candidates themselves
-                longer, enough = walk[depth]
-                own = own[(own > 0) & enough[own]]
-                own = own[c[own - 1] >= 0]
-                yield 1, longer[own]
-                # which parent each has: its key and its parent's, of one occurrence in a chunk
-                h, first = np.unique(longer[own], return_index=True)
-                yield 2, mix(h, 5) & np.uint64(0xFFFFFFFF00000000) | c[own[first]].astype(np.uint64)
-
-        counted = scratch.save(count(texts, keys), f"depth{depth}")
-        sizes = spark.createDataFrame(pa.table({"c": np.arange(len(states)), "size": size.astype(np.int64)}))
-        pairs = counted.where("kind = 0").withColumn("c", F.shiftrightunsigned("k", 32)).join(F.broadcast(sizes), "c")
-        k, m = gather(pairs.where(F.col("n") >= F.greatest(F.lit(2.0), F.lit(gamma) * F.col("size"))).select("k", "n"))
-        c, w = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        above = _parent_p(tree, levels, parent[c], w, word_n)
-        share = m / size[c]
-        lift = share > 1.05 * above
-        k, m, c, above, share = k[lift], m[lift], c[lift], above[lift], share[lift]
-        total = lambda x: np.bincount(c, x, minlength=len(states))  # noqa: B023, E731
-        rest, rest_above = np.maximum(1 - total(share), 0), np.maximum(1 - total(above), 1e-12)
-        kl = total(share * np.log(share / above)) + rest * np.log(np.maximum(rest, 1e-12) / rest_above)
-        levels.append(Candidates(states, size, parent, k, m, size - total(m - DISCOUNT)))
-        marked.append((kl >= kl_least) & (2 * size * kl >= g_least))
+            h, there = list(contexts(t, place, depth))[-1]
+            own = np.flatnonzero(there & in_block(h, block, n_blocks))
+            own = own[find(shared.value, h[own]) >= 0]
+            yield 0, h[own], t[own]
+
+        counted = count(texts, keys, ["a", "b"]).where("n >= 2")
+        parts.append(scratch.save(counted.select(F.col("a").alias("h"), F.col("b").alias("w"), "n"), f"depth{depth}-{block}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: int, least: float, gamma: float, max_depth: int, g_least: float, kl_least: float, block_bytes: int) -> DataFrame:
+    """depth, h, w, change: the kept states (w is null) and their entries. Built level by level; each level counts the next words of its candidates over all training texts."""
+    words = vocabulary.where(F.col("n") >= 2).select(F.col("k").alias("w"), F.col("n").alias("word_n"))
+    zero = F.lit(0).cast("long")
+    often = (F.col("n") >= least) & (F.col("w") != int(END))
+    # up: the contexts above, shortest first; lefts: the mass that each leaves to its parent
+    first = _longer(vocabulary.withColumnRenamed("k", "w").where(often).select(zero.alias("g"), zero.alias("g_above"), "w", "n"), 1)
+    candidates = first.select("h", "size", F.expr("cast(array() as array<long>)").alias("up"), F.expr("cast(array() as array<double>)").alias("lefts"))
+    states: list[DataFrame] = []
+    entries: list[DataFrame] = []
+    for depth in range(1, max_depth + 1):
+        candidates = scratch.save(candidates, f"candidates{depth}")
+        pairs = _count_level(texts, scratch, candidates, depth, block_bytes)
+        rows = pairs.join(_small(candidates, 96), "h").where(F.col("n") >= gamma * F.col("size")).join(_small(words), "w")
+        above = (F.col("word_n") + ALPHA) / (n + ALPHA * (v + 1))
+        for k, level in enumerate(entries):
+            rows = rows.withColumn("__h", F.get("up", F.lit(k))).join(_small(level.select(F.col("h").alias("__h"), "w", F.col("p").alias(f"p{k}"))), ["__h", "w"], "left").drop("__h")
+            above = F.coalesce(F.col(f"p{k}"), F.get("lefts", F.lit(k)) * above)
+        rows = rows.select("h", "w", "n", "size", (F.col("n") / F.col("size")).alias("share"), above.alias("above"))
+        rows = scratch.save(rows.where(F.col("share") > 1.05 * F.col("above")), f"rows{depth}")
+        sums = rows.groupBy("h").agg(
+            F.sum(F.col("n") - DISCOUNT).alias("taken"), F.sum("share").alias("s"), F.sum("above").alias("a"), F.sum(F.col("share") * F.log(F.col("share") / F.col("above"))).alias("d")
+        )
+        some = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        rest = F.greatest(1 - some("s"), F.lit(0.0))
+        kl = some("d") + rest * F.log(F.greatest(rest, F.lit(1e-12)) / F.greatest(1 - some("a"), F.lit(1e-12)))
+        marked = (F.col("kl") >= kl_least) & (2 * F.col("size") * F.col("kl") >= g_least)
+        level = candidates.join(sums, "h", "left").withColumn("kl", kl)
+        states.append(scratch.save(level.select("h", "up", "lefts", ((F.col("size") - some("taken")) / F.col("size")).alias("left"), marked.alias("marked")), f"states{depth}"))
+        p = (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("above")
+        entries.append(scratch.save(rows.join(_small(states[-1].select("h", "left")), "h").select("h", "w", p.alias("p"), F.log10(p / F.col("above")).alias("change")), f"entries{depth}"))
         if depth < max_depth:
-            h, h_n = gather(counted.where((F.col("kind") == 1) & (F.col("n") >= max(2.0, least))).select("k", "n"))
-            tags = spark.createDataFrame(pa.table({"tag": (mix(h, 5) >> np.uint64(32)).astype(np.int64)}), "tag long").distinct()
-            links = counted.where("kind = 2").withColumn("tag", F.shiftrightunsigned("k", 32)).join(F.broadcast(tags), "tag").select("k", "n")
-            link, _ = gather(links)
-            at = np.searchsorted(link >> np.uint64(32), mix(h, 5) >> np.uint64(32)) if len(link) else np.zeros(0, np.int64)
-            parent = (link[at] & np.uint64(0xFFFFFFFF)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-            states, size = h, h_n
-        scratch.drop(f"depth{depth}")
-    for d in range(len(levels) - 1, 0, -1):
-        marked[d - 1][levels[d].parent[marked[d]]] = True
-    for level, keep in zip(levels, marked, strict=True):
-        own = np.flatnonzero(keep)
-        c = (level.keys >> np.uint64(32)).astype(np.int64)
-        here = keep[c]
-        keys = entry(level.states[c[here]], word[(level.keys[here] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-        order = np.argsort(keys)
-        tree.levels.append(Level(level.states[own], level.count[own].astype(float), level.left[own].astype(float), keys[order], (level.n[here] - DISCOUNT)[order]))
+            # a word after a context that often is a longer context; the same without its first word is its parent
+            level = _small(states[-1].select("h", "up", "lefts", "left"), 96)
+            known = pairs.where(often).withColumnRenamed("h", "g").join(_small(candidates.select(F.col("h").alias("g"), F.coalesce(F.try_element_at("up", F.lit(-1)), zero).alias("g_above"))), "g")
+            longer = _longer(known, depth + 1).withColumnRenamed("h", "longer").withColumnRenamed("above", "h").join(level, "h")
+            candidates = longer.select(F.col("longer").alias("h"), "size", F.array_append("up", F.col("h")).alias("up"), F.array_append("lefts", F.col("left")).alias("lefts"))
+    kept: list[DataFrame] = []
+    for depth in range(max_depth, 0, -1):
+        own = states[depth - 1]
+        if kept:
+            below = kept[-1].select(F.try_element_at("up", F.lit(-1)).alias("h")).distinct().withColumn("needed", F.lit(True))
+            own = own.join(below, "h", "left").where(F.col("marked") | F.col("needed").isNotNull()).drop("needed")
+        kept.append(scratch.save(own if kept else own.where("marked"), f"kept{depth}"))
+    parts = []
+    for depth, (own, level) in enumerate(zip(kept[::-1], entries, strict=True), 1):
+        parts.append(own.select(F.lit(depth).alias("depth"), "h", F.lit(None).cast("long").alias("w"), F.log10("left").alias("change")))
+        parts.append(level.join(_small(own.select("h")), "h", "left_semi").select(F.lit(depth).alias("depth"), "h", "w", "change"))
+    tree = scratch.save(reduce(DataFrame.unionByName, parts), "tree")
+    for depth in range(1, max_depth + 1):
+        for name in ("candidates", "rows", "states", "entries", "kept"):
+            scratch.drop(f"{name}{depth}")
     return tree
 
 
 @dataclass
 class Model:
-    """A tree, and the training vocabulary (k: word hash, n: count) as a table."""
+    """The tree (depth, h, w, change) and the training vocabulary (k: word hash, n: count) as tables; n tokens, v words."""
 
-    tree: Tree
+    rows: DataFrame
     vocabulary: DataFrame
-
-
-def train(docs: DataFrame, text_col: str = "text", p_min: float = P_MIN, gamma: float = GAMMA, max_depth: int = MAX_DEPTH, g_least: float = G_LEAST, kl_least: float = KL_LEAST, scratch: Scratch | None = None) -> Model:
+    n: int
+    v: int
+    max_depth: int
+
+    def block(self, block: int, n_blocks: int) -> Tree:
+        """The part of the tree in a hash block, on the driver."""
+        t = self.rows.where(F.pmod("h", F.lit(n_blocks)) == block).toArrow()
+        depth, change = t.column("depth").to_numpy(), t.column("change").to_numpy()
+        h, w = (t.column(x).fill_null(0).to_numpy().view(np.uint64) for x in ("h", "w"))
+        is_state = t.column("w").is_null().to_numpy()
+        levels = []
+        for d in range(1, self.max_depth + 1):
+            s, e = (depth == d) & is_state, (depth == d) & ~is_state
+            states, keys = h[s], entry(h[e], w[e])
+            a, b = np.argsort(states), np.argsort(keys)
+            levels.append(Level(states[a], change[s][a], keys[b], change[e][b]))
+        return Tree(levels, self.n, self.v, block, n_blocks)
+
+    @property
+    def tree(self) -> Tree:
+        """The whole tree on the driver, for small ones."""
+        return self.block(0, 1)
+
+
+def train(
+    docs: DataFrame, text_col: str = "text", p_min: float | None = None, gamma: float = GAMMA, max_depth: int = MAX_DEPTH, g_least: float = G_LEAST, kl_least: float = KL_LEAST,
+    scratch: Scratch | None = None, min_count: int = MIN_COUNT, block_bytes: int = CANDIDATE_BYTES,
+) -> Model:
     scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    vocabulary = scratch.save(count(texts, lambda chunk: [(0, tokens(chunk)[0])]).select("k", "n"), "vocabulary")
+    vocabulary = scratch.save(count(texts, lambda chunk: [(0, tokens(chunk)[0])], ["a"]).select(F.col("a").alias("k"), "n"), "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    return Model(grow(texts, scratch, vocabulary, n, v, p_min, gamma, max_depth, g_least, kl_least), vocabulary)
+    least = max(2.0, min_count if p_min is None else p_min * n)
+    return Model(grow(texts, scratch, vocabulary, n, v, least, gamma, max_depth, g_least, kl_least, block_bytes), vocabulary, n, v, max_depth)
 
 
-def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str = "text", block_bytes: int = BLOCK_BYTES, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """`keep`, then n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row."""
     spark = docs.sparkSession
-    tree = spark.sparkContext.broadcast(model.tree)
-    n_blocks = blocks_for(16 * model.tree.v, block_bytes)
-    zero = {"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(model.tree.n).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}
+    n_blocks, n_trees = blocks_for(16 * model.v, block_bytes), blocks_for(16 * model.rows.count(), tree_bytes)
+    zero = {"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(model.n).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}
     state = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("__text"), *[c.alias(k) for k, c in zero.items()])
-    for b in range(n_blocks):
-        words = spark.sparkContext.broadcast(gather(model.vocabulary.where(F.pmod(F.col("k"), F.lit(n_blocks)) == b)))
-        state = _score(state, tree, words, b, n_blocks)
+    for b in range(max(n_blocks, n_trees)):  # beyond its last block either side finds nothing
+        words = gather(model.vocabulary.where(F.pmod(F.col("k"), F.lit(n_blocks)) == b))
+        state = _score(state, spark.sparkContext.broadcast(model.block(b, n_trees)), spark.sparkContext.broadcast(words), b, n_blocks)
     return state.drop("__text")
 
 
-def _score(state: DataFrame, tree, words, block: int, n_blocks: int) -> DataFrame:
+def _score(state: DataFrame, shared, words, block: int, n_blocks: int) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, n = words.value
+        tree, (word, n) = shared.value, words.value
         for batch in batches:
             got = {k: [np.zeros(0, np.int64)] for k in ("n_tokens", "n_known")} | {k: [np.zeros(0)] for k in ("base_score", "score")}
             for chunk in chunks(batch.column("__text")):
                 t, at, place = tokens(chunk)
-                mine = np.ones(len(t), bool) if n_blocks == 1 else t.view(np.int64) % n_blocks == block
+                mine = in_block(t, block, n_blocks)
                 found = find(word, t)
                 c = np.where(found >= 0, n[found] if len(n) else 0, 0)
+                base = np.where(mine, np.log10(tree.unigram(c)), 0.0)
                 got["n_tokens"].append(segment_sum(mine.astype(np.int64), at))
                 got["n_known"].append(segment_sum((mine & (c > 0)).astype(np.int64), at))
-                got["base_score"].append(segment_sum(np.where(mine, np.log10(tree.value.unigram(c)), 0.0), at))
-                got["score"].append(segment_sum(np.where(mine, np.log10(tree.value.probability(t, place, c)), 0.0), at))
+                got["base_score"].append(segment_sum(base, at))
+                got["score"].append(segment_sum(base + tree.change(t, place), at))
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             for k, parts in got.items():
                 columns[k] = pa.array(columns[k].to_numpy(zero_copy_only=False) + np.concatenate(parts))

@@ -434,3 +434,23 @@ def test_tree_probabilities_sum_to_one(spark):
             t = np.array([*before, w], np.uint64)
             total += model.tree.probability(t, np.arange(len(t)), np.append(np.zeros(len(before)), count))[-1]
         assert math.isclose(total, 1.0, rel_tol=1e-9)
+
+
+def test_tree_grows_with_the_input(spark):
+    """Contexts are admitted by count, however many other tokens there are; candidate blocks do not change the tree."""
+    rng = random.Random(11)
+    pairs = [(f"a{k}", f"b{k}", f"c{k}") for k in range(40)]
+    few = [" ".join(pairs[k % 40]) for k in range(900)]
+    noise = [" ".join(f"n{rng.randrange(30000)}" for _ in range(2000)) for _ in range(120)]
+    sizes = []
+    for texts in (few, few + noise):
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+        model = suffix_tree_lm.train(docs)
+        sizes.append([len(x.states) for x in model.tree.levels])
+        whole = {(r["depth"], r["h"], r["w"]): r["change"] for r in model.rows.collect()}
+    assert sizes[0][0] >= 80 and all(b >= a for a, b in zip(*sizes, strict=True))
+    blocks = {(r["depth"], r["h"], r["w"]): r["change"] for r in suffix_tree_lm.train(docs, block_bytes=64_000).rows.collect()}
+    assert blocks.keys() == whole.keys() and all(math.isclose(blocks[k], whole[k], rel_tol=1e-9, abs_tol=1e-12) for k in whole)
+    some = spark.createDataFrame(list(enumerate(texts[:200] + texts[-2:])), "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["score"] for r in suffix_tree_lm.score(some, model, ids(), tree_bytes=size).collect()} for size in (1 << 20, 2000))
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
