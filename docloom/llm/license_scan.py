@@ -8,6 +8,10 @@ Texts are aligned window by window (two template lengths, one apart, so every pl
 one). A window is skipped only if the words it has in common with the template, however ordered, could not reach the
 coverage asked for. Nothing is shuffled; the templates are a fixed few.
 
+Licenses differ from each other in a few words, which a share of the words does not see. So a template may have
+required phrases (its name, version or terms), which must stand in the aligned span, word by word. A template that is
+part of a longer one's text is not reported where the longer one is found.
+
 Defined results: a null or empty text has no license. Ties between templates go to the first by name, between
 windows to the first. Repeated rows are scanned each; null ids are allowed. An empty table gives an empty table.
 """
@@ -43,8 +47,6 @@ TEMPLATES: dict[str, str] = {
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -58,7 +60,68 @@ TEMPLATES: dict[str, str] = {
         "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
         "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "CC0-1.0": "CC0 1.0 Universal",
+    # the full texts begin so
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+}
+#: Phrases of a template that must stand in the text as they are.
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License Version 2.0",),
+    "Apache-2.0-header": ("Apache License Version 2.0",),
+    "Apache-2.0-text": ("Apache License Version 2.0 January 2004",),
+    "GPL-3.0": ("GNU General Public License version 3",),
+    "GPL-3.0-header": ("GNU General Public License", "version 3 of"),
+    "ISC": ("provided that the above copyright notice", "appear in all copies"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License v 2.0",),
+    "Unlicense": ("free and unencumbered software",),
+    "CC0-1.0": ("CC0 1.0 Universal",),
 }
+#: Templates that are part of another's text, and the other.
+PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
+
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission."
+)
+REQUIRED["BSD-3-Clause"] = ("endorse or promote products derived from this software",)
+for _name in ("BSD 2-Clause", "BSD 3-Clause", "ISC"):
+    TEMPLATES[f"{_name.replace(' ', '-')}-notice"] = f"Released under the {_name} License"
+    REQUIRED[f"{_name.replace(' ', '-')}-notice"] = (f"{_name} License",)
+_KINDS = {"": "", "-NC": "NonCommercial", "-SA": "ShareAlike", "-ND": "NoDerivatives", "-NC-SA": "NonCommercial-ShareAlike", "-NC-ND": "NonCommercial-NoDerivatives"}
+for _kind, _words in _KINDS.items():
+    _long = f"Attribution{'-' * bool(_words)}{_words} 4.0"
+    for _name, _text, _must in (
+        (f"CC-BY{_kind}-4.0" + "-notice" * (not _kind), f"Licensed under CC BY{_kind} 4.0", f"CC BY{_kind} 4.0"),
+        (f"CC-BY{_kind}-4.0" + "-text" * bool(_kind), f"This work is licensed under a Creative Commons {_long} International License", f"Creative Commons {_long}"),
+    ):
+        TEMPLATES[_name], REQUIRED[_name] = _text, (_must,)
+for _name, _kind, _version, _date in (
+    ("GPL-2.0", "General", "2", "June 1991"),
+    ("GPL-3.0", "General", "3", "29 June 2007"),
+    ("LGPL-2.1", "Lesser General", "2.1", "February 1999"),
+    ("LGPL-3.0", "Lesser General", "3", "29 June 2007"),
+    ("AGPL-3.0", "Affero General", "3", "19 November 2007"),
+):
+    _own = f"GNU {_kind} Public License"
+    TEMPLATES[_name] = f"This work is licensed under the {_own}, version {_version}"
+    REQUIRED[_name] = (f"{_own} version {_version}",)
+    TEMPLATES[f"{_name}-header"] = TEMPLATES["GPL-3.0-header"].replace("GNU General Public License", _own).replace("version 3", f"version {_version}")
+    REQUIRED[f"{_name}-header"] = (_own, f"version {_version} of")
+    TEMPLATES[f"{_name}-text"] = f"{_own} Version {_version}, {_date} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    REQUIRED[f"{_name}-text"] = (f"{_own} Version {_version} {_date}",)
 
 
 def split_words(text: str) -> list[bytes]:
@@ -118,8 +181,8 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
 
 
 class Templates:
-    def __init__(self, texts: dict[str, str], coverage: float):
-        self.coverage = coverage
+    def __init__(self, texts: dict[str, str], coverage: float, required: dict[str, tuple[str, ...]], part_of: dict[str, str]):
+        self.coverage, self.part_of = coverage, part_of
         self.names = sorted(texts)
         self.words = [split_words(texts[n]) for n in self.names]
         vocabulary = sorted({w for ws in self.words for w in ws})
@@ -132,6 +195,11 @@ class Templates:
         for t, ws in enumerate(self.words):
             for w in ws:
                 self.counts[t, number[w]] += 1
+        phrases = [[split_words(x) for x in required.get(n, ())] for n in self.names]
+        self.phrases = [[b" %b " % b" ".join(x) for x in own] for own in phrases]
+        self.needed = np.zeros(self.counts.shape, bool)
+        for t, own in enumerate(phrases):
+            self.needed[t, [number[w] for x in own for w in x]] = True
 
     def scan(self, words: Words, text: int, known: np.ndarray) -> list[dict]:
         """Each template's best window in a text: license, coverage, first and stop word."""
@@ -139,7 +207,8 @@ class Templates:
         own = known[first:stop]
         have = np.bincount(own[own >= 0], minlength=self.counts.shape[1])
         out = []
-        for t in np.flatnonzero(np.minimum(have[None, :], self.counts).sum(axis=1) >= self.coverage * np.array([len(w) for w in self.words])).tolist():
+        enough = np.minimum(have[None, :], self.counts).sum(axis=1) >= self.coverage * np.array([len(w) for w in self.words])
+        for t in np.flatnonzero(enough & ~(self.needed & (have == 0)).any(axis=1)).tolist():
             template, best = self.words[t], (0.0, 0, 0)
             n = len(template)
             hits = np.flatnonzero(own >= 0)
@@ -148,17 +217,21 @@ class Templates:
                 part = own[a:b]
                 if np.minimum(np.bincount(part[part >= 0], minlength=self.counts.shape[1]), self.counts[t]).sum() < self.coverage * n:
                     continue
-                pairs = align([words.norm[words.start[k] : words.end[k]].tobytes() for k in range(first + a, first + b)], template)
-                if len(pairs) / n > best[0]:
+                own_words = [words.norm[words.start[k] : words.end[k]].tobytes() for k in range(first + a, first + b)]
+                pairs = align(own_words, template)
+                span = b" %b " % b" ".join(own_words[pairs[0][0] : pairs[-1][0] + 1]) if pairs else b""
+                if len(pairs) / n > best[0] and all(x in span for x in self.phrases[t]):
                     best = (len(pairs) / n, a + pairs[0][0], a + pairs[-1][0] + 1)
             if best[0] >= self.coverage:
                 out.append({"license": self.names[t], "coverage": best[0], "first": best[1], "stop": best[2]})
-        return out
+        found = {m["license"] for m in out}
+        return [m for m in out if self.part_of.get(m["license"]) not in found]
 
 
-def scan_licenses(docs: DataFrame, keep: dict[str, Column], templates: dict[str, str] | None = None, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:
-    """`keep`, then matches (all templates found), license (the best covered, longest first) and coverage."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, coverage))
+def scan_licenses(docs: DataFrame, keep: dict[str, Column], templates: dict[str, str] | None = None, coverage: float = COVERAGE, text_col: str = "text", required: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """`keep`, then matches (all templates found), license (the best covered, longest first) and coverage; own templates come with their `required` phrases."""
+    given = Templates(TEMPLATES, coverage, REQUIRED, PART_OF) if templates is None else Templates(templates, coverage, required or {}, {})
+    shared = docs.sparkSession.sparkContext.broadcast(given)
     rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("__text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     match = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("stop", pa.int32())])

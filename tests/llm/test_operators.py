@@ -380,6 +380,24 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty, ids()).count() == 0
 
 
+def test_license_names_and_versions(spark):
+    """Texts that share most words with another license are not taken for it."""
+    T = license_scan.TEMPLATES
+    gpl = T["GPL-3.0-header"]
+    cases = [
+        ("Released under the BSD License", None), ("Released under the Foo License", None), ("Licensed under the MIT License", "MIT"), ("Licensed under CC BY 4.0", "CC-BY-4.0-notice"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("This work is licensed under the GNU General Public License, version 3", "GPL-3.0"),
+        (gpl, "GPL-3.0-header"), (gpl.replace("version 3", "version 2"), "GPL-2.0-header"), (gpl.replace("GNU General", "GNU Affero General"), "AGPL-3.0-header"), (gpl.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), "LGPL-2.1-header"),
+        (T["BSD-2-Clause"], "BSD-2-Clause"), (T["BSD-3-Clause"], "BSD-3-Clause"), (T["MPL-2.0"], "MPL-2.0"), (T["ISC"], "ISC"), (T["Unlicense"], "Unlicense"), ("CC0 1.0 Universal", "CC0-1.0"),
+        ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "GPL-2.0-text"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs, ids()).collect()}
+    assert [(t, got[i]["license"]) for i, (t, _) in enumerate(cases)] == cases
+    assert "BSD-2-Clause" not in {m["license"] for m in got[13]["matches"]}
+    assert {n for n, t in T.items() for x in license_scan.REQUIRED.get(n, ()) if " ".join(map(bytes.decode, license_scan.split_words(x))) not in " ".join(map(bytes.decode, license_scan.split_words(t)))} == set()
+
+
 def test_patience_alignment():
     rng = random.Random(10)
     for _ in range(200):
