@@ -2,7 +2,8 @@
 
 Nothing is mutated: each node is coerced first, then its children are rebuilt from the coerced value, inside out.
 Combinators are not followed. A tuple may be extended by a default; a value in place of an object with declared
-properties stays as it is. Junk numbers become null, as JSON has no NaN.
+properties stays as it is. Junk numbers become null, as JSON has no NaN. Content below `max_depth` levels of a recursive
+reference fails the query, as it could only be passed unnormalised.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.regexes import to_java
 from docloom.functions.values import VariantValue, any_of, js_number, let
-from docloom.plans.nodes import Options, Place, TooDeep, children, follow
+from docloom.plans.nodes import Options, Place, TooDeep, children, follow, too_deep
 
 _INTEGER = r"^\s*([+-]?[0-9]+)"
 _FLOAT = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
@@ -75,8 +76,8 @@ class Normalizer:
     def _node(self, schema: dict, v: Column, place: Place) -> Column:
         try:
             schema, place = follow(schema, place, self.options)
-        except TooDeep:
-            return v
+        except TooDeep:  # a value that is there could not be normalised
+            return F.when(v.isNull(), v).otherwise(F.raise_error(F.lit(too_deep(self.options))).cast("variant"))
         if place.again:
             inner = Place(place.document, place.entered, place.is_root)
             return F.when(v.isNull(), v).otherwise(self._node(schema, v, inner))

@@ -2,6 +2,9 @@
 
 A walk is compiled to one array column of visits per document; exploding it gives a visit table, folding it a text.
 Handlers run on the driver while compiling and return columns, so no Python runs on the data.
+
+Content below `max_depth` levels of a recursive reference is a visit of phase `depth_exceeded` without a selector; a fold,
+which has no place for it, fails.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.regexes import to_java
 from docloom.functions.values import Value, any_of, value_of
-from docloom.plans.nodes import Options, Place, TooDeep, children, follow
+from docloom.plans.nodes import Options, Place, TooDeep, children, follow, too_deep
 from docloom.plans.selectors import Selector, is_selector, parse
 
 VISIT = "struct<selector:string,phase:string,path:array<string>,property:string,value:string,schema:string,output:string>"
@@ -62,6 +65,12 @@ class _Rows:
         fields |= {"value": null if v is None else v.json(), "schema": F.lit(json.dumps(shown, sort_keys=True, default=str)), "output": null if text is None else text.cast("string")}
         return F.array(F.struct(*[c.alias(k) for k, c in fields.items()]).cast(VISIT))
 
+    @staticmethod
+    def deep(v: Value, path: list[Column], prop: Column | None, options: Options) -> Column:
+        null = F.lit(None).cast("string")
+        fields = {"selector": F.lit(""), "phase": F.lit("depth_exceeded"), "path": F.array(*path), "property": null if prop is None else prop, "value": v.json(), "schema": null, "output": null}
+        return F.array(F.struct(*[c.alias(k) for k, c in fields.items()]).cast(VISIT))
+
 
 class _Text:
     """Only the outputs, as one text."""
@@ -74,6 +83,10 @@ class _Text:
     def one(selector: Selector, phase: str | None, schema: dict, v: Value | None, cursor: Cursor, text: Column | None) -> Column | None:
         return None if text is None else F.coalesce(text.cast("string"), F.lit(""))
 
+    @staticmethod
+    def deep(v: Value, path: list[Column], prop: Column | None, options: Options) -> Column:
+        return F.raise_error(F.lit(too_deep(options))).cast("string")
+
 
 @dataclass
 class Walk:
@@ -109,8 +122,8 @@ class Walk:
     def _node(self, schema: dict, v: Value | None, place: Place, path: list[Column], prop: Column | None, parent: Value | None, attr: str | None, schema_only: bool, form: type) -> Column:
         try:
             schema, place = follow(schema, place, self.options)
-        except TooDeep:
-            return form.none()
+        except TooDeep:  # without a document, recursion has no other end
+            return form.none() if v is None else F.when(v.absent, form.none()).otherwise(form.deep(v, path, prop, self.options))
         branches = {k: [Walk(s, self.selectors, self.options) for s in (schema[k] if isinstance(schema[k], list) else [schema[k]])] for k in ("oneOf", "anyOf", "allOf", "not") if schema.get(k)}
         cursor = Cursor(path, prop, parent, branches)
         one = lambda phase: self._phase(schema, v, cursor, phase, form)

@@ -25,7 +25,8 @@ class Options:
     strict_draft4: bool = False
     #: Bounds also apply to numeric strings, booleans (1, 0) and null (0), as ECMAScript's comparisons do.
     js_coercion: bool = False
-    #: Levels of a recursive reference that are unrolled; content below is reported, never passed silently.
+    #: Levels of a recursive reference that are unrolled; content below is never passed silently: the validator and the
+    #: visit table report it as depth_exceeded, the normaliser and folds, which have no place for a report, fail.
     max_depth: int = MAX_DEPTH
 
 
@@ -51,6 +52,10 @@ class TooDeep(Exception):
     pass
 
 
+def too_deep(options: Options) -> str:
+    return f"depth_exceeded: content is nested deeper than max_depth={options.max_depth} of a recursive reference; a larger Options(max_depth=...) reaches it"
+
+
 def follow(schema: dict, place: Place, options: Options) -> tuple[dict, Place]:
     """The schema that stands at a node, references resolved; TooDeep where recursion was unrolled far enough."""
     seen = 0

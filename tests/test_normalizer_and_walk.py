@@ -85,3 +85,26 @@ def test_form(spark):
         "<input type='string' value='frodo' name='first' required >\n<select  name='gender'>\n<option value='male' selected>male</option>\n<option value='female' >female</option>\n</select>\n"
         "<fieldset>\n<div id='books[0]'>\n<input type='string' value='Lord' name='books[0][name]'>\n<button onclick='document.getElementById(\"books[0]\").remove();'>Delete</button>\n</div>\n</fieldset>\n"
     )
+
+
+def test_content_below_max_depth_is_not_passed(spark):
+    chain = {"properties": {"x": {"type": "integer"}, "next": {"$ref": "#"}}, "additionalProperties": False}
+
+    def nested(n):
+        doc = {"x": "1", "junk": 1}
+        for _ in range(n):
+            doc = {"x": "1", "junk": 1, "next": doc}
+        return spark.createDataFrame([(json.dumps(doc),)], "j string").select(F.parse_json("j").alias("v"))
+
+    shallow, options = Options(max_depth=2), Options(max_depth=4)
+    out = Normalizer(chain, options).normalize(nested(4), "v").select(F.to_json("v")).first()[0]
+    assert "junk" not in out and out.count('"x":1') == 5
+    with pytest.raises(Exception, match="depth_exceeded"):
+        Normalizer(chain, shallow).normalize(nested(4), "v").select(F.to_json("v")).first()
+    walk = lambda o: Walk(chain, {"[type=integer]": lambda s, v, c: "i"}, o)
+    seen = lambda o, n: [(r["phase"], r["path"]) for r in walk(o).visits(nested(n), "v", []).orderBy("seq").collect()]
+    assert len(seen(options, 4)) == 5 and {p for p, _ in seen(options, 4)} == {""}
+    assert [x for x in seen(shallow, 4) if x[0]] == [("depth_exceeded", ["next"] * 3)] and not [x for x in seen(shallow, 2) if x[0]]
+    assert nested(4).select(walk(options).fold(nested(4), "v")).first()[0] == "i" * 5
+    with pytest.raises(Exception, match="depth_exceeded"):
+        nested(4).select(walk(shallow).fold(nested(4), "v")).first()
