@@ -6,11 +6,11 @@ selection uses. Features: words and their first five bytes (present or not), and
 shape (the characters that are no letters, whether in capitals) and immediate repetition. The weights have a fixed
 size, so they are broadcast; texts are scored in batches, nothing is shuffled.
 
-The model is fitted on at most `max_rated` rated rows, those with the smallest hash of their id: the one bounded
+The model is fitted on at most `max_rated` rated ids, those with the smallest hash, one row each: the one bounded
 sample here. Everything is scored.
 
-Defined results: ratings with a null id or grade are not learned from, several ratings of a document count each; a
-null text is an empty one and gets the score of an empty text; with no ratings at all the scores are null and every
+Defined results: ratings with a null id or grade are not learned from; of several ratings of an id the most frequent
+counts (the lowest of equally frequent ones), of several texts the first in order; a null text is an empty one and gets the score of an empty text; with no ratings at all the scores are null and every
 document is kept. Repeated rows are scored each; extra columns are not read. An empty table gives an empty table.
 """
 
@@ -152,10 +152,13 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc
     rated = (
         ratings.select(F.col(id_col).alias("__id"), grade.cast("double").alias("__grade"))
         .where("__id is not null and __grade is not null")
-        .orderBy(F.xxhash64("__id"), "__id", "__grade")
-        .limit(max_rated)
+        .groupBy("__id")
+        .agg(F.mode("__grade", True).alias("__grade"))
     )
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rated), "__id")
+    # one row an id: its most frequent grade and its first text, so that the sample is the same however rows are dealt
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    sample = rated.orderBy(F.xxhash64("__id"), "__id").limit(max_rated)
+    rows = own.join(F.broadcast(sample), "__id").groupBy("__id", "__grade").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +168,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc
                 own = batch.slice(chunk.first, len(chunk))
                 yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.string()), own.column(2), pa.array(cut(ids), pa.binary()), pa.array(cut(values), pa.binary())], ["id", "grade", "ids", "vals"])
 
-    table = rows.select("__id", "text", "__grade").mapInArrow(extract, "id string, grade double, ids binary, vals binary").limit(max_rated).toArrow()
+    table = rows.select("__id", "text", "__grade").mapInArrow(extract, "id string, grade double, ids binary, vals binary").toArrow()
     if not table.num_rows:
         return None
     table = table.sort_by([("id", "ascending"), ("grade", "ascending")])

@@ -365,6 +365,20 @@ def lcs(a, b):
     return last[-1]
 
 
+def test_ratings_are_sampled_by_id(spark):
+    rng = random.Random(12)
+    base = [(i, sentences(rng, 30) + (" good" if i % 2 else " b4d")) for i in range(60)]
+    rows = [r for r in base for _ in range(5)] + [(3, "another text")]
+    grades = [(i, i % 2, 0) for i, _ in base] + [(k, k % 2, 0) for k in range(60) for _ in range(40 if k < 5 else 0)]
+    made = []
+    for n in (1, 7):
+        docs, labels = spark.createDataFrame(rows[::-1] if n == 1 else rows, "doc_id long, text string").repartition(n), spark.createDataFrame(grades, "doc_id long, quality int, toxic int").repartition(n)
+        made.append(ordinal_quality.train(docs, labels, ordinal_quality.grade_of_labels(), max_rated=40))
+    assert (made[0].weights == made[1].weights).all() and (made[0].thresholds == made[1].thresholds).all()
+    once = ordinal_quality.train(spark.createDataFrame([*base[:3], (3, min(base[3][1], "another text")), *base[4:]], "doc_id long, text string"), spark.createDataFrame(grades[:60], "doc_id long, quality int, toxic int"), ordinal_quality.grade_of_labels(), max_rated=40)
+    assert (made[0].weights == once.weights).all()
+
+
 def test_license_scan(spark, empty):
     mit, apache = license_scan.TEMPLATES["MIT-text"], license_scan.TEMPLATES["Apache-2.0-header"]
     rng = random.Random(9)
