@@ -10,11 +10,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ BROADCAST_BYTES = 64 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root, ignore_errors=True)
@@ -58,7 +61,7 @@ class Scratch:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may have ended: the folder then goes with the shared one
+        except (AttributeError, ConnectionError, Py4JError):  # the session may have ended: the folder then goes with the shared one
             return
 
 
@@ -206,3 +209,50 @@ def union_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def blocks_for(n_bytes: int, most: int = BROADCAST_BYTES) -> int:
     return max(1, -(-n_bytes // most))
+
+
+def in_passes(state: DataFrame, n_blocks: int, make: Callable[[int], object], step: Callable, scratch: Scratch, name: str) -> DataFrame:
+    """step(state, broadcast of make(block), block) for one block after another.
+
+    Where there are several, each pass is written before the next one begins and its broadcast is destroyed, so that one
+    block is alive at a time, and one Python worker a task, however many blocks there are.
+    """
+    for block in range(n_blocks):
+        shared = state.sparkSession.sparkContext.broadcast(make(block))
+        state = step(state, shared, block)
+        if n_blocks > 1:
+            state = scratch.save(state, f"{name}{block}")
+            shared.destroy()
+            if block:
+                scratch.drop(f"{name}{block - 1}")
+    return state
+
+
+class Lookup:
+    """A sorted table of hashes, searched from where a key's leading bits begin."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        bits = max(1, (2 * len(table)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        starts = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.begin = np.append(starts, len(table)).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.table)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key in the table, or -1."""
+        at = np.full(len(keys), -1, np.int64)
+        bucket = (keys >> self.shift).astype(np.int64)
+        place, stop = self.begin[bucket], self.begin[bucket + 1]
+        todo = np.flatnonzero(place < stop)
+        while len(todo):
+            here = place[todo]
+            hit = self.table[here] == keys[todo]
+            at[todo[hit]] = here[hit]
+            todo, here = todo[~hit], here[~hit] + 1
+            more = here < stop[todo]
+            todo, here = todo[more], here[more]
+            place[todo] = here
+        return at

@@ -11,14 +11,16 @@ unseen words share one place. So each state's probabilities sum to 1. A token is
 the words before it.
 
 Words and contexts are counted by 64-bit hash. Vocabulary, candidates and tree grow with the corpus, so they are tables
-and never gathered whole. Candidates are counted in hash blocks of bounded size, with a pass over the texts per block.
+and never gathered whole. A counting pass gives each task's distinct (context, word) pairs, as arrays, to hash buckets, in
+which they are merged; candidates are looked up in hash blocks of bounded size, with a pass over the texts per block.
 A tree row holds by how much (log10) a state, or one of its words, changes its parent's probability: a token's score
-is its unigram score plus one row per depth, so vocabulary and tree are broadcast in hash blocks, and the documents
-pass through one narrow scoring step per block, which adds what lies in it.
+is its unigram score plus one row per depth. Scoring is one pass: the most frequent words and states, as many as a fixed
+size holds, are broadcast, with a Bloom filter of the others; what may be one of those is joined by shuffle. They are the
+rare ones, so that few tokens go that way.
 
 Defined results: a null text is empty, and so has the end token only; with nothing to learn from, every token is
-unseen. Repeated rows count and are scored each; ids may be null (such rows are in fold 0, which is held out).
-An empty table gives an empty table.
+unseen. Repeated rows count and are scored each; ids may be null (such rows are in fold 0, which is held out). Texts of
+any length are scored whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, Scratch, Words, as_i64, blocks_for, chunks, mix, segment_sum
+from docloom.llm.common import BROADCAST_BYTES, Lookup, Scratch, Words, as_i64, blocks_for, chunks, mix, segment_sum
 
 ALPHA = 0.1
 MIN_COUNT = 10
@@ -41,13 +43,17 @@ MAX_DEPTH = 3
 DISCOUNT = 0.5
 G_LEAST = 30.0
 KL_LEAST = 0.02
-#: Bytes of a block of the vocabulary and of the tree: a hash and a number, 16 bytes a row.
-BLOCK_BYTES = 128 << 20
-TREE_BYTES = 64 << 20
-#: Bytes of a block of candidates, 8 bytes each, that a counting pass looks up.
-CANDIDATE_BYTES = 64 << 20
+#: Bytes of the words and of the tree rows that are broadcast, 16 a row; rarer ones are joined.
+BLOCK_BYTES = 8 << 20
+TREE_BYTES = 16 << 20
+#: Bytes of a block of candidates, 16 bytes each, that a counting pass looks up.
+CANDIDATE_BYTES = 32 << 20
 #: Distinct keys that a counting task holds before it passes them on.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 21
+#: Hash buckets of the counts for each part of the texts.
+BUCKETS_PER_PART = 4
+#: The filter of rare words or states: bits a key, up to a most, and those of a block, in which all of a key's are.
+BITS_PER_KEY, MOST_BITS, FILTER_BLOCK, PROBES = 10, 1 << 28, 1 << 19, 4
 END = np.uint64(0xE5D0F7E57)
 
 
@@ -78,71 +84,85 @@ def contexts(t: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.
         yield h, place >= d
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    order = np.argsort(keys)  # sorted, neighbours meet the same part of the table
-    at = np.empty(len(keys), np.int64)
-    at[order] = np.searchsorted(table, keys[order])
-    at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, -1)
+# ---------------------------------------------------------------- counting
+
+
+def merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a and b with their counts added up."""
+    if not len(a):
+        return a, b, n
+    key = entry(a.astype(np.uint64), b)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    order, n = order, n[order]
+    return a[order[new]], b[order[new]], np.add.reduceat(n, new)
 
 
 class Counter:
-    """Counts of 64-bit keys, compacted as they come and passed on when there are many, as the columns that make a key."""
+    """Counts of (a, b) pairs, merged as they come and passed on in hash buckets when there are many."""
 
-    def __init__(self, most: int = HELD_KEYS):
-        self.parts, self.size, self.most = [], 0, most
+    def __init__(self, n_buckets: int, most: int = HELD_KEYS):
+        self.parts, self.size, self.n_buckets, self.most = [], 0, n_buckets, most
 
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, at, n = np.unique(entry(*columns) if len(columns) > 1 else columns[0], return_index=True, return_counts=True)
-        self.parts.append((k, n, *[c[at] for c in columns[1:]], *[c[at] for c in columns[:1] if len(columns) > 1]))
-        self.size += len(k)
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(merged(a, b, np.ones(len(a), np.int64)))
+        self.size += len(self.parts[-1][0])
         if self.size > 2 * self.most:
-            held = self._compact()
+            held = self._merge()
             if len(held[0]) > self.most:
-                yield from self.rows(*held)
+                yield self._dealt(*held)
             else:
                 self.parts, self.size = [held], len(held[0])
 
-    def _compact(self) -> tuple[np.ndarray, ...]:
+    def _merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts, self.parts, self.size = self.parts, [], 0
-        if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        order = np.argsort(np.concatenate([p[0] for p in parts]))
-        k, n, *rest = (np.concatenate(c)[order] for c in zip(*parts, strict=True))
-        new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-        return k[new], np.add.reduceat(n, new) if len(new) else n, *[c[new] for c in rest]
-
-    def rows(self, k: np.ndarray, n: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-        columns = [n, *rest] if rest else [n, k]
-        for i in range(0, len(k), 1 << 17):
-            yield pa.RecordBatch.from_arrays([as_i64(c[i : i + (1 << 17)]) for c in columns], ["n", "b", "a"] if rest else ["n", "a"])
+        return merged(*(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def _dealt(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = (mix(a.astype(np.uint64) + b, 32) % np.uint64(self.n_buckets)).astype(np.int64)
+        order = np.lexsort((a, bucket))  # contexts in order: their leading bytes then compress
+        a, b, n, bucket = a[order], b[order], n[order].astype(np.uint32), bucket[order]
+        at = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+        cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), cut(a), cut(b), cut(n)], ["bucket", "a", "b", "n"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        yield from self.rows(*self._compact())
+        if self.size:
+            yield self._dealt(*self._merge())
 
 
-def count(texts: DataFrame, keys, names: list[str]) -> DataFrame:
-    """kind, the named key columns and n: how often keys(chunk), a list of (kind, *columns), gives each key over the table's only column."""
+def count(texts: DataFrame, keys, rows, schema: str) -> DataFrame:
+    """What rows(a, b, n) makes of the counts of all pairs that keys(chunk) gives over the table's only column."""
+    n_buckets = BUCKETS_PER_PART * texts.rdd.getNumPartitions()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
+        held = Counter(n_buckets)
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                yield from held.add(*keys(chunk))
+        yield from held.rest()
 
-        def mark(kind: int, made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for r in made:
-                yield pa.RecordBatch.from_arrays([*[r.column(x) for x in names], r.column("n"), pa.array(np.full(r.num_rows, kind, np.int8))], [*names, "n", "kind"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(blobs: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            a, b, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*blobs, strict=True), (np.uint32, np.uint64, np.uint32), strict=True))
+            got = rows(*merged(a, b, n.astype(np.int64)))
+            for i in range(0, got.num_rows, 1 << 17):
+                yield got.slice(i, 1 << 17)
 
+        at, blobs = None, []
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                for kind, *found in keys(chunk):
-                    yield from mark(kind, held.setdefault(kind, Counter()).add(*found))
-        for kind, counter in held.items():
-            yield from mark(kind, counter.rest())
+            for bucket, *blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if bucket != at and blobs:
+                    yield from done(blobs)
+                    blobs = []
+                at = bucket
+                blobs.append(blob)
+        if blobs:
+            yield from done(blobs)
 
-    schema = "".join(f"{x} long, " for x in names)
-    return texts.mapInArrow(run, f"{schema}n long, kind byte").groupBy("kind", *names).agg(F.sum("n").alias("n"))
+    dealt = texts.mapInArrow(run, "bucket int, a binary, b binary, n binary").repartition(n_buckets, "bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(add, schema)
 
 
 def gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -157,50 +177,49 @@ def entry(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(0xC2B2AE3D27D4EB4F) + word, 31)
 
 
-def in_block(h: np.ndarray, block: int, n_blocks: int) -> np.ndarray:
-    return np.full(len(h), block == 0) if n_blocks == 1 else h.view(np.int64) % n_blocks == block
-
-
 @dataclass
 class Level:
-    """Kept states of one depth, or of a block of it, and their (context, word) entries: hashes, and log10 of what each makes of the parent's probability."""
+    """Kept states of one depth and their (context, word) entries: hashes, and log10 of what each makes of the parent's probability."""
 
-    states: np.ndarray
+    states: Lookup
     left: np.ndarray
-    keys: np.ndarray
+    keys: Lookup
     lift: np.ndarray
 
 
 @dataclass
 class Tree:
-    """The levels of a tree, or of its block."""
+    """The levels of a tree, or of its most frequent part."""
 
     levels: list[Level]
     n: int
     v: int
-    block: int = 0
-    n_blocks: int = 1
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return (c + ALPHA) / (self.n + ALPHA * (self.v + 1))
 
-    def change(self, t: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 of what the states in the tree make of each token's unigram probability."""
+    def change(self, t: np.ndarray, place: np.ndarray, rare: Filter | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of what the states in the tree make of each token's unigram probability; and the tokens and contexts that may be states that `rare` holds."""
         out = np.zeros(len(t))
         alive = np.ones(len(t), bool)
+        more: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         for level, (h, there) in zip(self.levels, contexts(t, place, len(self.levels)), strict=True):
-            own = np.flatnonzero(there & alive & in_block(h, self.block, self.n_blocks))
-            s = find(level.states, h[own])
+            own = np.flatnonzero(there & alive)
+            s = level.states.find(h[own])
+            alive = np.zeros(len(t), bool)  # parents of states are states
+            if rare is not None:
+                maybe = own[s < 0]
+                maybe = maybe[rare.has(h[maybe])]
+                more.append((maybe, h[maybe]))
+                alive[maybe] = True
             own, s = own[s >= 0], s[s >= 0]
-            e = find(level.keys, entry(h[own], t[own]))
+            e = level.keys.find(entry(h[own], t[own]))
             out[own] += np.where(e >= 0, level.lift[e] if len(level.keys) else 0.0, level.left[s] if len(s) else 0.0)
-            if self.n_blocks == 1:  # parents of states are states
-                alive = np.zeros(len(t), bool)
-                alive[own] = True
-        return out
+            alive[own] = True
+        return out, *(np.concatenate(x) for x in zip(*more, strict=True))
 
     def probability(self, t: np.ndarray, place: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return self.unigram(c) * 10.0 ** self.change(t, place)
+        return self.unigram(c) * 10.0 ** self.change(t, place)[0]
 
 
 def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
@@ -220,29 +239,34 @@ def _longer(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("g", "g_above", "w", "n").mapInArrow(run, "h long, above long, size long")
 
 
-def _count_level(texts: DataFrame, scratch: Scratch, candidates: DataFrame, depth: int, block_bytes: int) -> DataFrame:
-    """h, w, n: how often a word comes after a candidate, twice or more."""
+def _count_level(texts: DataFrame, scratch: Scratch, candidates: DataFrame, depth: int, least: float, gamma: float, block_bytes: int) -> DataFrame:
+    """h, w, n, size: how often a word comes after a candidate; twice or more, and often enough for an entry or a longer candidate."""
     spark = texts.sparkSession
-    n_blocks = blocks_for(8 * candidates.count(), block_bytes)
+    n_blocks = blocks_for(16 * candidates.count(), block_bytes)
     parts = []
     for block in range(n_blocks):
-        mine = candidates.where(F.pmod("h", F.lit(n_blocks)) == block).select(F.col("h").alias("k"), F.lit(0).alias("n"))
-        shared = spark.sparkContext.broadcast(gather(mine)[0])
+        h, size = gather(candidates.where(F.pmod("h", F.lit(n_blocks)) == block).select(F.col("h").alias("k"), F.col("size").alias("n")))
+        shared = spark.sparkContext.broadcast((Lookup(h), size))
 
-        def keys(chunk, shared=shared, block=block):
+        def keys(chunk, shared=shared):
             t, _, place = tokens(chunk)
             h, there = list(contexts(t, place, depth))[-1]
-            own = np.flatnonzero(there & in_block(h, block, n_blocks))
-            own = own[find(shared.value, h[own]) >= 0]
-            yield 0, h[own], t[own]
+            own = np.flatnonzero(there)
+            at = shared.value[0].find(h[own])
+            return at[at >= 0].astype(np.uint32), t[own[at >= 0]]
+
+        def rows(a, w, n, shared=shared):
+            size = shared.value[1][a]
+            ok = (n >= 2) & ((n >= gamma * size) | (n >= least))
+            return pa.RecordBatch.from_arrays([as_i64(shared.value[0].table[a[ok]]), as_i64(w[ok]), pa.array(n[ok]), pa.array(size[ok])], ["h", "w", "n", "size"])
 
-        counted = count(texts, keys, ["a", "b"]).where("n >= 2")
-        parts.append(scratch.save(counted.select(F.col("a").alias("h"), F.col("b").alias("w"), "n"), f"depth{depth}-{block}"))
+        parts.append(scratch.save(count(texts, keys, rows, "h long, w long, n long, size long"), f"depth{depth}-{block}"))
+        shared.destroy()
     return reduce(DataFrame.unionByName, parts)
 
 
 def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: int, least: float, gamma: float, max_depth: int, g_least: float, kl_least: float, block_bytes: int) -> DataFrame:
-    """depth, h, w, change: the kept states (w is null) and their entries. Built level by level; each level counts the next words of its candidates over all training texts."""
+    """depth, h, w, change, size: the kept states (w is null), their entries, and how often the state occurs. Built level by level; each level counts the next words of its candidates over all training texts."""
     words = vocabulary.where(F.col("n") >= 2).select(F.col("k").alias("w"), F.col("n").alias("word_n"))
     zero = F.lit(0).cast("long")
     often = (F.col("n") >= least) & (F.col("w") != int(END))
@@ -253,8 +277,10 @@ def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: i
     entries: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
         candidates = scratch.save(candidates, f"candidates{depth}")
-        pairs = _count_level(texts, scratch, candidates, depth, block_bytes)
-        rows = pairs.join(_small(candidates, 96), "h").where(F.col("n") >= gamma * F.col("size")).join(_small(words), "w")
+        pairs = _count_level(texts, scratch, candidates, depth, least, gamma, block_bytes)
+        rows = pairs.where(F.col("n") >= gamma * F.col("size")).join(_small(words), "w")
+        if entries:
+            rows = rows.join(_small(candidates.select("h", "up", "lefts"), 96), "h")
         above = (F.col("word_n") + ALPHA) / (n + ALPHA * (v + 1))
         for k, level in enumerate(entries):
             rows = rows.withColumn("__h", F.get("up", F.lit(k))).join(_small(level.select(F.col("h").alias("__h"), "w", F.col("p").alias(f"p{k}"))), ["__h", "w"], "left").drop("__h")
@@ -269,13 +295,13 @@ def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: i
         kl = some("d") + rest * F.log(F.greatest(rest, F.lit(1e-12)) / F.greatest(1 - some("a"), F.lit(1e-12)))
         marked = (F.col("kl") >= kl_least) & (2 * F.col("size") * F.col("kl") >= g_least)
         level = candidates.join(sums, "h", "left").withColumn("kl", kl)
-        states.append(scratch.save(level.select("h", "up", "lefts", ((F.col("size") - some("taken")) / F.col("size")).alias("left"), marked.alias("marked")), f"states{depth}"))
+        states.append(scratch.save(level.select("h", "size", "up", "lefts", ((F.col("size") - some("taken")) / F.col("size")).alias("left"), marked.alias("marked")), f"states{depth}"))
         p = (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("above")
         entries.append(scratch.save(rows.join(_small(states[-1].select("h", "left")), "h").select("h", "w", p.alias("p"), F.log10(p / F.col("above")).alias("change")), f"entries{depth}"))
         if depth < max_depth:
             # a word after a context that often is a longer context; the same without its first word is its parent
             level = _small(states[-1].select("h", "up", "lefts", "left"), 96)
-            known = pairs.where(often).withColumnRenamed("h", "g").join(_small(candidates.select(F.col("h").alias("g"), F.coalesce(F.try_element_at("up", F.lit(-1)), zero).alias("g_above"))), "g")
+            known = pairs.where(often).drop("size").withColumnRenamed("h", "g").join(_small(candidates.select(F.col("h").alias("g"), F.coalesce(F.try_element_at("up", F.lit(-1)), zero).alias("g_above"))), "g")
             longer = _longer(known, depth + 1).withColumnRenamed("h", "longer").withColumnRenamed("above", "h").join(level, "h")
             candidates = longer.select(F.col("longer").alias("h"), "size", F.array_append("up", F.col("h")).alias("up"), F.array_append("lefts", F.col("left")).alias("lefts"))
     kept: list[DataFrame] = []
@@ -287,8 +313,8 @@ def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: i
         kept.append(scratch.save(own if kept else own.where("marked"), f"kept{depth}"))
     parts = []
     for depth, (own, level) in enumerate(zip(kept[::-1], entries, strict=True), 1):
-        parts.append(own.select(F.lit(depth).alias("depth"), "h", F.lit(None).cast("long").alias("w"), F.log10("left").alias("change")))
-        parts.append(level.join(_small(own.select("h")), "h", "left_semi").select(F.lit(depth).alias("depth"), "h", "w", "change"))
+        parts.append(own.select(F.lit(depth).alias("depth"), "h", F.lit(None).cast("long").alias("w"), F.log10("left").alias("change"), "size"))
+        parts.append(level.join(_small(own.select("h", "size")), "h").select(F.lit(depth).alias("depth"), "h", "w", "change", "size"))
     tree = scratch.save(reduce(DataFrame.unionByName, parts), "tree")
     for depth in range(1, max_depth + 1):
         for name in ("candidates", "rows", "states", "entries", "kept"):
@@ -298,7 +324,7 @@ def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: i
 
 @dataclass
 class Model:
-    """The tree (depth, h, w, change) and the training vocabulary (k: word hash, n: count) as tables; n tokens, v words."""
+    """The tree (depth, h, w, change, size) and the training vocabulary (k: word hash, n: count) as tables; n tokens, v words."""
 
     rows: DataFrame
     vocabulary: DataFrame
@@ -306,9 +332,9 @@ class Model:
     v: int
     max_depth: int
 
-    def block(self, block: int, n_blocks: int) -> Tree:
-        """The part of the tree in a hash block, on the driver."""
-        t = self.rows.where(F.pmod("h", F.lit(n_blocks)) == block).toArrow()
+    def part(self, rows: DataFrame) -> Tree:
+        """Rows of the tree, on the driver; callers bound them."""
+        t = rows.toArrow()
         depth, change = t.column("depth").to_numpy(), t.column("change").to_numpy()
         h, w = (t.column(x).fill_null(0).to_numpy().view(np.uint64) for x in ("h", "w"))
         is_state = t.column("w").is_null().to_numpy()
@@ -317,13 +343,13 @@ class Model:
             s, e = (depth == d) & is_state, (depth == d) & ~is_state
             states, keys = h[s], entry(h[e], w[e])
             a, b = np.argsort(states), np.argsort(keys)
-            levels.append(Level(states[a], change[s][a], keys[b], change[e][b]))
-        return Tree(levels, self.n, self.v, block, n_blocks)
+            levels.append(Level(Lookup(states[a]), change[s][a], Lookup(keys[b]), change[e][b]))
+        return Tree(levels, self.n, self.v)
 
     @property
     def tree(self) -> Tree:
         """The whole tree on the driver, for small ones."""
-        return self.block(0, 1)
+        return self.part(self.rows)
 
 
 def train(
@@ -332,44 +358,134 @@ def train(
 ) -> Model:
     scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    vocabulary = scratch.save(count(texts, lambda chunk: [(0, tokens(chunk)[0])], ["a"]).select(F.col("a").alias("k"), "n"), "vocabulary")
+
+    def words(chunk):
+        t = tokens(chunk)[0]
+        return np.zeros(len(t), np.uint32), t
+
+    counted = count(texts, words, lambda a, w, n: pa.RecordBatch.from_arrays([as_i64(w), pa.array(n)], ["k", "n"]), "k long, n long")
+    vocabulary = scratch.save(counted, "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(2.0, min_count if p_min is None else p_min * n)
     return Model(grow(texts, scratch, vocabulary, n, v, least, gamma, max_depth, g_least, kl_least, block_bytes), vocabulary, n, v, max_depth)
 
 
-def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str = "text", block_bytes: int = BLOCK_BYTES, tree_bytes: int = TREE_BYTES) -> DataFrame:
+# ---------------------------------------------------------------- scoring
+
+
+@dataclass
+class Filter:
+    """A Bloom filter of 64-bit hashes; a key's bits are all in one block, chosen by its leading bits."""
+
+    bits: np.ndarray
+    shift: int
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = probes(h, self.shift)
+        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
+def probes(h: np.ndarray, shift: int) -> np.ndarray:
+    """Bit positions, a row per probe, where the leading 64 - shift bits choose the block."""
+    start = (h >> np.uint64(shift)) * np.uint64(FILTER_BLOCK) if shift < 64 else np.zeros(len(h), np.uint64)
+    h = mix(h, 33)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return np.stack([start + ((h + np.uint64(i) * step) & np.uint64(FILTER_BLOCK - 1)) for i in range(PROBES)]).astype(np.int64)
+
+
+def filter_of(keys: DataFrame, n_keys: int) -> Filter:
+    """Of a table's only column of hashes, built block by block; its size is bounded, beyond which more is let through."""
+    size = 1 << max(0, min(MOST_BITS, n_keys * BITS_PER_KEY) // FILTER_BLOCK).bit_length()
+    size = min(size, MOST_BITS // FILTER_BLOCK)
+    shift = 65 - size.bit_length()
+    block = F.shiftrightunsigned("h", shift).cast("int") if shift < 64 else F.lit(0)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for k in np.unique(blocks).tolist():
+                bits = have.setdefault(k, np.zeros(FILTER_BLOCK // 8, np.uint8))
+                at = (probes(h[blocks == k], shift) & (FILTER_BLOCK - 1)).ravel()
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for k, bits in have.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
+
+    bits = np.zeros(size * FILTER_BLOCK // 8, np.uint8)
+    for r in keys.toDF("h").select(block.alias("block"), "h").repartition("block").mapInArrow(fill, "block int, bits binary").collect():
+        bits[r["block"] * FILTER_BLOCK // 8 : (r["block"] + 1) * FILTER_BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return Filter(bits, shift)
+
+
+def split_at(table: DataFrame, size: str, n_rows: int, most: int) -> int:
+    """Least power of two so that no more than `most` rows have that size or more; 0 if all do."""
+    if n_rows <= most:
+        return 0
+    power = F.floor(F.log2(F.col(size).cast("double"))).cast("int")
+    total, cut = 0, 62
+    for r in table.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect():  # 64 rows at most
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["power"]
+    return 1 << cut
+
+
+def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str = "text", block_bytes: int = BLOCK_BYTES, tree_bytes: int = TREE_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """`keep`, then n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row."""
     spark = docs.sparkSession
-    n_blocks, n_trees = blocks_for(16 * model.v, block_bytes), blocks_for(16 * model.rows.count(), tree_bytes)
-    zero = {"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "train_tokens": F.lit(model.n).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0)}
-    state = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("__text"), *[c.alias(k) for k, c in zero.items()])
-    for b in range(max(n_blocks, n_trees)):  # beyond its last block either side finds nothing
-        words = gather(model.vocabulary.where(F.pmod(F.col("k"), F.lit(n_blocks)) == b))
-        state = _score(state, spark.sparkContext.broadcast(model.block(b, n_trees)), spark.sparkContext.broadcast(words), b, n_blocks)
-    return state.drop("__text")
+    n_rows = model.rows.count()
+    word_cut, tree_cut = split_at(model.vocabulary, "n", model.v, block_bytes // 16), split_at(model.rows, "size", n_rows, tree_bytes // 16)
+    rare_words, rare_rows = model.vocabulary.where(F.col("n") < word_cut), model.rows.where(F.col("size") < tree_cut)
+    word, n = gather(model.vocabulary.where(F.col("n") >= word_cut))
+    words = Lookup(word), n, filter_of(rare_words.select("k"), model.v) if word_cut else None
+    tree = model.part(model.rows.where(F.col("size") >= tree_cut)), filter_of(rare_rows.where("w is null").select("h"), n_rows) if tree_cut else None
+    rows = docs.select(*[c.alias(f"__k_{k}") for k, c in keep.items()], F.col(text_col).cast("string").alias("__text"))
+    carried = rows.columns[:-1]
+    got = _score(rows, spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(tree))
+    out = {"n_tokens": F.col("n_tokens"), "n_known": F.col("n_known"), "train_tokens": F.lit(model.n).cast("long"), "base_score": F.col("base_score"), "score": F.col("score")}
+    if word_cut or tree_cut:
+        scratch = scratch or Scratch(spark)
+        got = scratch.save(got.withColumn("__row", F.monotonically_increasing_id()), "scored")  # from here on a row's number is fixed
+        seen = got.select("__row", F.explode("rare_words").alias("k")).join(rare_words, "k")
+        more = seen.select("__row", F.lit(1).cast("long").alias("known"), F.log10((F.col("n") + ALPHA) / ALPHA).alias("base"), F.lit(0.0).alias("change"))
+        if tree_cut:
+            entries = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "change")))  # few: each holds a share of its state
+            states = rare_rows.groupBy("h").agg(F.max(F.when(F.col("w").isNull(), F.col("change"))).alias("left"), entries.alias("entries"))
+            asked = got.select("__row", F.explode(F.arrays_zip("rare_states", "rare_next")).alias("at")).select("__row", F.col("at.rare_states").alias("h"), F.col("at.rare_next").alias("t"))
+            own = F.get(F.filter("entries", lambda e: e["w"] == F.col("t")), F.lit(0))["change"]
+            changed = asked.join(states, "h").select("__row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.coalesce(own, F.col("left")).alias("change"))
+            more = more.unionByName(changed)
+        more = more.groupBy("__row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("change").alias("change"))
+        got = got.join(more, "__row", "left")
+        add = lambda c, zero: F.coalesce(F.col(c), F.lit(zero))
+        out |= {"n_known": F.col("n_known") + add("known", 0), "base_score": F.col("base_score") + add("base", 0.0), "score": F.col("score") + add("base", 0.0) + add("change", 0.0)}
+    return got.select(*[F.col(c).alias(k) for c, k in zip(carried, keep, strict=True)], *[c.alias(k) for k, c in out.items()])
+
+
+def _score(rows: DataFrame, words, tree) -> DataFrame:
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (word, n, rare), (own, rare_states) = words.value, tree.value
 
-def _score(state: DataFrame, shared, words, block: int, n_blocks: int) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
+        def per_text(values: np.ndarray, owner: np.ndarray, n_texts: int) -> pa.Array:
+            order = np.argsort(owner, kind="stable")
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(n_texts + 1)).astype(np.int32)), as_i64(values[order]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (word, n) = shared.value, words.value
         for batch in batches:
-            got = {k: [np.zeros(0, np.int64)] for k in ("n_tokens", "n_known")} | {k: [np.zeros(0)] for k in ("base_score", "score")}
-            for chunk in chunks(batch.column("__text")):
+            for chunk in chunks(batch.column(batch.num_columns - 1)):
                 t, at, place = tokens(chunk)
-                mine = in_block(t, block, n_blocks)
-                found = find(word, t)
+                found = word.find(t)
                 c = np.where(found >= 0, n[found] if len(n) else 0, 0)
-                base = np.where(mine, np.log10(tree.unigram(c)), 0.0)
-                got["n_tokens"].append(segment_sum(mine.astype(np.int64), at))
-                got["n_known"].append(segment_sum((mine & (c > 0)).astype(np.int64), at))
-                got["base_score"].append(segment_sum(base, at))
-                got["score"].append(segment_sum(base + tree.change(t, place), at))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            for k, parts in got.items():
-                columns[k] = pa.array(columns[k].to_numpy(zero_copy_only=False) + np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return state.mapInArrow(run, schema)
+                base = np.log10(own.unigram(c))
+                change, asked, context = own.change(t, place, rare_states)
+                unknown = np.flatnonzero(found < 0) if rare is not None else np.zeros(0, np.int64)
+                unknown = unknown[rare.has(t[unknown])] if len(unknown) else unknown
+                text = np.repeat(np.arange(len(chunk)), np.diff(at))
+                sums = [segment_sum(x, at) for x in (np.ones(len(t), np.int64), (c > 0).astype(np.int64), base, base + change)]
+                lists = [per_text(t[unknown], text[unknown], len(chunk)), per_text(context, text[asked], len(chunk)), per_text(t[asked], text[asked], len(chunk))]
+                part = batch.slice(chunk.first, len(chunk))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, sums), *lists], [*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "rare_words", "rare_states", "rare_next"])
+
+    return rows.mapInArrow(run, schema + "n_tokens long, n_known long, base_score double, score double, rare_words array<long>, rare_states array<long>, rare_next array<long>")
