@@ -2,13 +2,15 @@
 
 Every document gets counts (words, symbols, repeated lines, words in repeated windows). Each language and source has
 a quantile sketch per measure: counts by logarithmic bucket, which merge by adding and answer quantiles within a
-fixed relative error. From the sketch's quartiles comes an upper fence, quartile plus a multiple of the quartiles'
-distance, so that a source is judged by its own habits; a group of few documents uses its language's sketch, merged
-from the groups', and failing that the whole corpus's. The fences are joined back, and a document beyond one is not
-kept. Counting is one narrow pass, written once; the sketches are small after map-side sums.
+fixed relative error. From a group's sketches come its fences, so that a source is judged by its own habits: for the
+shares (symbols, repeated lines, repeated windows) a high quantile of the group with some slack, for the mean word length
+an upper and a lower fence, quartile plus or minus a multiple of the quartiles' distance. A group of few documents uses
+its language's sketch, merged from the groups', and failing that the whole corpus's. The fences are joined back, and a
+document beyond one is not kept. Counting is one narrow pass, written once; the sketches are small after map-side sums.
 
 Defined results: a null or empty text has no words and fails the base rules. Null languages and sources are groups
-of their own. Repeated rows count and are judged each; null ids are allowed. An empty table gives an empty table.
+of their own. Repeated rows count and are judged each; null ids are allowed; texts of any length are counted whole, and a
+value equal to its fence is within it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,13 +25,17 @@ WINDOW_WORDS = 8
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Ratio of a bucket's bounds: quantiles are within 2 % of the true value.
-GAMMA = 1.04
+#: Ratio of a bucket's bounds: quantiles are within 0.5 % of the true value.
+GAMMA = 1.01
 MIN_GROUP = 100
-#: A fence lies this many quartile distances above the upper quartile ...
-FENCE = 6.0
-#: ... where the distance counts as at least this, by measure.
-LEAST_SPREAD = {"symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.05, "mean_word": 0.6}
+#: The fence of a share is this quantile of its group ...
+QUANTILE = {"symbol_share": 0.9, "dup_line_share": 0.99, "repeat_share": 0.99}
+#: ... times the first plus the second, so that groups which hardly ever have any allow a little.
+SLACK, ALLOWED = 1.25, 0.02
+#: Mean word length: so many quartile distances beyond the quartiles, the distance at least the second.
+DISTANCES, LEAST_DISTANCE = 3.0, 0.05
+#: The fences: measure, and whether it is an upper one.
+FENCES = (("symbol_share", True), ("dup_line_share", True), ("repeat_share", True), ("mean_word", True), ("mean_word", False))
 MAX_BROADCAST_GROUPS = 200_000
 
 
@@ -58,6 +64,7 @@ def repeated_window_words(words: Column, n: int = WINDOW_WORDS) -> Column:
         step = lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(F.lit(n), p - a["last"])).cast("long").alias("sum"))
         return F.aggregate(places, zero, step)["sum"]
 
+    # slices, not eight single hashes a place: those were a third slower when measured
     hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
     some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
     return F.when(F.size(words) > n, some).otherwise(F.lit(0).cast("long"))
@@ -110,16 +117,21 @@ def merge(sketches: DataFrame, group: list[str]) -> DataFrame:
     return sketches.groupBy(*group, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _name(measure: str, upper: bool, level: str) -> str:
+    return f"{measure}_{'most' if upper else 'least'}_{level}"
+
+
 def fences(sketches: DataFrame, group: list[str], name: str) -> DataFrame:
-    """group, n_docs and a column per measure named <measure>_<name>."""
+    """group, n_docs and a column per fence."""
     w = Window.partitionBy(*group, "measure")
     run = sketches.withColumns({"total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("bucket"))})
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), F.col("bucket")))
-    q = run.groupBy(*group, "measure").agg(F.max("total").alias("n_docs"), at(0.25).alias("q1"), at(0.75).alias("q3"))
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv]), F.col("measure"))
-    fence = bucket_value(F.col("q3")) + FENCE * F.greatest(bucket_value(F.col("q3")) - bucket_value(F.col("q1")), least)
-    per = [F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_{name}") for m in LEAST_SPREAD]
-    return q.withColumn("fence", fence).groupBy(*group).agg(F.max("n_docs").alias(f"n_{name}"), *per)
+    at = lambda q: bucket_value(F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), F.col("bucket"))))
+    high = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in QUANTILE.items() for x in kv]), F.col("measure")), F.lit(0.75))
+    q = run.withColumn("high", high).groupBy(*group, "measure").agg(F.max("total").alias("n_docs"), at(F.lit(0.25)).alias("low"), at(F.col("high")).alias("high"))
+    distance = DISTANCES * F.greatest(F.col("high") - F.col("low"), F.lit(LEAST_DISTANCE))
+    most = F.when(F.col("measure") == "mean_word", F.col("high") + distance).otherwise(SLACK * F.col("high") + ALLOWED)
+    per = [F.max(F.when(F.col("measure") == m, F.col("most" if upper else "least"))).alias(_name(m, upper, name)) for m, upper in FENCES]
+    return q.withColumns({"most": most, "least": F.col("low") - distance}).groupBy(*group).agg(F.max("n_docs").alias(f"n_{name}"), *per)
 
 
 def judge(docs: DataFrame, keep: dict[str, Column], lang_col: str = "lang", source_col: str = "source", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -128,14 +140,17 @@ def judge(docs: DataFrame, keep: dict[str, Column], lang_col: str = "lang", sour
     scratch = scratch or Scratch(spark)
     measured = scratch.save(measure(docs, keep | {"__lang": F.col(lang_col).cast("string"), "__source": F.col(source_col).cast("string")}, text_col), "measured")
     fine = scratch.save(sketch(measured.where(~base_failed()), ["__lang", "__source"]), "sketches")
-    own, by_lang, whole = fences(fine, ["__lang", "__source"], "own"), fences(merge(fine, ["__lang"]), ["__lang"], "lang"), fences(merge(fine, []), [], "all")
-    levels = own.join(by_lang.withColumnRenamed("__lang", "__l"), F.col("__lang").eqNullSafe(F.col("__l"))).crossJoin(F.broadcast(whole))  # `whole` is one row
-    pick = lambda m: F.when(F.col("n_own") >= MIN_GROUP, F.col(f"{m}_own")).when(F.col("n_lang") >= MIN_GROUP, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_all"))
-    table = scratch.save(levels.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), *[pick(m).alias(f"max_{m}") for m in LEAST_SPREAD]), "fences")
+    own, by_lang = fences(fine, ["__lang", "__source"], "own"), fences(merge(fine, ["__lang"]), ["__lang"], "lang")
+    whole = fences(merge(fine, []), [], "all").first()  # one row, or none
+    corpus = lambda m, upper: F.lit(whole[_name(m, upper, "all")] if whole else None).cast("double")
+    levels = own.join(by_lang.withColumnRenamed("__lang", "__l"), F.col("__lang").eqNullSafe(F.col("__l")))
+    pick = lambda m, upper: F.when(F.col("n_own") >= MIN_GROUP, F.col(_name(m, upper, "own"))).when(F.col("n_lang") >= MIN_GROUP, F.col(_name(m, upper, "lang"))).otherwise(corpus(m, upper))
+    table = scratch.save(levels.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), *[pick(m, upper).alias(_name(m, upper, "fence")) for m, upper in FENCES]), "fences")
     if table.count() <= MAX_BROADCAST_GROUPS:
         table = F.broadcast(table)
     joined = measured.join(table, F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")), "left")
     verdict = F.lit(True)
-    for m, v in measures().items():
-        verdict = verdict & F.coalesce(v <= F.col(f"max_{m}"), F.lit(True))
+    for m, upper in FENCES:
+        v, fence = measures()[m], F.col(_name(m, upper, "fence"))
+        verdict = verdict & F.coalesce(v <= fence if upper else v >= fence, F.lit(True))
     return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict}).drop("__lang", "__source", "__l", "__s")

@@ -25,25 +25,27 @@ with d as (
     n_repeat_words / greatest(n_words, 1)::double as repeat_share, word_chars / greatest(n_words, 1)::double as mean_word
   from m
 ), v as (
-  select r, lang, source, base_failed, measure, x, case measure when 'mean_word' then 0.6::double when 'repeat_share' then 0.05::double else 0.1::double end as least,
-    case when x < 0.0001 then -1000000 else ceil(ln(x) / ln(1.04::double))::int end as bucket
+  select r, lang, source, base_failed, measure, x, case measure when 'symbol_share' then 0.9::double when 'mean_word' then 0.75::double else 0.99::double end as high,
+    case when x < 0.0001 then -1000000 else ceil(ln(x) / ln(1.01::double))::int end as bucket
   from (select r, lang, source, base_failed, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word']) as measure, unnest([symbol_share, dup_line_share, repeat_share, mean_word]) as x from b)
 ), f0 as (
-  select 'own' as lvl, lang, source, measure, bucket, least, count(*) as n from v where not base_failed group by all
-  union all select 'lang', lang, null, measure, bucket, least, count(*) from v where not base_failed group by all
-  union all select 'all', null, null, measure, bucket, least, count(*) from v where not base_failed group by all
+  select 'own' as lvl, lang, source, measure, bucket, high, count(*) as n from v where not base_failed group by all
+  union all select 'lang', lang, null, measure, bucket, high, count(*) from v where not base_failed group by all
+  union all select 'all', null, null, measure, bucket, high, count(*) from v where not base_failed group by all
 ), f1 as (
   select *, sum(n) over (partition by lvl, lang, source, measure) as total, sum(n) over (partition by lvl, lang, source, measure order by bucket) as upto from f0
 ), f2 as (
-  select lvl, lang, source, measure, max(total) as n_docs, max(case when measure = 'symbol_share' then 0.05::double else least end) as least,
-    min(bucket) filter (upto >= ceil(0.25::double * total)) as q1, min(bucket) filter (upto >= ceil(0.75::double * total)) as q3
+  select lvl, lang, source, measure, max(total) as n_docs, min(bucket) filter (upto >= ceil(0.25::double * total)) as q1, min(bucket) filter (upto >= ceil(high * total)) as q2
   from f1 group by all
 ), f3 as (
-  select *, case when q1 = -1000000 then 0::double else 2 * pow(1.04::double, q1) / 2.04::double end as a, case when q3 = -1000000 then 0::double else 2 * pow(1.04::double, q3) / 2.04::double end as c from f2
+  select *, case when q1 = -1000000 then 0::double else 2 * pow(1.01::double, q1) / 2.01::double end as a, case when q2 = -1000000 then 0::double else 2 * pow(1.01::double, q2) / 2.01::double end as c from f2
 ), f4 as (
-  select lvl, lang, source, measure, n_docs, c + 6.0::double * greatest(c - a, least) as fence from f3
+  select lvl, lang, source, measure, n_docs, case when measure = 'mean_word' then c + 3.0::double * greatest(c - a, 0.05::double) else 1.25::double * c + 0.02::double end as most,
+    case when measure = 'mean_word' then a - 3.0::double * greatest(c - a, 0.05::double) end as least
+  from f3
 ), k as (
-  select v.r, bool_and(coalesce(v.x <= case when o.n_docs >= 100 then o.fence when l.n_docs >= 100 then l.fence else g.fence end, true) or o.n_docs is null) as verdict
+  select v.r, bool_and(o.n_docs is null or v.x <= case when o.n_docs >= 100 then o.most when l.n_docs >= 100 then l.most else g.most end
+    and coalesce(v.x >= case when o.n_docs >= 100 then o.least when l.n_docs >= 100 then l.least else g.least end, true)) as verdict
   from v left join f4 o on o.lvl = 'own' and o.lang is not distinct from v.lang and o.source is not distinct from v.source and o.measure = v.measure
     left join f4 l on l.lvl = 'lang' and l.lang is not distinct from v.lang and l.measure = v.measure
     left join f4 g on g.lvl = 'all' and g.measure = v.measure
@@ -74,9 +76,10 @@ from d left join marked using (r) left join named using (r)
 OP6 = rf"""
 with z as (
   select row_number() over () as r, doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
-    (('0x' || substr(md5('0:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
+    (('0x' || substr(md5('0:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u,
+    ceil(sqrt(coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::double))::bigint * 1000 as w
   from documents
-), s0 as (select source, count(*) as n_docs, sum(size)::bigint as source_size, sum(1.0::double * size) as weighted from z group by source
+), s0 as (select source, count(*) as n_docs, sum(size)::bigint as source_size from z group by source
 ), s1 as (select *, row_number() over (order by source is null, source) as rnk from s0
 ), s2 as (select *, [5, 2, 1][((rnk - 1) % 3 + 1)::int] as weight from s1
 ), s3 as (
@@ -86,10 +89,19 @@ with z as (
 ), s4 as (select *, (total - filled)::double / rest::double as level from s3
 ), s5 as (select *, min(case when weight * level < 3 * source_size then place end) over () as first_place from s4
 ), s6 as (select *, min(case when place = first_place then level end) over () as first_level from s5
-), s as (select source, source_size, weighted, case when place >= first_place then weight * first_level else (3 * source_size)::double end as target from s6
+), s as (select source, source_size, case when place >= first_place then weight * first_level else (3 * source_size)::double end as target from s6
+), l0 as (select source, w, sum(size) as words from z where w > 0 group by source, w
+), l1 as (
+  select l0.*, target, coalesce(sum(3 * words) over (partition by source order by w desc rows between unbounded preceding and 1 preceding), 0) as filled,
+    sum(w * words) over (partition by source order by w desc rows between current row and unbounded following) as rest
+  from l0 join s using (source) where source is not null
+  union all
+  select l0.*, target, coalesce(sum(3 * words) over (order by w desc rows between unbounded preceding and 1 preceding), 0), sum(w * words) over (order by w desc rows between current row and unbounded following)
+  from l0 join s on s.source is null where l0.source is null
+), l as (select source, max(w) as w, arg_max((target - filled)::double / rest::double, w) as level from l1 where w * ((target - filled)::double / rest::double) < 3 group by source
 ), e as (
-  select z.*, source_size, target, case when weighted > 0 then least(target / weighted, 3.0::double) else 0.0::double end as e
-  from z join s on z.source is not distinct from s.source
+  select z.*, source_size, s.target, case when z.w = 0 then 0::double when z.w <= l.w then z.w * l.level else 3::double end as e
+  from z join s on z.source is not distinct from s.source left join l on z.source is not distinct from l.source
 ), p as (select *, floor(e) as whole, e - floor(e) as p from e
 ), q as (select *, case when whole < 3 and p > 0 then u / (1 - u) / (p / (1 - p)) end as q from p
 ), c as (

@@ -1,5 +1,6 @@
 """The corpus operators against brute force on small tables, with nulls, ties, repeats, empties and odd columns."""
 
+import hashlib
 import math
 import random
 import re
@@ -139,6 +140,8 @@ def test_quality_rules(spark, empty):
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
         assert not (r["kept"] and r["base_failed"])
     assert next(r for r in got if r["doc_id"] == 73)["kept"] is False  # symbols in every word
+    rejected = [r for r in got if not r["base_failed"] and not r["kept"]]
+    assert len(rejected) < len(got) / 5
     assert quality_rules.judge(empty, ids()).count() == 0
     sketch = quality_rules.sketch(quality_rules.measure(docs, {"s": F.col("source")}), ["s"])
     merged = quality_rules.merge(sketch, [])
@@ -146,6 +149,25 @@ def test_quality_rules(spark, empty):
     assert tally(map(tuple, merged.select("measure", "bucket", "n").collect())) == tally(map(tuple, whole.select("measure", "bucket", "n").collect()))
 
 
+def test_fences_follow_their_group(spark):
+    """Each measure rejects an outlier that passes the base rules, and a group's habits move its own fence only."""
+    rng = random.Random(14)
+    words = [f"{a}{b}{c}{d}" for a in "bcdfgl" for b in "aeiou" for c in "mnrst" for d in ("", "on", "ings")]
+    prose = lambda n=60: [rng.choice(words) for _ in range(n)]
+    rows = [("p", " ".join(prose()) + "\n" + " ".join(prose(8))) for _ in range(150)]
+    rows += [("q", " ".join(w + "#" * (i % 3 == 0) for i, w in enumerate(prose())) + "\nsame\nsame\n" + "\n".join(prose(4)) * 2) for _ in range(150)]
+    again = " ".join(prose(10))
+    odd = [" ".join(w + "$" * (i % 8 == 0) for i, w in enumerate(prose())), " ".join(prose(40)) + "\nline\nline\nline\nother", " ".join(prose(60)) + " " + again + " x " + again, " ".join(w * 2 for w in prose()), " ".join(w[:2] for w in prose())]
+    rows = [(i, t, "en", s) for i, (s, t) in enumerate(rows)] + [(1000 + k + 100 * (s == "q"), t, "en", s) for k, t in enumerate(odd) for s in "pq"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, ids()).collect()}
+    assert not any(got[1000 + k]["base_failed"] or got[1000 + k]["kept"] for k in range(5))
+    assert got[1100]["kept"] and got[1101]["kept"] and not got[1103]["kept"]  # in q symbols and repeated lines are usual
+    assert sum(got[i]["kept"] for i in range(300)) >= 285
+    for m in ("symbol_share_most_fence", "dup_line_share_most_fence", "mean_word_most_fence", "mean_word_least_fence"):
+        assert got[0][m] != got[200][m], m
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -243,8 +265,34 @@ def test_signatures_lose_no_pair():
 # ---------------------------------------------------------------- 6
 
 
-def test_mixing(spark, empty, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_PER_BIN", 7)
+def copies_by_rank(rows, target):
+    """Copies of (id, size) rows by a plain loop: expected copies by the root of the size, whole ones first, then by rank."""
+    weight = {n: math.ceil(math.sqrt(n)) for _, n in rows}
+    full, level = set(), 0.0
+    while True:
+        free = [(weight[n], n) for _, n in rows if n and n not in full]
+        level = (target - sum(3 * n for _, n in rows if n in full)) / max(sum(w * n for w, n in free), 1)
+        over = {n for w, n in free if w * level >= 3 - 1e-12}
+        if not over:
+            break
+        heaviest = max(weight[n] for n in over)
+        full |= {n for n in over if weight[n] == heaviest}
+    ranked, left, out = [], target, Counter()
+    for d, n in rows:
+        e = 3.0 if n in full else weight[n] * level
+        whole = math.floor(e)
+        left -= whole * n
+        u = (int(hashlib.md5(f"0:{'null' if d is None else d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = e - whole
+        ranked.append((u / (1 - u) / (p / (1 - p)) if p > 0 and whole < 3 else math.inf, n, u, d, whole))
+    upto = 0
+    for q, n, _, d, whole in sorted(ranked, key=lambda r: r[:3]):
+        upto += n if q < math.inf else 0
+        out[(d, n, whole + (q < math.inf and 2 * upto - n <= 2 * left))] += 1
+    return out
+
+
+def test_mixing(spark, empty):
     rng = random.Random(6)
     data = [(i, " ".join(["w"] * rng.randint(0, 30)), s) for s, n in (("a", 300), ("b", 40), ("c", 80), ("d", 5), (None, 60)) for i in range(n)]
     docs = spark.createDataFrame([(k, t, None, s, 1, 0.5, "c", "c") for k, (_, t, s) in enumerate(data)] + [(7, None, None, "d", 1, 0.5, "c", "c"), (None, "w w", None, "d", 1, 0.5, "c", "c"), (7, "w", None, "d", 1, 0.5, "c", "c")], SCHEMA)
@@ -268,12 +316,14 @@ def test_mixing(spark, empty, monkeypatch):
         assert all(math.isclose(r["target"], target[s], rel_tol=1e-9) and r["source_size"] == size[s] for r in own)
         assert abs(sum(r["taken"] for r in own) - target[s]) <= 30
         assert all(r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3 for r in own)
-        assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+        assert Counter((r["doc_id"], r["size"], r["copies"]) for r in own) == copies_by_rank([(r["doc_id"], r["size"]) for r in own], target[s])
     again = mixing.mix(docs.repartition(9), keep=ids() | {"source": F.col("source")})
     assert tally(map(tuple, got)) == tally(map(tuple, again.collect()))
     heavy = mixing.mix(docs, weight=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)).where("source_size > 0").groupBy(F.col("doc_id") % 2).agg(F.avg("copies")).collect()
     share = {r[0]: r[1] for r in heavy}
     assert share[0] > share[1]
+    long = Counter(r["copies"] for r in got if r["source"] == "a" and r["size"] >= 20), Counter(r["copies"] for r in got if r["source"] == "a" and 0 < r["size"] < 5)
+    assert sum(k * n for k, n in long[0].items()) / sum(long[0].values()) > sum(k * n for k, n in long[1].items()) / sum(long[1].values())
     assert mixing.mix(empty).count() == 0
 
 
