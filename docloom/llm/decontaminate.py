@@ -6,11 +6,12 @@ picks the bucket of patterns with that suffix, their first block is compared, an
 word. All documents of a batch are searched side by side, a long one as several lanes.
 
 Patterns are broadcast in blocks of bounded size: with a larger benchmark the documents pass through one narrow
-search per block, which adds to what the earlier ones found, so nothing is shuffled and no pattern is dropped.
+search per block, which adds to what the earlier ones found and is written before the next one, so nothing is shuffled,
+one block is alive at a time and no pattern is dropped.
 
 Defined results: a null or empty text has no words, is never hit and (as an item) makes no pattern; an item of fewer
 words than a window is one pattern. Repeated item rows count once by id; an item with a null id still marks words
-but is not listed. Repeated documents are searched each. Either table may be empty.
+but is not listed. Repeated documents are searched each, texts of any length whole. Either table may be empty.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, Words, blocks_for, chunks, lut, mix
+from docloom.llm.common import BROADCAST_BYTES, Scratch, Words, blocks_for, chunks, in_passes, lut, mix
 
 #: Words: runs of digits, letters and all bytes beyond ASCII.
 ALNUM = lut(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
@@ -110,16 +111,17 @@ def patterns(rows: list[tuple[str | None, str | None]], window: int = WINDOW) ->
     return [PatternSet.build(n, found) for n, found in sorted(by_length.items())]
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BROADCAST_BYTES // 16) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BROADCAST_BYTES // 16, scratch: Scratch | None = None) -> DataFrame:
     """`keep`, then n_words, spans (hit words as [first, stop) ranges) and item_ids (sorted) of every document."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     n_blocks = blocks_for(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, block_bytes)
     state = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("__text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,stop:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("item_ids"))
-    for b in range(n_blocks):
-        # items are dealt to blocks whole; a block comes to the driver, its size is the bound
-        rows = [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b).collect()]
-        state = _search(state, spark.sparkContext.broadcast(patterns(rows, window)))
+
+    def block(b: int) -> list[PatternSet]:
+        """Items are dealt to blocks whole; a block comes to the driver, its size is the bound."""
+        return patterns([(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b).collect()], window)
+
+    state = in_passes(state, n_blocks, block, lambda state, sets, _: _search(state, sets), scratch or Scratch(docs.sparkSession), "searched")
     return state.drop("__text")
 
 
