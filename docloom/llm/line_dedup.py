@@ -6,18 +6,21 @@ driver needs more than the filters' fixed size. Then every document's keys are l
 documents are counted by their text, exactly. Keys found often enough lose their lines: all of them
 (`keep="none"`), or all but the first occurrence (`keep="first"`, first by id, then by place in the text).
 
-Filter size follows the number of lines up to a bound; past it more keys are suspected and shuffled, with the same
-result. Frequent keys are broadcast in blocks of bounded size, one narrow pass over the texts for each block.
+Filter size follows the number of lines up to a bound; beyond it the keys are dealt by hash to several passes over the
+texts, each with filters for its own share, so that the bits per key and what is suspected stay in proportion. Frequent
+keys are broadcast in blocks of bounded size, one narrow pass over the texts for each, written before the next one.
 
 Defined results: a null or empty text is one empty line; every row counts as a document of its own, so repeated rows
-count each; keys shorter than `min_chars` code points are never dropped. Null ids are allowed (with keep="first"
-they come last). An empty table gives an empty table.
+count each; keys shorter than `min_chars` code points are never dropped; texts of any length are split whole. Null ids
+are allowed. With keep="first" exactly one line of a key stays: ids come in order, null ones last, rows of one id in
+the order in which they were first read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, Scratch, blocks_for
+from docloom.llm.common import BROADCAST_BYTES, Scratch, blocks_for, in_passes
 
 BLOCK_BITS = 1 << 19
 PROBES = 4
 BITS_PER_KEY = 12
+#: Bits of a pass's filters, each; more lines take more passes.
 MAX_BITS = 1 << 28
+#: Bytes of a frequent key and its first row in a Python dict.
+ENTRY_BYTES = 200
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -116,10 +122,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def filter_bits(n_lines: int) -> int:
     want = max(BLOCK_BITS, n_lines * BITS_PER_KEY)
-    return min(MAX_BITS, -(-want // BLOCK_BITS) * BLOCK_BITS)
+    return -(-want // BLOCK_BITS) * BLOCK_BITS
 
 
-def repeated_filter(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
+def _share(hashes: np.ndarray, share: int, n_shares: int) -> np.ndarray:
+    """Which of the hashes a pass looks at."""
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n_shares) == share if n_shares > 1 else np.ones(len(hashes), bool)
+
+
+def repeated_filter(rows: DataFrame, bits: int, min_chars: int, share: int, n_shares: int) -> np.ndarray:
     """The merged "seen again" filter of column `text`; its size is fixed by `bits`."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +140,8 @@ def repeated_filter(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
                 found: list[bytes] = []
                 for text in _texts(batch.column(0).slice(at, 256)):
                     found.extend(_keys(text, min_chars))
-                blooms.add(_hashes(found))
+                hashes = _hashes(found)
+                blooms.add(hashes[_share(hashes, share, n_shares)])
         for k, once, twice in blooms.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())], ["block", "once", "twice"])
 
@@ -142,61 +154,70 @@ def repeated_filter(rows: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     return out
 
 
-def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """key (binary), n_docs and first_id of every key found in at least `min_docs` documents, exactly."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+def frequent_keys(rows: DataFrame, min_docs: int, min_chars: int, max_bits: int = MAX_BITS) -> Iterator[DataFrame]:
+    """key (binary), n_docs and first_row of every key found in at least `min_docs` rows of (text, id, row), exactly, in tables to be used one after another."""
+    spark = rows.sparkSession
     n_lines = rows.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1)).first()[0] or 0
-    bits = filter_bits(n_lines)
-    shared = spark.sparkContext.broadcast(repeated_filter(rows.select("text"), bits, min_chars))
+    n_shares = blocks_for(filter_bits(n_lines), max_bits)
+    bits = filter_bits(-(-n_lines // n_shares))
     kind = rows.schema["id"].dataType.simpleString()
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = TwoBlooms.__new__(TwoBlooms)
-        look.bits, look.twice = bits, shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found: list[bytes] = []
-                owner: list[int] = []
-                for k, text in enumerate(_texts(part.column(0))):
-                    own = _keys(text, min_chars)
-                    found.extend(own)
-                    owner.extend([k] * len(own))
-                if not found:
-                    continue
-                hit = np.flatnonzero(look.repeated(_hashes(found)))
-                yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in hit], pa.binary()), part.column(1).take(pa.array(np.array(owner)[hit]))], ["key", "id"])
-
-    counted = rows.mapInArrow(suspects, f"key binary, id {kind}").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id"))
-    return counted.where(F.col("n_docs") >= min_docs)
+    for share in range(n_shares):
+        shared = spark.sparkContext.broadcast(repeated_filter(rows.select("text"), bits, min_chars, share, n_shares))
+
+        def suspects(batches: Iterator[pa.RecordBatch], shared=shared, share=share) -> Iterator[pa.RecordBatch]:
+            look = TwoBlooms.__new__(TwoBlooms)
+            look.bits, look.twice = bits, shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    found: list[bytes] = []
+                    owner: list[int] = []
+                    for k, text in enumerate(_texts(part.column(0))):
+                        own = _keys(text, min_chars)
+                        found.extend(own)
+                        owner.extend([k] * len(own))
+                    if not found:
+                        continue
+                    hashes = _hashes(found)
+                    hit = np.flatnonzero(look.repeated(hashes) & _share(hashes, share, n_shares))
+                    mine = pa.array(np.array(owner)[hit])
+                    yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in hit], pa.binary()), part.column(1).take(mine), part.column(2).take(mine)], ["key", "id", "row"])
+
+        first = F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"]
+        counted = rows.select("text", "id", "row").mapInArrow(suspects, f"key binary, id {kind}, row long").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first_row"))
+        yield counted.where(F.col("n_docs") >= min_docs)
+        if n_shares > 1:
+            shared.destroy()
 
 
 def _digest(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def dedup_lines(docs: DataFrame, keep_cols: dict[str, Column], min_docs: int = 2, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, keep_cols: dict[str, Column], min_docs: int = 2, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, max_bits: int = MAX_BITS, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`keep_cols`, then text without the dropped lines, n_lines before, n_dropped."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     digest = lambda batches: (
-        pa.RecordBatch.from_arrays([pa.array([_digest(k) for k in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["digest", "first_id"]) for b in batches
+        pa.RecordBatch.from_arrays([pa.array([_digest(k) for k in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["digest", "first_row"]) for b in batches
     )
-    found = frequent_keys(docs, min_docs, min_chars, id_col, text_col).select("key", "first_id")
-    kind = found.schema["first_id"].dataType.simpleString()
-    found = scratch.save(found.mapInArrow(digest, f"digest binary, first_id {kind}"), "frequent")
-    n_blocks = blocks_for(40 * found.count(), BROADCAST_BYTES // 4)
-    state = docs.select(
-        *[c.alias(k) for k, c in keep_cols.items()], F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.lit(-1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")
-    )
-    for k in range(n_blocks):
+    rows = docs.select(*[c.alias(f"__k_{k}") for k, c in keep_cols.items()], F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if keep == "first":  # written, so that a row keeps its number
+        rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    else:
+        rows = rows.withColumn("row", F.lit(0).cast("long"))
+    found = [scratch.save(part.select("key", "first_row").mapInArrow(digest, "digest binary, first_row long"), f"frequent{k}") for k, part in enumerate(frequent_keys(rows, min_docs, min_chars, max_bits))]
+    found = reduce(DataFrame.unionByName, found)
+    n_blocks = blocks_for(ENTRY_BYTES * found.count(), block_bytes)
+
+    def block(k: int) -> dict[bytes, int]:
         part = found.where(F.pmod(F.xxhash64("digest"), F.lit(n_blocks)) == k).toArrow()
-        firsts = part.column("first_id").to_pylist() if keep == "first" else [None] * part.num_rows
-        state = _drop(state, spark.sparkContext.broadcast(dict(zip(map(bytes, part.column("digest").to_pylist()), firsts, strict=True))), keep)
-    return state.drop("__id")
+        return dict(zip(map(bytes, part.column("digest").to_pylist()), part.column("first_row").to_pylist(), strict=True))
+
+    state = rows.drop("id").withColumns({"n_lines": F.lit(-1).cast("long"), "n_dropped": F.lit(0).cast("long")})
+    state = in_passes(state, n_blocks, block, lambda state, frequent, _: _drop(state, frequent, keep), scratch, "dropped")
+    return state.select(*[F.col(f"__k_{k}").alias(k) for k in keep_cols], "text", "n_lines", "n_dropped")
 
 
 def _drop(state: DataFrame, frequent, keep: str) -> DataFrame:
@@ -205,7 +226,7 @@ def _drop(state: DataFrame, frequent, keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop = frequent.value
         for batch in batches:
-            texts, ids = _texts(batch.column("text")), batch.column("__id").to_pylist()
+            texts, rows = _texts(batch.column("text")), batch.column("row").to_pylist()
             n_lines, n_dropped, out = batch.column("n_lines").to_pylist(), batch.column("n_dropped").to_pylist(), []
             for i, text in enumerate(texts):
                 lines = text.split(b"\n")
@@ -216,7 +237,7 @@ def _drop(state: DataFrame, frequent, keep: str) -> DataFrame:
                     key = line.strip().lower()
                     d = _digest(key)
                     if d in drop:
-                        if keep == "first" and drop[d] == ids[i] and d not in done:
+                        if keep == "first" and drop[d] == rows[i] and d not in done:
                             done.add(d)
                         else:
                             continue
