@@ -11,12 +11,14 @@ without meaning; there are groups to spare for them, and classes with more empty
 is lost. Small sets are dealt by their first shingles in hash order, some of which similar sets share. Within a cluster the count-vector R-tree does the join: group counts are points, a node's corner of
 maxima bounds the overlap of all below it by summed coordinate minima, node pairs that cannot reach the needed
 overlap are skipped, and surviving pairs are verified on the whole sets. A pair whose classes are already connected
-need not be verified. Large clusters are cut into blocks of bounded size, sorted by set size, and block pairs that
-could hold a link are joined as tasks of their own.
+need not be verified. Large clusters are cut into blocks of bounded size, by set size, and block pairs that could hold a
+link are joined as tasks of their own. A key that very many classes share makes all of them candidates of one, already
+in the tasks that sign, so that it is no task of its own.
 
 Defined results: a document without words or text has an empty set and is linked with nothing (its component is its
 own id). Repeated rows are copies of each other. Null ids are allowed; they never name a component unless all its
-ids are null. An empty table gives an empty table. Sets are compared by 64-bit hashes of shingles.
+ids are null. Texts of any length are shingled whole; of equal candidates the order does not matter, as components do not
+depend on it. An empty table gives an empty table. Sets are compared by 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -41,6 +43,14 @@ DIMENSIONS = 64
 LEAF = 32
 #: Shingles in a block of a large cluster (or one set, if it has more).
 BLOCK_SHINGLES = 200_000
+#: Sets of a cluster whose sizes differ by less than this factor are dealt to blocks by hash.
+SIZE_STEP = 1.1
+#: Rows that a task signs at once, and of one key among them beyond which they are joined there.
+SIGNED_ROWS, HOT_ROWS = 1 << 20, 1024
+#: Sets of a key that are compared by their count vectors; where there are more, all are taken for candidates of one.
+MOST_COMPARED = 4096
+#: Groups to spare: so many deviations more than are empty on average.
+SPARE_DEVIATIONS = 4.5
 
 
 def shingles(chunk, size: int) -> list[np.ndarray]:
@@ -88,7 +98,7 @@ class Plan:
             spare = 1
             while spare < least:
                 empty = (least + spare) * math.exp(-low / (least + spare))
-                if spare >= empty + 2.5 * math.sqrt(empty):
+                if spare >= empty + SPARE_DEVIATIONS * math.sqrt(empty):
                     break
                 spare += 1
             self._groups[band] = least + spare, spare
@@ -129,6 +139,25 @@ def signatures(own: np.ndarray, plan: Plan) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def spread_hot(keys: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and signatures with even signatures, but for a signature that has very many rows: its first key stays, and
+    shares an odd signature of its own with each of the others, which makes them candidates as they are."""
+    sigs = sigs & ~np.uint64(1)
+    order = np.argsort(sigs, kind="stable")
+    keys, sigs = keys[order], sigs[order]
+    begin = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
+    size = np.diff(np.append(begin, len(sigs)))
+    hot = np.repeat(size > HOT_ROWS, size)
+    if not hot.any():
+        return keys, sigs
+    first = np.repeat(keys[begin], size)
+    stays = ~hot
+    stays[begin] = True
+    away = ~stays & (keys != first)
+    pair = mix(sigs[away] + mix(keys[away], 49), 49) | np.uint64(1)
+    return np.concatenate((keys[stays], first[away], keys[away])), np.concatenate((sigs[stays], pair, pair))
+
+
 _starts: dict[int, np.ndarray] = {}
 
 
@@ -288,6 +317,7 @@ def similar_documents(docs: DataFrame, num: int = 80, den: int = 100, size: int
     plan = Plan(num, den)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    shingle_words = size
     kind = rows.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,17 +331,29 @@ def similar_documents(docs: DataFrame, num: int = 80, den: int = 100, size: int
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies that a task has signed
+        found: list[np.ndarray] = []
+        names: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, sigs = spread_hot(np.repeat(np.array(names, np.uint64), [len(x) for x in found]), np.concatenate(found))
+            return pa.RecordBatch.from_arrays([as_i64(keys), as_i64(sigs)], ["key", "sig"])
+
+        size = 0
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                found: list[np.ndarray] = []
-                keys: list[int] = []
-                for own in shingles(chunk, size):
+                for own in shingles(chunk, shingle_words):
                     if len(own) and (key := class_key(own)) not in done:
                         done.add(key)
                         found.append(signatures(own, plan))
-                        keys.append(key)
-                if found:
-                    yield pa.RecordBatch.from_arrays([as_i64(np.repeat(np.array(keys, np.uint64), [len(x) for x in found])), as_i64(np.concatenate(found))], ["key", "sig"])
+                        names.append(key)
+                        size += len(found[-1])
+                if size >= SIGNED_ROWS:
+                    yield flush()
+                    found.clear()
+                    names.clear()
+                    size = 0
+        if found:
+            yield flush()
 
     described = scratch.save(rows.mapInArrow(describe, f"id {kind}, text_hash long, n long, key long, vector binary"), "described")
     # written nowhere but in its shuffle, as it is the largest table here
@@ -322,21 +364,30 @@ def similar_documents(docs: DataFrame, num: int = 80, den: int = 100, size: int
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(keys: list[int], packed: list[bytes]) -> list[tuple[int, int]]:
-            return [(keys[i], keys[j]) for i, j in possible_links(unpack_vectors(packed), plan)]
+            return [(keys[i], keys[j]) for i, j in possible_links(unpack_vectors(packed), plan)] if len(keys) > 1 else []
+
+        def made(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-        at, keys, packed, out = None, [], [], []
+        at, keys, packed, out, hub = None, [], [], [], None
         for batch in batches:
             for sig, key, vector in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if sig != at:
-                    out += done(keys, packed) if len(keys) > 1 else []
-                    at, keys, packed = sig, [], []
-                if not keys or key != keys[-1]:
+                    out += done(keys, packed)
+                    at, keys, packed, hub = sig, [], [], None
+                if hub is not None:
+                    if key != hub:
+                        out.append((hub, key))
+                elif not keys or key != keys[-1]:
                     keys.append(key)
                     packed.append(vector)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+                    if sig & 1 or len(keys) > MOST_COMPARED:
+                        hub = keys[0]
+                        out += [(hub, k) for k in keys[1:]]
+                        keys, packed = [], []
+            yield made(out)
             out = []
-        out += done(keys, packed) if len(keys) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+        yield made(done(keys, packed))
 
     blocks = near.join(vectors, "key").select("sig", "key", "vector").repartition("sig").sortWithinPartitions("sig", "key")
     candidates = blocks.mapInArrow(bound, "a long, b long").distinct()
@@ -355,8 +406,13 @@ def _cluster_links(rows: DataFrame, clusters: DataFrame, described: DataFrame, p
     spark = rows.sparkSession
     sizes = described.where("key is not null").groupBy("key").agg(F.max("n").alias("n"))
     nodes = clusters.withColumnRenamed("node", "key").join(sizes, "key")
-    upto = F.sum("n").over(Window.partitionBy("root").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, 0))
-    nodes = scratch.save(nodes.withColumn("block", F.floor((upto - F.col("n")) / BLOCK_SHINGLES).cast("int")), "nodes")
+    # by size: sets of about one size are dealt by hash to as many blocks as they fill, after those of smaller ones
+    nodes = nodes.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)))
+    steps = nodes.groupBy("root", "step").agg(F.sum("n").alias("own"))
+    before = F.sum("own").over(Window.partitionBy("root").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))  # a row a size
+    steps = steps.select("root", "step", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_SHINGLES).alias("from"), F.ceil(F.col("own") / BLOCK_SHINGLES).alias("blocks"))
+    block = F.col("from") + F.pmod(F.xxhash64("key"), F.col("blocks"))
+    nodes = scratch.save(nodes.join(steps, ["root", "step"]).select("key", "root", "n", block.cast("int").alias("block")), "nodes")
     blocks = nodes.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = blocks.select("root", F.col("block").alias("i"), F.col("high")), blocks.select("root", F.col("block").alias("j"), F.col("low"))
     tasks = x.join(y, "root").where((F.col("i") <= F.col("j")) & (plan.den * F.col("high") >= plan.num * F.col("low"))).select("root", "i", "j")
