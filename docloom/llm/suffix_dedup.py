@@ -14,8 +14,9 @@ Documents are known by the hash of their text: a text that occurs twice or more
 copies send their runs once per task.
 
 Defined results: a null text is empty. Matches never cross documents, repeats within one count, and repeated rows are
-copies of each other. Null ids are allowed. An empty table gives an empty table. Windows are told apart by 64-bit
-hashes, documents too.
+copies of each other. Null ids are allowed. Texts of any length are worked on whole, in pieces that overlap. An empty
+table gives an empty table. Windows are told apart by 64-bit hashes, documents too; the polynomial ones are of at most a
+few hundred bytes, for which no texts are known that collide whatever the multiplier.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ PIECE = 1 << 22
 BUNDLE = 1 << 19
 #: Bytes of an anchor's runs beyond which they are cut into windows; with a bundle, still fewer than 2**21.
 GROUP_BYTES = 1 << 20
+#: Runs among which a task settles equal ones before it passes them on.
+SETTLED_RUNS = 1 << 19
 
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -181,10 +184,24 @@ def remove_repeats(docs: DataFrame, keep: dict[str, Column], length: int = LENGT
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, c, first, count, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            # of equal runs that a task meets, one goes on as a run that repeats, and the others are settled
+            key = mix(h + mix(c, 52), 52)
+            order = np.argsort(key, kind="stable")
+            new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            done, whole = np.empty(len(order), bool), np.empty(len(order), bool)
+            done[order], whole[order] = ~new, np.repeat(size > 1, size)
+            h = np.where(done, mix(doc.view(np.uint64) + mix(first.astype(np.uint64), 53), 53), h)  # dealt evenly
+            return pa.RecordBatch.from_arrays([as_i64(h), as_i64(c), pa.array(doc), pa.array(first), pa.array(count.astype(np.int32)), pa.array(whole), pa.array(done)], ["h", "c", "doc", "first", "n", "again", "done"])
+
+        size = 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             for chunk in chunks(batch.column(1)):
-                found, owner = [], []
                 for i in range(len(chunk)):
                     name = names[chunk.first + i]
                     if name in seen:
@@ -192,15 +209,21 @@ def remove_repeats(docs: DataFrame, keep: dict[str, Column], length: int = LENGT
                     seen.add(name)
                     got = document_runs(chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]], length, k)
                     if len(got[0]):
-                        found.append(got)
-                        owner.append(np.full(len(got[0]), name, np.int64))
-                if found:
-                    h, c, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([as_i64(h), as_i64(c), pa.array(np.concatenate(owner)), pa.array(first), pa.array(count.astype(np.int32))], ["h", "c", "doc", "first", "n"])
-
-    runs = rows.mapInArrow(emit, "h long, c long, doc long, first long, n int")
-    shared = _neighbours(runs, "h", ["c", "doc", "first"]).where("before is not null or after is not null")
-    shared = scratch.save(shared.select("h", "c", "doc", "first", "n", F.coalesce(F.col("before") == F.col("c"), F.lit(False)).alias("b"), F.coalesce(F.col("after") == F.col("c"), F.lit(False)).alias("a")).select("h", "c", "doc", "first", "n", (F.col("a") | F.col("b")).alias("whole")), "shared")
+                        found.append((*got, np.full(len(got[0]), name, np.int64)))
+                        size += len(got[0])
+                if size >= SETTLED_RUNS:
+                    yield flush()
+                    found.clear()
+                    size = 0
+        if found:
+            yield flush()
+
+    runs = rows.mapInArrow(emit, "h long, c long, doc long, first long, n int, again boolean, done boolean")
+    around = _neighbours(runs, "h", ["c", "doc", "first"])
+    equal = lambda x: F.coalesce(F.col(x) == F.col("c"), F.lit(False))
+    shared = around.where("before is not null or after is not null or again").select("h", "c", "doc", "first", "n", "done", (F.col("again") | equal("before") | equal("after")).alias("whole"))
+    everywhere = scratch.save(shared, "shared")
+    shared = everywhere.where("not done")
     mixed = shared.groupBy("h", "c").agg(F.min(F.struct("doc", "first", "n")).alias("one"), F.max("whole").alias("whole"))
     per = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum(F.col("one.n") + (length - 1)).alias("bytes"), F.min("whole").alias("all_whole")).where("contexts > 1 and not all_whole")
     picked = scratch.save(mixed.join(per.select("h", (F.col("bytes") > group_bytes).alias("hot")), "h").select("h", "c", "hot", "whole", "one.doc", "one.first", "one.n"), "picked")
@@ -253,11 +276,11 @@ def remove_repeats(docs: DataFrame, keep: dict[str, Column], length: int = LENGT
                 yield pa.RecordBatch.from_arrays([as_i64(key), pa.array(np.full(len(at), h)), pa.array(np.full(len(at), c)), pa.array(at.astype(np.int32))], ["w", "h", "c", "i"])
 
     single = contexts.where("hot").select("h", "c", "bytes").mapInArrow(windows, "w long, h long, c long, i int")
-    single = _neighbours(single, "w", ["h", "c", "i"]).where("before is not null or after is not null")
-    single = single.select("h", "c", F.array(F.struct(F.col("i").alias("first"), F.col("i").alias("last"))).alias("spans"))
+    again = single.groupBy("w").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("w")
+    single = single.join(again, "w", "left_semi").select("h", "c", F.array(F.struct(F.col("i").alias("first"), F.col("i").alias("last"))).alias("spans"))
     spots = F.struct((F.col("first") + F.col("s.first")).alias("first"), (F.col("first") + F.col("s.last") + length).alias("stop"))
     partly = shared.where("not whole").join(compared.unionByName(single), ["h", "c"]).select("doc", "first", F.explode("spans").alias("s")).select("doc", spots.alias("span"))
-    wholly = shared.where("whole").select("doc", F.struct("first", (F.col("first") + F.col("n") + (length - 1)).alias("stop")).alias("span"))
+    wholly = everywhere.where("whole").select("doc", F.struct("first", (F.col("first") + F.col("n") + (length - 1)).alias("stop")).alias("span"))
     copies = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("rows"), F.max(F.octet_length("text")).alias("bytes")).where(f"rows > 1 and bytes >= {length}")
     copies = copies.select("doc", F.struct(F.lit(0).cast("long").alias("first"), F.col("bytes").cast("long").alias("stop")).alias("span"))
     gone = partly.unionByName(wholly).unionByName(copies).groupBy("doc").agg(F.collect_list("span").alias("spans"))
