@@ -4,16 +4,17 @@ Words that are unique to both sides anchor the alignment: the longest increasing
 the gaps between them are aligned the same way; a gap without unique words is aligned by the longest increasing
 subsequence of all its equal word pairs. Coverage is the share of the template's words that are aligned.
 
-Texts are aligned window by window (two template lengths, one apart, so every place where a template fits lies in
-one). A window is skipped only if the words it has in common with the template, however ordered, could not reach the
-coverage asked for. Nothing is shuffled; the templates are a fixed few.
+Texts are aligned window by window: windows of four template lengths, one apart, so a notice is found the same wherever
+it begins as long as it spans no more than three template lengths, that is, with up to twice its own length of other
+words in between. A window is skipped only if the words it has in common with the template, however ordered, could not
+reach the coverage asked for. Nothing is shuffled; the templates are a fixed few.
 
 Licenses differ from each other in a few words, which a share of the words does not see. So a template may have
 required phrases (its name, version or terms), which must stand in the aligned span, word by word. A template that is
 part of a longer one's text is not reported where the longer one is found.
 
 Defined results: a null or empty text has no license. Ties between templates go to the first by name, between
-windows to the first. Repeated rows are scanned each; null ids are allowed. An empty table gives an empty table.
+windows to the first. Texts of any length are scanned whole. Repeated rows are scanned each; null ids are allowed. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from docloom.llm.common import Words, chunks, lut
 
 WORDS = lut(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 COVERAGE = 0.8
+#: Template lengths of a window.
+STRETCH = 4
 
 # fixed values: license notices as their texts give them
 TEMPLATES: dict[str, str] = {
@@ -90,13 +93,58 @@ REQUIRED: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("CC0 1.0 Universal",),
 }
 #: Templates that are part of another's text, and the other.
-PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
+PART_OF = {"BSD-2-Clause": "BSD-3-Clause", "BSD-2-Clause-full": "BSD-3-Clause-full", "MIT-text": "MIT-full", "ISC": "ISC-full", "Unlicense": "Unlicense-full"}
+
+# fixed values: what follows in the whole texts
+_MIT = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+    "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_UNLICENSE = (
+    " In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software "
+    "to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+    "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+)
+TEMPLATES["Zlib"] = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+    "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software. 3. This notice may not be removed or altered from any source distribution."
+)
+REQUIRED["Zlib"] = ("altered source versions must be plainly marked",)
+TEMPLATES["BSL-1.0"] = (
+    "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a "
+    'copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and '
+    "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so."
+)
+REQUIRED["BSL-1.0"] = ("Boost Software License",)
 
 TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + (
     " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
     "this software without specific prior written permission."
 )
 REQUIRED["BSD-3-Clause"] = ("endorse or promote products derived from this software",)
+for _name, _rest in (("MIT-text", _MIT), ("BSD-2-Clause", _BSD), ("BSD-3-Clause", _BSD), ("ISC", _ISC), ("Unlicense", _UNLICENSE)):
+    _full = _name.replace("-text", "") + "-full"
+    TEMPLATES[_full], REQUIRED[_full] = TEMPLATES[_name] + _rest, REQUIRED.get(_name, ())
 for _name in ("BSD 2-Clause", "BSD 3-Clause", "ISC"):
     TEMPLATES[f"{_name.replace(' ', '-')}-notice"] = f"Released under the {_name} License"
     REQUIRED[f"{_name.replace(' ', '-')}-notice"] = (f"{_name} License",)
@@ -212,8 +260,8 @@ class Templates:
             template, best = self.words[t], (0.0, 0, 0)
             n = len(template)
             hits = np.flatnonzero(own >= 0)
-            for w in np.unique(np.concatenate((hits // n, np.maximum(hits // n - 1, 0)))).tolist():
-                a, b = w * n, min(len(own), (w + 2) * n)
+            for w in np.unique(np.concatenate([np.maximum(hits // n - k, 0) for k in range(STRETCH)])).tolist():
+                a, b = w * n, min(len(own), (w + STRETCH) * n)
                 part = own[a:b]
                 if np.minimum(np.bincount(part[part >= 0], minlength=self.counts.shape[1]), self.counts[t]).sum() < self.coverage * n:
                     continue
