@@ -95,24 +95,59 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty).count() == 0
 
 
-def test_language_counts(spark):
-    """The model's counts equal those of a plain loop over characters."""
-    docs = spark.createDataFrame([("abñ", "l"), ("bñÉ", "l"), ("", "l"), ("zz", "m")], "text string, lang string")
-    langs, logp = language_id.train(docs)
-    counts = {k: Counter() for k in langs}
-    import numpy as np
-    from docloom.llm.common import chunks
-    import pyarrow as pa
+def hashed(code, salt, buckets):
+    """The bucket of an n-gram's code by plain integers."""
+    top = (1 << 64) - 1
+    x = (code + salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & top
+    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & top
+    x = ((x ^ (x >> 29)) * 0xA0761D6478BD642F) & top
+    return (x ^ (x >> 32)) & (buckets - 1)
+
+
+def plain_ngrams(text):
+    """Buckets of a text's 1- to 3-grams, character by character."""
+    low = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) for c in text]
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            code = 0
+            for c in low[i : i + n]:
+                code = (code << 21) ^ c
+            out[hashed(code, n, language_id.BUCKETS)] += 1
+    return out
+
 
-    for text, lang in (("abñ", "l"), ("bñÉ", "l"), ("", "l"), ("zz", "m")):
-        for chunk in chunks(pa.array([text])):
-            for grams, _ in language_id.ngrams(chunk)[0]:
-                counts[lang].update(grams.tolist())
-        assert sum(len(text) - n + 1 for n in (1, 2, 3) if len(text) >= n) <= sum(counts[lang].values())
-    for k, lang in enumerate(langs):
-        c = np.array([counts[lang][b] for b in range(language_id.BUCKETS)]) + language_id.SMOOTHING
-        assert np.allclose(logp[:-1, k], np.log(c / c.sum()), atol=1e-5)
-    assert np.allclose(np.exp(logp[-1]), [0.75, 0.25])
+def test_language_model_by_a_plain_loop(spark):
+    """Counts, predictions and scores against a naive Bayes over n-grams taken one by one; ties; many language blocks."""
+    rng = random.Random(15)
+    alphabet = {"l": "abcdeñ É", "m": "zyxwv ÄÖ", "k": "abcxyz !"}
+    rows = [(i, "".join(rng.choice(alphabet[g]) for _ in range(rng.randint(0, 60))), g) for i in range(90) for g in [rng.choice("lmk")]]
+    rows += [(100, "same", "a1"), (101, "same", "a2"), (102, "same", "a2"), (102, "same", "a1"), (103, None, "l"), (104, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts, texts = defaultdict(Counter), Counter()
+    for _, t, g in rows:
+        if t is not None and g is not None:
+            counts[g].update(plain_ngrams(t))
+            texts[g] += 1
+    model = language_id.train(docs)
+    assert model.langs == sorted(counts) and model.n_texts == sum(texts.values())
+    size, add = language_id.BUCKETS, language_id.SMOOTHING
+    logp = {g: {"prior": math.log(texts[g] / sum(texts.values())), "total": sum(counts[g].values()) + add * size} for g in counts}
+    expected = {}
+    for d, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            expected[(d, t)] = ("und", 0.0)
+            continue
+        own = {g: p["prior"] + sum(n * math.log((counts[g][b] + add) / p["total"]) for b, n in plain_ngrams(t).items()) for g, p in logp.items()}
+        best = max(own.values())
+        expected[(d, t)] = (min(g for g, x in own.items() if x > best - 1e-9), 1 / sum(math.exp(x - best) for x in own.values()))
+    for block_bytes in (1 << 26, 4 * size + 4):  # all languages at once, and one a pass
+        got = language_id.predict(docs, model, keep={"doc_id": F.col("doc_id"), "text": F.col("text")}, block_bytes=block_bytes).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            name, share = expected[(r["doc_id"], r["text"])]
+            assert r["lang_pred"] == name and math.isclose(r["score"], share, abs_tol=2e-3), (r, name, share)
+    assert expected[(100, "same")][0] == "a1"  # a tie
 
 
 # ---------------------------------------------------------------- 3
@@ -239,8 +274,10 @@ def test_jaccard_join(spark, empty, num, size, monkeypatch):
             extra.append(" ".join(own))
     docs = corpus(spark, extra)
     expected = components(rows_of(docs), num, 100, size)
-    for block in (200_000, 150):
+    for block, hot in ((200_000, 1024), (150, 3)):
         monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+        monkeypatch.setattr(jaccard_join, "HOT_ROWS", hot)
+        monkeypatch.setattr(jaccard_join, "MOST_COMPARED", hot)
         got = jaccard_join.similar_documents(docs, num, 100, size).select("doc_id", "n_shingles", "component_id").collect()
         assert Counter(repr(tuple(r)) for r in got) == expected
     assert jaccard_join.similar_documents(empty, num, 100, size).count() == 0
@@ -364,7 +401,7 @@ def test_suffix_order():
 # ---------------------------------------------------------------- 8
 
 
-def test_line_dedup(spark, empty):
+def test_line_dedup(spark, empty, monkeypatch):
     docs = corpus(spark, ["Shared LINE\nown %d\n  shared line \t" % i for i in range(12)] + ["é\né", "a\x0b\nA"])
     rows = rows_of(docs)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower()
@@ -379,6 +416,12 @@ def test_line_dedup(spark, empty):
         assert tally(map(tuple, got)) == tally(expected)
     first = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, ids(), min_docs=10, keep="first").collect()}
     assert first[70] == "Shared LINE\nown 0" and first[71] == "own 1"
+    plain = tally(map(tuple, line_dedup.dedup_lines(docs, ids(), min_docs=3).collect()))
+    monkeypatch.setattr(line_dedup, "BITS_PER_KEY", 1 << 11)  # several passes, each for a share of the keys, and several for the frequent ones
+    assert tally(map(tuple, line_dedup.dedup_lines(docs, ids(), min_docs=3, max_bits=1 << 19, block_bytes=2000).collect())) == plain
+    same = spark.createDataFrame([(None, "Only\nx%d" % i) for i in range(3)] + [(None, "only")] * 2 + [(7, "a\ntwice"), (7, "a\ntwice"), (7, "twice")], "doc_id long, text string").repartition(3)
+    kept = Counter(line for r in line_dedup.dedup_lines(same, ids(), min_docs=2, keep="first").collect() for line in r["text"].lower().split("\n"))
+    assert kept["only"] == 1 and kept["a"] == 1 and kept["twice"] == 1
     assert line_dedup.dedup_lines(empty, ids(), 10).count() == 0
 
 
@@ -462,6 +505,26 @@ def test_license_names_and_versions(spark):
     assert {n for n, t in T.items() for x in license_scan.REQUIRED.get(n, ()) if " ".join(map(bytes.decode, license_scan.split_words(x))) not in " ".join(map(bytes.decode, license_scan.split_words(t)))} == set()
 
 
+def test_license_wherever_it_stands(spark):
+    """Insertions and place do not change what is found; whole texts are told from their parts."""
+    T = license_scan.TEMPLATES
+    rng = random.Random(16)
+    mpl = T["MPL-2.0"].split()
+    spread = " ".join(w + (" rem dnl" if i % 2 else " br") for i, w in enumerate(mpl))
+    rows = [(i, sentences(rng, i) + " " + spread + " " + sentences(rng, 40)) for i in range(0, 60, 4)]
+    rows += [(100 + k, sentences(rng, 10) + "\n" + T[n] + "\n" + sentences(rng, 10)) for k, n in enumerate(("MIT-full", "BSD-2-Clause-full", "BSD-3-Clause-full", "ISC-full", "Unlicense-full", "Zlib", "BSL-1.0"))]
+    rows += [(200, (sentences(rng, 200_000) + T["Zlib"] + sentences(rng, 100)))]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), ids()).collect()}
+    required = [x for x in license_scan.REQUIRED["MPL-2.0"]]
+    assert required and {(got[i]["license"], got[i]["coverage"]) for i in range(0, 60, 4)} == {(None, 0.0)}  # the name does not stand there as it is
+    loose = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), ids(), {"MPL-2.0": T["MPL-2.0"]})
+    assert {(r["license"], r["coverage"]) for r in loose.collect() if r["doc_id"] < 60} == {("MPL-2.0", 1.0)}
+    assert [got[100 + k]["license"] for k in range(7)] == ["MIT-full", "BSD-2-Clause-full", "BSD-3-Clause-full", "ISC-full", "Unlicense-full", "Zlib", "BSL-1.0"]
+    assert {m["license"] for m in got[100]["matches"]} == {"MIT-full"} and got[200]["license"] == "Zlib"
+    best = license_scan.align(license_scan.split_words(rows[3][1]), license_scan.split_words(T["MPL-2.0"]))
+    assert len(best) == lcs(license_scan.split_words(rows[3][1]), license_scan.split_words(T["MPL-2.0"]))
+
+
 def test_patience_alignment():
     rng = random.Random(10)
     for _ in range(200):
