@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step finds every node's smallest neighbour by a sum of partial minima and joins it back, so that a node with most of
-the edges is no task of its own (a large table's joins are split where they are skewed, a small one is broadcast). A step
+Each step finds every node's smallest neighbour by a sum of partial minima and joins it back by merging, so that a node
+with most of the edges is no task of its own (such joins are split where they are skewed) and nothing is broadcast. A step
 is written to the shared folder: the lineage stays short and nothing is collected. Nodes are longs; a component is named
 by its smallest node.
 """
@@ -16,7 +16,7 @@ from docloom.llm.common import Scratch
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Edges with m, the smallest b of their a."""
-    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")).hint("merge"), "a")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
