@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.sql import SparkSession
+
 from docloom.operators.normalize import Normalizer
 from docloom.operators.validate import Validator
 from docloom.operators.walk import Walk
@@ -34,3 +37,8 @@ def source_of(df) -> str:
 
 def new_normalizer(schema: dict) -> Normalizer:
     return Normalizer(schema)
+
+
+def read_schema(spark: SparkSession, path: str) -> dict:
+    """A schema from a JSON file, wherever Spark reads."""
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))

@@ -2,8 +2,10 @@
 
 Nothing is mutated: each node is coerced first, then its children are rebuilt from the coerced value, inside out.
 Combinators are not followed. A tuple may be extended by a default; a value in place of an object with declared
-properties stays as it is. Junk numbers become null, as JSON has no NaN. Content below `max_depth` levels of a recursive
-reference fails the query, as it could only be passed unnormalised.
+properties stays as it is. Junk numbers become null, as JSON has no NaN. Documents that go deeper than `max_depth` levels
+of a recursive reference are normalised by the walk over single values, in Arrow batches; no other row goes there.
+
+A `Rewriter` does the same with a user's handlers: it is the walk whose handlers replace and remove values.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions.regexes import to_java
 from docloom.functions.values import VariantValue, any_of, js_number, let
+from docloom.operators.validate import deep_content, recurses
+from docloom.operators.walk import Output
 from docloom.plans.nodes import Options, Place, TooDeep, children, follow, too_deep
+from docloom.plans.selectors import is_selector, parse
 
 _INTEGER = r"^\s*([+-]?[0-9]+)"
 _FLOAT = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
@@ -68,27 +73,29 @@ class Normalizer:
 
     def column(self, v: Column) -> Column:
         """The normalised VARIANT of a VARIANT column; absent stays absent unless there is a default."""
-        return self._node(self.schema, v, Place.start(self.schema))
+        made = self._node(self.schema, v, Place.start(self.schema))
+        if not recurses(self.schema, self.options):
+            return made
+        from docloom.operators.runtime import deep_normalizer
+
+        deep = F.coalesce(deep_content(self.schema, self.options, VariantValue(v)), F.lit(False))
+        return F.when(deep, F.parse_json(deep_normalizer(self.schema, self.options)(F.when(deep, F.to_json(v))))).otherwise(made)
 
     def normalize(self, df: DataFrame, column: str, into: str | None = None) -> DataFrame:
         return df.withColumn(into or column, self.column(F.col(f"`{column}`")))
 
-    def _node(self, schema: dict, v: Column, place: Place) -> Column:
+    def _too_deep(self, v: Column) -> Column:
+        return v  # such a document takes another way
+
+    def _node(self, schema: dict, v: Column, place: Place, attr: str | None = None) -> Column:
         try:
             schema, place = follow(schema, place, self.options)
-        except TooDeep:  # a value that is there could not be normalised
-            return F.when(v.isNull(), v).otherwise(F.raise_error(F.lit(too_deep(self.options))).cast("variant"))
+        except TooDeep:
+            return self._too_deep(v)
         if place.again:
             inner = Place(place.document, place.entered, place.is_root)
-            return F.when(v.isNull(), v).otherwise(self._node(schema, v, inner))
-        missing = lambda x: x.isNull() | F.is_variant_null(x)
-        if "default" in schema:
-            v = F.when(missing(v), constant(schema["default"])).otherwise(v)
-        if "properties" in schema and not place.is_root:
-            v = F.when(missing(v), constant({})).otherwise(v)
-        kind = schema.get("type")
-        if isinstance(kind, str) and kind != "object":
-            v = let(v, lambda x: F.when(missing(x), x).otherwise(coerce(kind, VariantValue(x))))
+            return F.when(v.isNull(), v).otherwise(self._node(schema, v, inner, attr))
+        v = self._before(schema, v, place, attr)
         kids = children(schema, self.options)
         below = place.below()
         if kids.items is not None:
@@ -97,11 +104,30 @@ class Normalizer:
             v = let(v, lambda x: self._tuple(x, kids, below))
         if kids.properties or kids.patterns or kids.more_properties is not None:
             v = let(v, lambda x: self._object(x, kids, below))
+        return self._after(schema, v, place, attr)
+
+    def _before(self, schema: dict, v: Column, place: Place, attr: str | None) -> Column:
+        """The node's own value, before its children."""
+        missing = lambda x: x.isNull() | F.is_variant_null(x)
+        if "default" in schema:
+            v = F.when(missing(v), constant(schema["default"])).otherwise(v)
+        if "properties" in schema and not place.is_root:
+            v = F.when(missing(v), constant({})).otherwise(v)
+        kind = schema.get("type")
+        if isinstance(kind, str) and kind != "object":
+            v = let(v, lambda x: F.when(missing(x), x).otherwise(coerce(kind, VariantValue(x))))
         return v
 
+    def _after(self, schema: dict, v: Column, place: Place, attr: str | None) -> Column:
+        return v
+
+    def _drops(self, stub: dict) -> bool:
+        """Whether members that fall under a stub for what the schema does not list go unseen."""
+        return "additionalProperty" in stub
+
     def _list(self, v: Column, item: dict, place: Place) -> Column:
         own = VariantValue(v).items()
-        return F.when(own.isNull(), v).otherwise(F.transform(own, lambda x: F.coalesce(self._node(item, x, place), constant(None))).cast("variant"))
+        return F.when(own.isNull(), v).otherwise(F.transform(own, lambda x: F.coalesce(self._node(item, x, place, "item"), constant(None))).cast("variant"))
 
     def _tuple(self, v: Column, kids, place: Place) -> Column:
         own = VariantValue(v).items()
@@ -140,15 +166,82 @@ class Normalizer:
         if more is None:  # additional members are not walked at all
             parts.append(F.map_filter(own, lambda key, x: undeclared(key)))
         else:
-            keep_all = "additionalProperty" not in more
+            keep_all = not self._drops(more)
             kept = F.map_filter(own, lambda key, x: undeclared(key) & (F.lit(keep_all) | any_of([h for h, _ in hits(key)])))
 
             def rebuilt(key: Column, x: Column) -> Column:
                 out = matched(key, x)
                 if keep_all:
                     out = F.when(any_of([h for h, _ in hits(key)]), out).otherwise(self._node(more, x, place))
-                return F.coalesce(out, constant(None))
+                return out
 
-            parts.append(F.transform_values(kept, rebuilt))
+            parts.append(F.map_filter(F.transform_values(kept, rebuilt), lambda key, x: x.isNotNull()))
         whole = F.map_concat(*parts) if len(parts) > 1 else parts[0]
         return F.when(own.isNull(), v).otherwise(F.to_variant_object(whole.cast(_MEMBERS)))
+
+
+@dataclass(frozen=True)
+class Replace:
+    """A handler's answer: the node's new VARIANT (absent: as if removed); later handlers and the children see it."""
+
+    value: Column
+
+
+@dataclass(frozen=True)
+class Remove:
+    """A handler's answer: the node goes where the condition holds; an array keeps a null in its place."""
+
+    when: Column | None = None
+
+
+@dataclass
+class Rewriter(Normalizer):
+    """selectors: selector text -> handler(schema, VariantValue, place), which returns Replace, Remove, STOP or None.
+
+    Handlers run on the driver and return columns. A node's go in order by phase: item, start, none, its children, end, item-end. The
+    root cannot be replaced or removed. What a schema does not list is visited under its stub, as in the walk. Content below
+    `max_depth` levels of a recursive reference fails the query; `RuntimeWalk` reaches any depth.
+    """
+
+    selectors: dict[str, Callable] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self._selectors = [(parse(k), h) for k, h in self.selectors.items() if is_selector(k)]
+
+    def column(self, v: Column) -> Column:
+        return self._node(self.schema, v, Place.start(self.schema))
+
+    def _too_deep(self, v: Column) -> Column:
+        return F.when(v.isNull(), v).otherwise(F.raise_error(F.lit(too_deep(self.options))).cast("variant"))
+
+    def _drops(self, stub: dict) -> bool:
+        return False
+
+    def _phase(self, schema: dict, v: Column, place: Place, phase: str | None) -> Column:
+        def step(now: Column, left: list) -> Column:
+            if not left:
+                return now
+            got = left[0](schema, VariantValue(now), place)
+            if isinstance(got, Output) and got.stop:
+                return now
+            if got is not None and place.is_root:
+                raise ValueError("the root of a document cannot be replaced or removed")
+            if isinstance(got, Replace):
+                return let(got.value, lambda x: step(x, left[1:])) if left[1:] else got.value
+            if isinstance(got, Remove):
+                gone = F.lit(True) if got.when is None else F.coalesce(got.when, F.lit(False))
+                return let(F.when(~gone, now), lambda x: step(x, left[1:])) if left[1:] else F.when(~gone, now)
+            return step(now, left[1:])
+
+        own = [h for selector, h in self._selectors if selector.matches(schema, phase)]
+        return let(v, lambda x: step(x, own)) if own else v
+
+    def _before(self, schema: dict, v: Column, place: Place, attr: str | None) -> Column:
+        for phase in [*([attr] if attr else []), "start", None]:
+            v = self._phase(schema, v, place, phase)
+        return v
+
+    def _after(self, schema: dict, v: Column, place: Place, attr: str | None) -> Column:
+        for phase in ["end", *([f"{attr}-end"] if attr else [])]:
+            v = self._phase(schema, v, place, phase)
+        return v

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from docloom.functions.formats import DEFAULT_FORMATS
 from docloom.functions.messages import Messages
 from docloom.functions.regexes import to_java
-from docloom.functions.values import TypedValue, Value, VariantValue, all_of, any_of, js_key, value_of
+from docloom.functions.values import TypedValue, Value, VariantValue, all_of, any_of, js_key, let, value_of
 from docloom.plans.nodes import Options, Place, TooDeep, children, follow
 from docloom.plans.selectors import Selector, is_selector, parse
 
@@ -199,8 +199,9 @@ def _unique(validator: Validator, schema: dict, v: Value, ctx: Context):
         return None
     shown = v.each_item(0, lambda x, i: x.json(), "transform")
     bad = F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False))
-    at = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: F.array_position(keys, F.get(keys, i)) < i + 1)
-    errors = F.transform(at, lambda i: ctx.error("uniqueItems", v, arg_column=F.get(shown, i)))
+    # each item's key is made once, not again for every item that it is compared with
+    at = let(keys, lambda own: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.array_position(own, F.get(own, i)) < i + 1))
+    errors = let(shown, lambda own: F.transform(at, lambda i: ctx.error("uniqueItems", v, arg_column=F.get(own, i))))
     return Piece(bad, F.when(bad, errors.cast(f"array<{ERROR}>")).otherwise(F.expr(NO_ERRORS)))
 
 
@@ -259,7 +260,7 @@ def _conform(validator: Validator, schema: dict, v: Value, ctx: Context):
 
 TYPES = ("string", "number", "integer", "null", "boolean", "array", "object")
 
-#: Rules in the order in which a node's errors come.
+#: Rules in the order in which a node's errors come, which is observable and therefore fixed.
 BASE_RULES: dict[str, Rule] = {
     "[^required]": _optional,
     "[required=false]": _optional,
@@ -342,7 +343,8 @@ class Validator:
 
     # -- lowering
 
-    def piece(self, v: Value, path: list[Column] | None = None) -> Piece:
+    def piece(self, v: Value, path: list[Column] | None = None, want_errors: bool = True) -> Piece:
+        self._want_errors, self._met_depth = want_errors, False
         self._messages_now: dict | None = None
         return self._node(self.schema, v, Place.start(self.schema), path or [], None, None)
 
@@ -358,6 +360,7 @@ class Validator:
         try:
             schema, place = follow(schema, place, self.options)
         except TooDeep:
+            self._met_depth = True
             there = ~v.absent
             error = F.struct(F.lit("depth_exceeded").alias("code"), F.lit("is nested too deeply to be checked").alias("message"), v.json().alias("value"), F.lit(None).cast("string").alias("arg"), (F.array(*path) if path else F.expr("cast(array() as array<string>)")).alias("path"))
             return Piece(there, F.when(there, F.array(error).cast(f"array<{ERROR}>")).otherwise(F.expr(NO_ERRORS)))
@@ -405,28 +408,53 @@ class Validator:
         return out
 
     def _each(self, each, args: tuple, make: Callable[[Value, Column], Piece]) -> list[Piece]:
-        """A node's elements or members: conditions by exists, errors by transform; both see the same messages."""
-        before = self._messages_now
-        bad = each(*args, lambda x, k: make(x, k).bad, "exists")
-        if bad is None:
-            return []
-        self._messages_now = before
+        """A node's elements or members: the condition by exists where errors are not asked for, else the errors alone, so that an element is lowered once."""
+        if not self._want_errors:
+            bad = each(*args, lambda x, k: make(x, k).bad, "exists")
+            return [] if bad is None else [Piece(bad, F.expr(NO_ERRORS))]
         errors = each(*args, lambda x, k: make(x, k).errors, "transform")
-        return [Piece(bad, F.when(bad, F.flatten(F.filter(errors, lambda e: e.isNotNull()))).otherwise(F.expr(NO_ERRORS)))]
+        if errors is None:
+            return []
+        errors = F.coalesce(F.flatten(F.filter(errors, lambda e: e.isNotNull())), F.expr(NO_ERRORS))
+        return [Piece(F.size(errors) > 0, errors)]
 
     # -- on data
 
     def start_path(self) -> list[Column]:
         return [F.lit(p) for p in self.path]
 
+    def _is_plain(self) -> bool:
+        """Whether no rule, predicate or length of a user's is involved, so that single values can be judged outside the plan."""
+        return not (self.own_rules() or self.rules or self.custom or self.str_length not in (utf16_length, F.length) or _mentions(self.schema, "conform"))
+
+    def _deeper(self, v: Value) -> Column | None:
+        """Where a document goes deeper than recursion is unrolled; None if the schema or the columns cannot."""
+        if not (self._met_depth and isinstance(v, VariantValue) and self._is_plain()):
+            return None
+        return F.coalesce(deep_content(self.schema, self.options, v), F.lit(False))
+
+    def _exact(self, v: VariantValue, deep: Column) -> Column:
+        from docloom.plans.pyeval import deep_validator
+
+        return deep_validator(self)(F.when(deep, F.to_json(v.column)))
+
     def is_valid(self, df: DataFrame, column: str | None = None, null_as: str = "missing") -> Column:
         """A boolean column: whether the document (a column, or with None the row) has no error."""
-        return ~self.piece(value_of(df, column, null_as)).bad
+        v = value_of(df, column, null_as)
+        bad = self.piece(v, want_errors=False).bad
+        deep = self._deeper(v)
+        return ~bad if deep is None else F.when(deep, F.size(self._exact(v, deep)) == 0).otherwise(~bad)
 
     def result(self, df: DataFrame, column: str | None = None, null_as: str = "missing") -> Column:
-        """struct<valid, errors>."""
-        p = self.piece(value_of(df, column, null_as), self.start_path())
-        return F.struct((~p.bad).alias("valid"), p.errors.alias("errors"))
+        """struct<valid, errors>. Documents that go deeper than recursion is unrolled are judged by the evaluator of single values, in Arrow batches;
+        with rules, predicates or lengths of a user's, which are columns, they have the error depth_exceeded instead."""
+        v = value_of(df, column, null_as)
+        p = self.piece(v, self.start_path())
+        deep = self._deeper(v)
+        if deep is None:
+            return F.struct((~p.bad).alias("valid"), p.errors.alias("errors"))
+        errors = F.when(deep, self._exact(v, deep)).otherwise(p.errors)
+        return F.struct((F.size(errors) == 0).alias("valid"), errors.alias("errors"))
 
     def validate(self, df: DataFrame, column: str | None = None, into: str = "result", null_as: str = "missing") -> DataFrame:
         return df.withColumn(into, self.result(df, column, null_as))
@@ -436,3 +464,32 @@ def validate_variant(v: Column, schema: dict, **options) -> Column:
     """struct<valid, errors> of a VARIANT column expression."""
     p = Validator(schema, **options).piece(VariantValue(v))
     return F.struct((~p.bad).alias("valid"), p.errors.alias("errors"))
+
+
+def _mentions(schema, keyword: str) -> bool:
+    if isinstance(schema, dict):
+        return keyword in schema or any(_mentions(x, keyword) for x in schema.values())
+    return isinstance(schema, list) and any(_mentions(x, keyword) for x in schema)
+
+
+def _through(keyword: str) -> Rule:
+    def rule(validator: Validator, schema: dict, v: Value, ctx: Context):
+        subs = schema[keyword] if isinstance(schema[keyword], list) else list(schema[keyword].values()) if keyword == "dependencies" else [schema[keyword]]
+        return [Piece(validator.branch(sub, v, ctx).bad, F.expr(NO_ERRORS)) for sub in subs if isinstance(sub, dict)]
+
+    return rule
+
+
+def deep_content(schema: dict, options: Options, v: VariantValue) -> Column:
+    """Whether a document has content below the levels to which recursion is unrolled."""
+    probe = Validator(schema, options)
+    probe._rules = [(parse(f"[{k}]"), _through(k)) for k in ("dependencies", "allOf", "anyOf", "oneOf", "not")]
+    return probe.piece(v, want_errors=False).bad
+
+
+def recurses(schema: dict, options: Options) -> bool:
+    """Whether a schema's references lead back to themselves."""
+    probe = Validator(schema, options)
+    probe._rules = []
+    probe.piece(VariantValue(F.lit(None).cast("variant")), want_errors=False)
+    return probe._met_depth

@@ -4,7 +4,7 @@ A walk is compiled to one array column of visits per document; exploding it give
 Handlers run on the driver while compiling and return columns, so no Python runs on the data.
 
 Content below `max_depth` levels of a recursive reference is a visit of phase `depth_exceeded` without a selector; a fold,
-which has no place for it, fails.
+which has no place for it, fails. `RuntimeWalk`, whose handlers are plain functions, reaches any depth.
 """
 
 from __future__ import annotations

@@ -37,7 +37,13 @@ def strings(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.expr(sql).alias("s"))
 
 
-def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as chains of `next`, event_id % 4 deep; the innermost `v` is a string for every 3rd event."""
-    body = "concat(repeat('{\"v\":1,\"next\":', cast(event_id % 4 as int)), if(event_id % 3 = 0, '{\"v\":\"s\"}', '{\"v\":2}'), repeat('}', cast(event_id % 4 as int)))"
+def nested(spark: SparkSession, sf_dir: str, levels: int = 4) -> DataFrame:
+    """events as chains of `next`, event_id % levels deep; the innermost `v` is a string for every 3rd event."""
+    n = f"cast(event_id % {levels} as int)"
+    body = f"concat(repeat('{{\"v\":1,\"next\":', {n}), if(event_id % 3 = 0, '{{\"v\":\"s\"}}', '{{\"v\":2}}'), repeat('}}', {n}))"
     return table(spark, sf_dir, "events").select("event_id", F.expr(f"parse_json({body})").alias("doc"))
+
+
+def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to 20 levels, more than recursion is unrolled to."""
+    return nested(spark, sf_dir, 21)

@@ -25,8 +25,9 @@ class Options:
     strict_draft4: bool = False
     #: Bounds also apply to numeric strings, booleans (1, 0) and null (0), as ECMAScript's comparisons do.
     js_coercion: bool = False
-    #: Levels of a recursive reference that are unrolled; content below is never passed silently: the validator and the
-    #: visit table report it as depth_exceeded, the normaliser and folds, which have no place for a report, fail.
+    #: Levels of a recursive reference that are unrolled to columns. Deeper documents are never passed silently: validator and normaliser
+    #: take them to an evaluator of single values; handlers that are columns cannot go there, so the visit table reports
+    #: them as depth_exceeded, folds and rewriters fail, and `RuntimeWalk` is the way for any depth.
     max_depth: int = MAX_DEPTH
 
 

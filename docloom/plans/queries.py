@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.normalize import Normalizer
+from docloom.api import new_iterator, new_normalizer, read_schema
+from docloom.operators.normalize import Normalizer, Remove, Replace, Rewriter
+from docloom.operators.render import SELECTORS as FORM_SELECTORS
 from docloom.operators.render import form
+from docloom.operators.runtime import RuntimeWalk
 from docloom.operators.validate import Validator
 from docloom.operators.walk import STOP, Walk
 from docloom.plans import fixtures as X
 from docloom.plans.nodes import Options
+from docloom.sources.documents import read_json_lines, write_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,6 +173,7 @@ on_poly("walk_aggregate", {"anyOf": [{"type": "string"}, {"type": "array", "item
 
 CHAIN = {"properties": {"v": {"type": "integer"}, "next": {"$ref": "#/definitions/link"}}, "definitions": {"link": {"properties": {"v": {"type": "integer"}, "next": {"$ref": "#/definitions/link"}}}}}
 check("walk_recursion", X.nested, "event_id", "doc", CHAIN, "events", ("event_id % 3 = 0", "integer"), options=LIMIT_OPTIONS)
+check("v_recursion_deep", X.deep, "event_id", "doc", CHAIN, "events", ("event_id % 3 = 0", "integer"))
 on_poly("walk_ref", {"$ref": "#/definitions/a~1b"}, ("k not in (4, 7)", "string"), root={"definitions": {"a/b": {"type": "string"}}})
 on_poly("walk_ref_remote", {"$ref": "http://s.example/t#/types/0"}, ("k not in (2, 3, 7)", "number"), options=Options(loader=lambda uri: {"types": [{"type": "number"}]}))
 
@@ -263,8 +270,102 @@ normal("n_to_array", {"type": "array", "items": {"type": "string"}}, "case k whe
 normal("n_items", {"items": {"type": "boolean"}}, f"case when k = 5 then '[' || (user_id % 3 <> 0) || ',' || (event_id % 3 <> 0) || ',true]' else {_SAME} end")
 normal("n_result", {}, "case when k = 7 then '\"root\"' end || '' ", root={"default": "unused", "properties": {"q": {}}})
 SQL["n_result"] = "select event_id, '{}' as out from events"
-QUERIES["api_normalizer"] = QUERIES["n_default"]
-SQL["api_normalizer"] = SQL["n_default"]
+QUERIES["n_recursion_deep"] = lambda spark, d: X.deep(spark, d).select("event_id", F.to_json(Normalizer(CHAIN).column(F.col("doc"))).alias("out"))
+SQL["n_recursion_deep"] = """select event_id, case when n = 0 then '{"next":{},' else repeat('{"next":', n) || '{' end || '"v":' || case when event_id % 3 = 0 then 'null' else '2' end || '}' || repeat(',"v":1}', n) as out
+  from (select event_id, (event_id % 21)::int as n from events)"""
+
+
+def _normalizer_api(spark: SparkSession, d: str) -> DataFrame:
+    made = new_normalizer({"properties": {"p": {"type": "array", "default": []}}}).normalize(X.poly(spark, d), "doc", "out")
+    return made.select("event_id", F.to_json("out").alias("out"))
+
+
+QUERIES["api_normalizer"] = _normalizer_api
+SQL["api_normalizer"] = f"""select event_id, '{{"p":' || case when k in (0, 7) then '[]' when k = 5 then v else '[' || v || ']' end || '}}' as out
+  from (select event_id, k, {_SAME} as v from (select *, event_id % 8 as k, '[' || (user_id % 3) || ',' || (event_id % 3) || ',7]' as arr, '{{"a":' || (event_id % 5) || ',"b":"x"}}' as obj from events))"""
+
+# ---------------------------------------------------------------- handlers that change the document
+
+
+def rewritten(name: str, schema: dict, selectors: dict, parts: str) -> None:
+    QUERIES[name] = lambda spark, d: X.sparse(spark, d).select("o_orderkey", F.to_json(Rewriter(schema, selectors=selectors).column(F.col("doc"))).alias("out"))
+    SQL[name] = f"select o_orderkey, '{{' || array_to_string(list_filter([{parts}], lambda x: x is not null), ',') || '}}' as out from {SPARSE}"
+
+
+_PART_X, _PART_Y = """case when x1 then '"x1":' || case when x1n then '1' else '"t"' end end""", """case when y then '"y":null' end"""
+rewritten(
+    "ctx_replace", {"properties": {"a": {"times": 3}, "b": {"fill": "none"}}},
+    {
+        "[times]": lambda s, v, place: Replace(F.when(v.absent, v.column).otherwise((v.number() * s["times"]).cast("bigint").cast("variant"))),
+        "[times]:end": lambda s, v, place: Replace(F.when(v.number() == 3, F.lit(4).cast("variant")).otherwise(v.column)),
+        "[fill]": lambda s, v, place: Replace(F.coalesce(v.column, F.lit(s["fill"]).cast("variant"))),
+    },
+    f"""case when a then '"a":4' end, case when b then '"b":"s"' else '"b":"none"' end, {_PART_X}, {_PART_Y}""",
+)
+rewritten(
+    "ctx_remove", {"properties": {"a": {"secret": True}, "b": {}}, "additionalProperties": False},
+    {"[secret]": lambda s, v, place: Remove(), "[additionalProperty]": lambda s, v, place: Remove(F.is_variant_null(v.column)), "[additionalProperty]:end": lambda s, v, place: STOP},
+    f"""case when b then '"b":"s"' end, {_PART_X}""",
+)
+_BY_HAND = {
+    "[default]": lambda s, v, place: None if place.is_root else Replace(F.when(v.absent | F.is_variant_null(v.column), F.lit(s["default"]).cast("variant")).otherwise(v.column)),
+    "[additionalProperty]": lambda s, v, place: Remove(),
+}
+QUERIES["n_by_handlers"] = lambda spark, d: X.poly(spark, d).select("event_id", F.to_json(Rewriter({"properties": {"p": {"default": "none"}}}, selectors=_BY_HAND).column(F.col("doc"))).alias("out"))
+SQL["n_by_handlers"] = SQL["n_default"]
+
+
+class _Collected:
+    """Selectors with state: which of a node's alternatives its value is."""
+
+    def __init__(self):
+        self.out: list[str] = []
+        self.selectors = {
+            "[either]": {"prepare": self.prepared},
+            "[type=integer]": lambda s, v, c: self.out.append("i") if type(v) is int else None,
+            "[type=string]": lambda s, v, c: self.out.append("s") if isinstance(v, str) else None,
+        }
+
+    @staticmethod
+    def prepared(schema, ctx):
+        ctx.compile(schema["either"], "either")
+        return lambda s, v, c: [walk(v, c.path) for walk in c.either] and None
+
+    def end(self):
+        return "".join(self.out)
+
+
+def _compiled(spark: SparkSession, d: str) -> DataFrame:
+    walk = RuntimeWalk({"properties": {"p": {"either": [{"type": "integer"}, {"type": "string"}, {"items": {"type": "integer"}}]}}}, _Collected)
+    return X.poly(spark, d).select("event_id", walk.results(F.to_json("doc")).alias("out"))
+
+
+QUERIES["ctx_compile"] = _compiled
+SQL["ctx_compile"] = """select event_id, case event_id % 8 when 2 then '"i"' when 4 then '"s"' when 5 then '"iii"' else '""' end as out from events"""
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    """Handlers called at each visit, prepared ones of two arguments, and both forms by name."""
+    selectors = {"[items]": {"prepare": lambda s, c: None}, ":item": {"inline": lambda s, v, c: v}, "[type]": lambda s, v, c: "r", "[maximum]": lambda s, c: lambda _s, v, _c: s["maximum"] - v}
+    walk = RuntimeWalk({"items": {"type": "integer", "maximum": 9}}, selectors)
+    rows = X.arrays(spark, d).select("event_id", F.posexplode(walk.visits(F.to_json("doc"))).alias("seq", "visit"))
+    return rows.select("event_id", F.col("seq").cast("long").alias("seq"), "visit.selector", "visit.output")
+
+
+QUERIES["handler_forms"] = _forms
+SQL["handler_forms"] = f"""select event_id, 0::bigint as seq, '[items]' as selector, null::varchar as output from {ARRAYS}
+  union all select event_id, (3 * (i - 1) + j)::bigint, [':item', '[type]', '[maximum]'][j], [a[i]::varchar, 'r', (9 - a[i])::varchar][j] {_A}, unnest([1, 2, 3]) w(j)"""
+
+
+def _deep_visits(spark: SparkSession, d: str) -> DataFrame:
+    walk = RuntimeWalk(CHAIN, {"[type=integer]": lambda s, v, c: len(c.path)})
+    rows = X.deep(spark, d).select("event_id", F.explode(walk.visits(F.to_json("doc"))).alias("visit"))
+    return rows.select("event_id", F.array_join("visit.path", "/").alias("path"), "visit.value", "visit.output")
+
+
+QUERIES["walk_recursion_deep"] = _deep_visits
+SQL["walk_recursion_deep"] = """select event_id, repeat('next/', i::int) || 'v' as path, case when i < event_id % 21 then '1' when event_id % 3 = 0 then '"s"' else '2' end as value, (i + 1)::varchar as output
+  from events, unnest(generate_series(0, (event_id % 21)::int)) u(i) union all select event_id, 'next/v', null, '2' from events where event_id % 21 = 0"""
 
 # ---------------------------------------------------------------- iterator
 
@@ -318,8 +419,55 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["sel_item"] = _items
 SQL["sel_item"] = f"select event_id, (3 * (i - 1) + j - 1)::bigint as seq, [':item', '[type]', ':item-end'][j] as selector, (i - 1)::varchar as path, a[i]::varchar as value {_A}, unnest([1, 2, 3]) w(j)"
-for _alias in ("walk_phases", "sel_order", "walk_path"):
-    QUERIES[_alias], SQL[_alias] = QUERIES["sel_item"], SQL["sel_item"]
+
+
+def visited(name: str, fixture, key: str, walk: Walk, sql: str, fields: str = "seq, selector, path, value") -> None:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows = walk.visits(fixture(spark, d), "doc", [key])
+        return rows.withColumns({"seq": F.col("seq").cast("long"), "path": F.array_join("path", "/")}).select(key, *fields.split(", "))
+
+    QUERIES[name], SQL[name] = query, sql
+
+
+_SEEN = lambda s, v, c: None
+visited(
+    "walk_phases", X.arrays, "event_id", Walk({"t": 1, "properties": {"q": {"t": 3}}, "items": {"t": 2}}, {"[t]": _SEEN, "[t]:end": _SEEN, "[t]:start": _SEEN}),
+    f"""with d as (select event_id, len(a) as n, a from {ARRAYS}) select event_id, 0::bigint as seq, '[t]:start' as selector, '' as path from d union all select event_id, 1, '[t]', '' from d
+      union all select event_id, 2 + 3 * (i - 1) + j - 1, ['[t]:start', '[t]', '[t]:end'][j], (i - 1)::varchar from d, unnest(generate_series(1, n)) u(i), unnest([1, 2, 3]) w(j)
+      union all select event_id, 2 + 3 * n + j - 1, ['[t]:start', '[t]', '[t]:end'][j], 'q' from d, unnest([1, 2, 3]) w(j) union all select event_id, 5 + 3 * n, '[t]:end', '' from d""",
+    "seq, selector, path",
+)
+visited(
+    "sel_order", X.arrays, "event_id", Walk({"items": {"a": 1, "b": 2, "c": 3}}, {"[c]": _SEEN, "[a]": _SEEN, "[b=2]": lambda s, v, c: STOP, "[b]": _SEEN}),
+    f"select event_id, (3 * (i - 1) + j - 1)::bigint as seq, ['[c]', '[a]', '[b=2]'][j] as selector {_A}, unnest([1, 2, 3]) w(j)", "seq, selector",
+)
+visited(
+    "walk_path", X.poly, "event_id", Walk({"properties": {"p": {"items": {"w": 1}, "properties": {"a": {"w": 1}}, "patternProperties": {"^b": {"w": 1}}, "additionalProperties": {"w": 1}}}, "additionalProperties": {"w": 1}}, {"[w]": _SEEN}),
+    "select event_id, 'p/a' as path from events union all select event_id, 'p/' || i from events, unnest([0, 1, 2]) u(i) where event_id % 8 = 5 union all select event_id, 'p/b' from events where event_id % 8 = 6", "path",
+)
+visited(
+    "sel_grammar", X.sparse, "o_orderkey", Walk({"properties": {"a": {"x-a_b": "v-1", "t": 1}, "b": {"t": "a b", "u": ""}}}, {"[x-a_b=v-1][t=1]": _SEEN, '[t="a b"]:end': _SEEN, "[^t][u]": _SEEN, "other": _SEEN}),
+    "select o_orderkey, '[x-a_b=v-1][t=1]' as selector, 'a' as path from orders union all select o_orderkey, '[t=\"a b\"]:end', 'b' from orders", "selector, path",
+)
+visited("ctx_reset", X.arrays, "event_id", Walk({"items": {}}, {":item": _SEEN}, path=("in", "doc")), f"select event_id, 'in/doc/' || (i - 1) as path {_A}", "path")
+
+
+class _Marked:
+    """Selectors as a class: each walk makes one."""
+
+    def __init__(self):
+        self.selectors = {"[mark=3]": lambda s, v, c: "three"}
+
+
+def _factories(spark: SparkSession, d: str) -> DataFrame:
+    """Selectors from a class, and from a function."""
+    df = X.sparse(spark, d)
+    made = [new_iterator(WALKED, _Marked), new_iterator(WALKED, lambda: {"[mark=2]": lambda s, v, c: "two"})]
+    return made[0].visits(df, "doc", ["o_orderkey"]).unionByName(made[1].visits(df, "doc", ["o_orderkey"])).select("o_orderkey", "output")
+
+
+QUERIES["api_to_factory"] = _factories
+SQL["api_to_factory"] = f"select o_orderkey, 'three' as output from {SPARSE} where x1 union all select o_orderkey, 'two' from {SPARSE}"
 
 
 def _schema_only(spark: SparkSession, d: str) -> DataFrame:
@@ -330,6 +478,15 @@ def _schema_only(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["walk_schema_only"] = _schema_only
 SQL["walk_schema_only"] = "select 0::bigint as seq, 'p1/[]' as path union all select 1, 'p1/[]/q'"
 
+
+
+def _no_schema_only(spark: SparkSession, d: str) -> DataFrame:
+    walk = Walk({"properties": {"p1": {"items": {"t": 1}}, "z": {"t": 3}}}, {"[t]": _SEEN}, Options(ignore_schema_only=True))
+    return walk.schema_visits(spark).select(F.array_join("path", "/").alias("path"))
+
+
+QUERIES["api_ignore_schema_only"], SQL["api_ignore_schema_only"] = _no_schema_only, "select 'z' as path"
+
 FORM = {"properties": {"name": {"type": "string", "required": True}, "segment": {"type": "string", "enum": ["BUILDING", "OTHER"]}}}
 
 
@@ -342,12 +499,21 @@ QUERIES["r_form"] = _form
 SQL["r_form"] = """select c_custkey, '<input type=''string'' value=''' || c_name || ''' name=''name'' required >' || chr(10) || '<select  name=''segment''>' || chr(10)
   || '<option value=''BUILDING'' ' || case when c_mktsegment = 'BUILDING' then 'selected' else '' end || '>BUILDING</option>' || chr(10)
   || '<option value=''OTHER'' >OTHER</option>' || chr(10) || '</select>' || chr(10) as html from customer"""
-QUERIES["api_compile"], SQL["api_compile"] = QUERIES["r_form"], SQL["r_form"]
+
+
+def _compile_api(spark: SparkSession, d: str) -> DataFrame:
+    df = X.table(spark, d, "nation").select("n_nationkey", F.to_variant_object(F.struct("n_name")).alias("doc"))
+    walk = new_iterator({"properties": {"n_name": {"type": "string"}}}, dict(FORM_SELECTORS), begin="<form>\n", end=lambda text: F.concat(text, F.lit("</form>")))
+    return df.select("n_nationkey", walk.fold(df, "doc").alias("html"))
+
+
+QUERIES["api_compile"] = _compile_api
+SQL["api_compile"] = "select n_nationkey, replace('<form>~<input type=^string^ value=^' || n_name || '^ name=^n_name^>~</form>', '^', chr(39)).replace('~', chr(10)) as html from nation"
 
 
 def _begin_end(spark: SparkSession, d: str) -> DataFrame:
     """begin and end around a fold: how many integers a document holds."""
-    walk = Walk({"items": {}}, {":item": lambda s, v, c: "x"}, begin="", end=F.length)
+    walk = Walk({"items": {}}, {":item": lambda s, v, c: "x"}, begin="##", end=lambda text: F.length(text) - 2)
     df = X.arrays(spark, d)
     return df.select("event_id", F.coalesce(walk.fold(df, "doc"), F.lit(0)).cast("long").alias("n"))
 
@@ -370,12 +536,41 @@ QUERIES["src_json"] = events_props
 SQL["src_json"] = _verdict_sql("event_id", "(select event_id, (props->>'k')::int as n from events)", [("n > 90", "maximum")])
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='docloom-')).rstrip('/')}/docloom-{uuid.uuid4().hex}"
+
+
+def _sink(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines and read again."""
+    at = _folder(spark)
+    write_json(X.sparse(spark, d).select(F.to_variant_object(F.struct("o_orderkey", "doc")).alias("doc")), "doc", at)
+    return read_json_lines(spark, at).select(F.variant_get("doc", "$.o_orderkey", "bigint").alias("o_orderkey"), F.to_json(F.variant_get("doc", "$.doc", "variant")).alias("out"), "malformed")
+
+
+QUERIES["sink_json"] = _sink
+SQL["sink_json"] = f"""select o_orderkey, '{{' || array_to_string(list_filter([case when a then '"a":1' end, case when b then '"b":"s"' end, {_PART_X}, {_PART_Y}], lambda x: x is not null), ',') || '}}' as out, false as malformed from {SPARSE}"""
+
+
+def _schema_file(spark: SparkSession, d: str) -> DataFrame:
+    """A schema written as a JSON file, read, and used."""
+    at = _folder(spark)
+    spark.createDataFrame([(json.dumps(EVENT_PROPS, indent=1),)], "value string").coalesce(1).write.text(at)
+    df = X.table(spark, d, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    return verdicts(df, Validator(read_schema(spark, at)), ["event_id"], "doc")
+
+
+QUERIES["src_schema_file"], SQL["src_schema_file"] = _schema_file, SQL["src_json"]
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The same over a stream of the events file, run until all that is there is done."""
     from docloom.streaming import read_folder, validate_stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-stream-")
-    at = f"{root.rstrip('/')}/stream-{id(spark)}-{spark.sparkContext.startTime}-{len(QUERIES)}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    at = _folder(spark)
     source = f"{d}/events.parquet"
     stream = read_folder(spark, f"{d}/events.parque[t]", spark.read.parquet(source).schema).select("event_id", F.try_parse_json("props").alias("doc"))
     validate_stream(stream, Validator(EVENT_PROPS), "doc", f"{at}/out", f"{at}/checkpoint").awaitTermination()

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.operators.normalize import Rewriter
 from docloom import STOP, Normalizer, Options, Walk, compile_walk, form
 from docloom.plans.selectors import parse
 
@@ -99,8 +100,9 @@ def test_content_below_max_depth_is_not_passed(spark):
     shallow, options = Options(max_depth=2), Options(max_depth=4)
     out = Normalizer(chain, options).normalize(nested(4), "v").select(F.to_json("v")).first()[0]
     assert "junk" not in out and out.count('"x":1') == 5
+    assert Normalizer(chain, shallow).normalize(nested(4), "v").select(F.to_json("v")).first()[0] == out  # by the walk over single values
     with pytest.raises(Exception, match="depth_exceeded"):
-        Normalizer(chain, shallow).normalize(nested(4), "v").select(F.to_json("v")).first()
+        nested(4).select(F.to_json(Rewriter(chain, shallow).column(F.col("v")))).first()
     walk = lambda o: Walk(chain, {"[type=integer]": lambda s, v, c: "i"}, o)
     seen = lambda o, n: [(r["phase"], r["path"]) for r in walk(o).visits(nested(n), "v", []).orderBy("seq").collect()]
     assert len(seen(options, 4)) == 5 and {p for p, _ in seen(options, 4)} == {""}
