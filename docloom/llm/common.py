@@ -7,6 +7,7 @@ columns, whatever they are called, cannot clash with what it adds.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,6 +56,11 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def collect(self) -> None:
+        """Let the driver find what it no longer refers to: only then does Spark delete the shuffle files behind written tables."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         """Delete a table that nothing will read again, or all of them."""
         try:

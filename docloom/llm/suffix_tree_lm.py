@@ -15,8 +15,8 @@ and never gathered whole. A counting pass gives each task's distinct (context, w
 which they are merged; candidates are looked up in hash blocks of bounded size, with a pass over the texts per block.
 A tree row holds by how much (log10) a state, or one of its words, changes its parent's probability: a token's score
 is its unigram score plus one row per depth. Scoring is one pass: the most frequent words and states, as many as a fixed
-size holds, are broadcast, with a Bloom filter of the others; what may be one of those is joined by shuffle. They are the
-rare ones, so that few tokens go that way.
+size holds, are broadcast, with a Bloom filter of the others. What may be one of those goes, as arrays of hashes and row
+numbers, to the hash buckets among which the rest of the model is dealt, in the same shuffle as the documents' own sums.
 
 Defined results: a null text is empty, and so has the end token only; with nothing to learn from, every token is
 unseen. Repeated rows count and are scored each; ids may be null (such rows are in fold 0, which is held out). Texts of
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, Lookup, Scratch, Words, as_i64, blocks_for, chunks, mix, segment_sum
+from docloom.llm.common import Lookup, Scratch, Words, as_i64, blocks_for, chunks, mix, segment_sum
 
 ALPHA = 0.1
 MIN_COUNT = 10
@@ -50,6 +50,8 @@ TREE_BYTES = 16 << 20
 CANDIDATE_BYTES = 32 << 20
 #: Distinct keys that a counting task holds before it passes them on.
 HELD_KEYS = 1 << 21
+#: Rare words and states that a scoring task holds before it asks for them.
+HELD_ASKED = 1 << 19
 #: Hash buckets of the counts for each part of the texts.
 BUCKETS_PER_PART = 4
 #: The filter of rare words or states: bits a key, up to a most, and those of a block, in which all of a key's are.
@@ -222,11 +224,6 @@ class Tree:
         return self.unigram(c) * 10.0 ** self.change(t, place)[0]
 
 
-def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """A saved table, to be broadcast if it is small, else joined by shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def _longer(rows: DataFrame, depth: int) -> DataFrame:
     """Adds h, the context of `depth` words that context g and word w make, and above, the same without its first word (g's is `g_above`)."""
 
@@ -278,12 +275,12 @@ def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: i
     for depth in range(1, max_depth + 1):
         candidates = scratch.save(candidates, f"candidates{depth}")
         pairs = _count_level(texts, scratch, candidates, depth, least, gamma, block_bytes)
-        rows = pairs.where(F.col("n") >= gamma * F.col("size")).join(_small(words), "w")
+        rows = pairs.where(F.col("n") >= gamma * F.col("size")).join(words, "w")
         if entries:
-            rows = rows.join(_small(candidates.select("h", "up", "lefts"), 96), "h")
+            rows = rows.join(candidates.select("h", "up", "lefts"), "h")
         above = (F.col("word_n") + ALPHA) / (n + ALPHA * (v + 1))
         for k, level in enumerate(entries):
-            rows = rows.withColumn("__h", F.get("up", F.lit(k))).join(_small(level.select(F.col("h").alias("__h"), "w", F.col("p").alias(f"p{k}"))), ["__h", "w"], "left").drop("__h")
+            rows = rows.withColumn("__h", F.get("up", F.lit(k))).join(level.select(F.col("h").alias("__h"), "w", F.col("p").alias(f"p{k}")), ["__h", "w"], "left").drop("__h")
             above = F.coalesce(F.col(f"p{k}"), F.get("lefts", F.lit(k)) * above)
         rows = rows.select("h", "w", "n", "size", (F.col("n") / F.col("size")).alias("share"), above.alias("above"))
         rows = scratch.save(rows.where(F.col("share") > 1.05 * F.col("above")), f"rows{depth}")
@@ -297,11 +294,12 @@ def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: i
         level = candidates.join(sums, "h", "left").withColumn("kl", kl)
         states.append(scratch.save(level.select("h", "size", "up", "lefts", ((F.col("size") - some("taken")) / F.col("size")).alias("left"), marked.alias("marked")), f"states{depth}"))
         p = (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("above")
-        entries.append(scratch.save(rows.join(_small(states[-1].select("h", "left")), "h").select("h", "w", p.alias("p"), F.log10(p / F.col("above")).alias("change")), f"entries{depth}"))
+        scratch.collect()
+        entries.append(scratch.save(rows.join(states[-1].select("h", "left"), "h").select("h", "w", p.alias("p"), F.log10(p / F.col("above")).alias("change")), f"entries{depth}"))
         if depth < max_depth:
             # a word after a context that often is a longer context; the same without its first word is its parent
-            level = _small(states[-1].select("h", "up", "lefts", "left"), 96)
-            known = pairs.where(often).drop("size").withColumnRenamed("h", "g").join(_small(candidates.select(F.col("h").alias("g"), F.coalesce(F.try_element_at("up", F.lit(-1)), zero).alias("g_above"))), "g")
+            level = states[-1].select("h", "up", "lefts", "left")
+            known = pairs.where(often).drop("size").withColumnRenamed("h", "g").join(candidates.select(F.col("h").alias("g"), F.coalesce(F.try_element_at("up", F.lit(-1)), zero).alias("g_above")), "g")
             longer = _longer(known, depth + 1).withColumnRenamed("h", "longer").withColumnRenamed("above", "h").join(level, "h")
             candidates = longer.select(F.col("longer").alias("h"), "size", F.array_append("up", F.col("h")).alias("up"), F.array_append("lefts", F.col("left")).alias("lefts"))
     kept: list[DataFrame] = []
@@ -314,11 +312,12 @@ def grow(texts: DataFrame, scratch: Scratch, vocabulary: DataFrame, n: int, v: i
     parts = []
     for depth, (own, level) in enumerate(zip(kept[::-1], entries, strict=True), 1):
         parts.append(own.select(F.lit(depth).alias("depth"), "h", F.lit(None).cast("long").alias("w"), F.log10("left").alias("change"), "size"))
-        parts.append(level.join(_small(own.select("h", "size")), "h").select(F.lit(depth).alias("depth"), "h", "w", "change", "size"))
+        parts.append(level.join(own.select("h", "size"), "h").select(F.lit(depth).alias("depth"), "h", "w", "change", "size"))
     tree = scratch.save(reduce(DataFrame.unionByName, parts), "tree")
     for depth in range(1, max_depth + 1):
         for name in ("candidates", "rows", "states", "entries", "kept"):
             scratch.drop(f"{name}{depth}")
+    scratch.collect()
     return tree
 
 
@@ -431,49 +430,99 @@ def split_at(table: DataFrame, size: str, n_rows: int, most: int) -> int:
     return 1 << cut
 
 
-def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str = "text", block_bytes: int = BLOCK_BYTES, tree_bytes: int = TREE_BYTES, scratch: Scratch | None = None) -> DataFrame:
-    """`keep`, then n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row."""
+#: Kinds of rows in the shuffle that scores rare words and states: what the model has, then what is asked of it, then the documents.
+WORD, STATE, ENTRY, ASKED_WORD, ASKED_STATE, DOCUMENT = range(6)
+PARCEL = "bucket int, kind int, a binary, b binary, n binary"
+
+
+def parcels(kind: int, h: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+    """Columns of 8-byte values (three at most) dealt to buckets by the hash h, an array for each; the order within is kept."""
+    bucket = (mix(h, 34) % np.uint64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+
+    def cut(x: np.ndarray) -> pa.Array:
+        x = x[order]
+        return pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+    rows = len(at) - 1
+    arrays = [cut(x) for x in columns] + [pa.nulls(rows, pa.binary())] * (3 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(np.full(rows, kind, np.int32)), *arrays], ["bucket", "kind", "a", "b", "n"])
+
+
+def _model_parcels(model: Model, word_cut: int, tree_cut: int, n_buckets: int) -> DataFrame:
+    """The words and tree rows that are not broadcast, dealt by the hash of the word or state."""
+
+    def deal(kind: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h, key = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+                yield parcels(kind, h, [entry(h, key) if kind == ENTRY else h, batch.column(2).to_numpy()], n_buckets)
+
+        return run
+
+    words = model.vocabulary.where(F.col("n") < word_cut).select("k", "k", F.log10((F.col("n") + ALPHA) / ALPHA).alias("x")).toDF("h", "w", "x")
+    rows = model.rows.where(F.col("size") < tree_cut)
+    states = rows.where("w is null").select("h", F.col("h").alias("w"), F.col("change").alias("x"))
+    entries = rows.where("w is not null").select("h", "w", F.col("change").alias("x"))
+    dealt = [t.mapInArrow(deal(kind), PARCEL) for kind, t in ((WORD, words), (STATE, states), (ENTRY, entries))]
+    return reduce(DataFrame.unionByName, dealt)
+
+
+def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str = "text", block_bytes: int = BLOCK_BYTES, tree_bytes: int = TREE_BYTES) -> DataFrame:
+    """`keep`, then n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row.
+
+    `docs` is a table as read or written: a task that is run again must find its rows in the same order.
+    """
     spark = docs.sparkSession
     n_rows = model.rows.count()
     word_cut, tree_cut = split_at(model.vocabulary, "n", model.v, block_bytes // 16), split_at(model.rows, "size", n_rows, tree_bytes // 16)
-    rare_words, rare_rows = model.vocabulary.where(F.col("n") < word_cut), model.rows.where(F.col("size") < tree_cut)
     word, n = gather(model.vocabulary.where(F.col("n") >= word_cut))
-    words = Lookup(word), n, filter_of(rare_words.select("k"), model.v) if word_cut else None
-    tree = model.part(model.rows.where(F.col("size") >= tree_cut)), filter_of(rare_rows.where("w is null").select("h"), n_rows) if tree_cut else None
-    rows = docs.select(*[c.alias(f"__k_{k}") for k, c in keep.items()], F.col(text_col).cast("string").alias("__text"))
-    carried = rows.columns[:-1]
-    got = _score(rows, spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(tree))
-    out = {"n_tokens": F.col("n_tokens"), "n_known": F.col("n_known"), "train_tokens": F.lit(model.n).cast("long"), "base_score": F.col("base_score"), "score": F.col("score")}
+    words = Lookup(word), n, filter_of(model.vocabulary.where(F.col("n") < word_cut).select("k"), model.v) if word_cut else None
+    rare_states = model.rows.where((F.col("size") < tree_cut) & F.col("w").isNull())
+    tree = model.part(model.rows.where(F.col("size") >= tree_cut)), filter_of(rare_states.select("h"), n_rows) if tree_cut else None
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *[c.alias(f"__k_{k}") for k, c in keep.items()], F.col(text_col).cast("string").alias("__text"))
+    n_buckets = BUCKETS_PER_PART * max(1, rows.rdd.getNumPartitions())
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    result = kept + "n_tokens long, n_known long, base_score double, score double"
+    got = rows.mapInArrow(_first_pass(spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(tree), n_buckets), f"{PARCEL}, {result}")
+    carried = rows.columns[1:-1]
+    sums = ["n_tokens", "n_known", "base_score", "score"]
     if word_cut or tree_cut:
-        scratch = scratch or Scratch(spark)
-        got = scratch.save(got.withColumn("__row", F.monotonically_increasing_id()), "scored")  # from here on a row's number is fixed
-        seen = got.select("__row", F.explode("rare_words").alias("k")).join(rare_words, "k")
-        more = seen.select("__row", F.lit(1).cast("long").alias("known"), F.log10((F.col("n") + ALPHA) / ALPHA).alias("base"), F.lit(0.0).alias("change"))
-        if tree_cut:
-            entries = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "change")))  # few: each holds a share of its state
-            states = rare_rows.groupBy("h").agg(F.max(F.when(F.col("w").isNull(), F.col("change"))).alias("left"), entries.alias("entries"))
-            asked = got.select("__row", F.explode(F.arrays_zip("rare_states", "rare_next")).alias("at")).select("__row", F.col("at.rare_states").alias("h"), F.col("at.rare_next").alias("t"))
-            own = F.get(F.filter("entries", lambda e: e["w"] == F.col("t")), F.lit(0))["change"]
-            changed = asked.join(states, "h").select("__row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.coalesce(own, F.col("left")).alias("change"))
-            more = more.unionByName(changed)
-        more = more.groupBy("__row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("change").alias("change"))
-        got = got.join(more, "__row", "left")
-        add = lambda c, zero: F.coalesce(F.col(c), F.lit(zero))
-        out |= {"n_known": F.col("n_known") + add("known", 0), "base_score": F.col("base_score") + add("base", 0.0), "score": F.col("score") + add("base", 0.0) + add("change", 0.0)}
-    return got.select(*[F.col(c).alias(k) for c, k in zip(carried, keep, strict=True)], *[c.alias(k) for k, c in out.items()])
-
-
-def _score(rows: DataFrame, words, tree) -> DataFrame:
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+        got = got.unionByName(_model_parcels(model, word_cut, tree_cut, n_buckets), allowMissingColumns=True)
+        got = got.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, f"kind int, {result}")
+        own = [F.first(F.when(F.col("kind") == DOCUMENT, F.col(c)), ignorenulls=True).alias(c) for c in carried]
+        got = got.groupBy("__row").agg(*own, *[F.sum(c).alias(c) for c in sums])
+    else:
+        got = got.where(F.col("kind") == DOCUMENT)
+    out = [F.col(c).alias(k) for c, k in zip(carried, keep, strict=True)]
+    return got.select(*out, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _first_pass(words, tree, n_buckets: int):
+    """Scores texts by what is broadcast; the rare words and states that they may need go out as parcels of hashes and row numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (word, n, rare), (own, rare_states) = words.value, tree.value
-
-        def per_text(values: np.ndarray, owner: np.ndarray, n_texts: int) -> pa.Array:
-            order = np.argsort(owner, kind="stable")
-            return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(n_texts + 1)).astype(np.int32)), as_i64(values[order]))
+        none = np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size, blank = 0, None
+
+        def padded(parcel: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*parcel.columns, *(pa.nulls(parcel.num_rows, f.type) for f in blank)], [*parcel.schema.names, *(f.name for f in blank)])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                w, w_row, h, t, row = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                if len(w):
+                    yield padded(parcels(ASKED_WORD, w, [w, w, w_row], n_buckets))
+                if len(h):
+                    yield padded(parcels(ASKED_STATE, h, [h, t, row], n_buckets))
 
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for chunk in chunks(batch.column(batch.num_columns - 1)):
                 t, at, place = tokens(chunk)
                 found = word.find(t)
@@ -482,10 +531,96 @@ def _score(rows: DataFrame, words, tree) -> DataFrame:
                 change, asked, context = own.change(t, place, rare_states)
                 unknown = np.flatnonzero(found < 0) if rare is not None else np.zeros(0, np.int64)
                 unknown = unknown[rare.has(t[unknown])] if len(unknown) else unknown
-                text = np.repeat(np.arange(len(chunk)), np.diff(at))
-                sums = [segment_sum(x, at) for x in (np.ones(len(t), np.int64), (c > 0).astype(np.int64), base, base + change)]
-                lists = [per_text(t[unknown], text[unknown], len(chunk)), per_text(context, text[asked], len(chunk)), per_text(t[asked], text[asked], len(chunk))]
                 part = batch.slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, sums), *lists], [*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "rare_words", "rare_states", "rare_next"])
-
-    return rows.mapInArrow(run, schema + "n_tokens long, n_known long, base_score double, score double, rare_words array<long>, rare_states array<long>, rare_next array<long>")
+                row = ids[chunk.first : chunk.first + len(chunk)]
+                owner = np.repeat(row, np.diff(at))
+                order = np.argsort(asked, kind="stable")
+                asked, context = asked[order], context[order]
+                if len(unknown) or len(asked):
+                    held.append((t[unknown], owner[unknown], context if len(asked) else none, t[asked], owner[asked]))
+                    size += len(unknown) + len(asked)
+                sums = [segment_sum(x, at) for x in (np.ones(len(t), np.int64), (c > 0).astype(np.int64), base, base + change)]
+                parcel = [pa.array((mix(row.view(np.uint64), 34) % np.uint64(n_buckets)).astype(np.int32)), pa.array(np.full(len(chunk), DOCUMENT, np.int32)), *[pa.nulls(len(chunk), pa.binary())] * 3]
+                out = pa.RecordBatch.from_arrays([*parcel, *part.columns[:-1], *map(pa.array, sums)], ["bucket", "kind", "a", "b", "n", *batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score"])
+                blank = list(out.schema)[5:]
+                yield out
+                if size > HELD_ASKED:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
+
+
+class Answers:
+    """Sums by row number of what is known of rare words and states, added up as they come."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, row: np.ndarray, known: int, base: np.ndarray, change: np.ndarray) -> None:
+        self.parts.append((row, np.full(len(row), known, np.int64), base, change))
+        self.size += len(row)
+
+    def summed(self) -> tuple[np.ndarray, ...]:
+        row, *values = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        new = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        self.parts = [(row[new], *(np.add.reduceat(x[order], new) for x in values))]
+        self.size = len(new)
+        return self.parts[0]
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket and kind: a bucket's part of the model first, then what is asked of it; documents pass through."""
+    answers, at, part, tables, blank = Answers(), None, {}, {}, None
+
+    def table(kind: int) -> tuple[Lookup, np.ndarray]:
+        if kind not in tables:
+            got = part.pop(kind, [])
+            key = np.concatenate([a for a, _ in got]) if got else np.zeros(0, np.uint64)
+            x = np.concatenate([b for _, b in got]) if got else np.zeros(0)
+            order = np.argsort(key)
+            tables[kind] = Lookup(key[order]), x[order]
+        return tables[kind]
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        row, known, base, change = answers.summed()
+        answers.parts, answers.size = [], 0
+        have = {"kind": np.full(len(row), ASKED_STATE, np.int32), "__row": row, "n_tokens": np.zeros(len(row), np.int64), "n_known": known, "base_score": base, "score": base + change}
+        yield pa.RecordBatch.from_arrays([pa.array(have[f.name]) if f.name in have else pa.nulls(len(row), f.type) for f in blank], [f.name for f in blank])
+
+    for batch in batches:
+        kinds = batch.column(1).to_numpy()
+        blank = [f for i, f in enumerate(batch.schema) if i == 1 or i >= 5]
+        documents = np.flatnonzero(kinds == DOCUMENT)
+        if len(documents):
+            whole = batch.take(pa.array(documents))
+            yield pa.RecordBatch.from_arrays([whole.column(i) for i in (1, *range(5, whole.num_columns))], [f.name for f in blank])
+        buckets, *blobs = (batch.column(i) for i in (0, 2, 3, 4))
+        for i in np.flatnonzero(kinds != DOCUMENT).tolist():
+            bucket, kind = buckets[i].as_py(), kinds[i]
+            a, b, n = (x[i].as_buffer() for x in blobs)  # views: a batch may hold a whole partition
+            if bucket != at:
+                at, part, tables = bucket, {}, {}
+            if kind <= ENTRY:
+                part.setdefault(kind, []).append((np.frombuffer(a, np.uint64).copy(), np.frombuffer(b, np.float64).copy()))
+                continue
+            h, t, row = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(n, np.int64)
+            keys, x = table(WORD if kind == ASKED_WORD else STATE)
+            found = keys.find(h)
+            hit = found >= 0
+            h, t, row, x = h[hit], t[hit], row[hit], x[found[hit]]
+            if kind == ASKED_WORD:
+                answers.add(row, 1, x, np.zeros(len(row)))
+            else:
+                lifts, lift = table(ENTRY)
+                e = lifts.find(entry(h, t))
+                answers.add(row, 0, np.zeros(len(row)), np.where(e >= 0, lift[e], x) if len(lift) else x)
+            if answers.size > HELD_KEYS:
+                answers.summed()
+                if answers.size > HELD_KEYS // 2:
+                    yield from sent()
+    if answers.size:
+        yield from sent()

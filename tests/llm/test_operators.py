@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -599,3 +600,36 @@ def test_tree_grows_with_the_input(spark):
     some = spark.createDataFrame(list(enumerate(texts[:200] + texts[-2:])), "doc_id long, text string")
     one, many = ({r["doc_id"]: r["score"] for r in suffix_tree_lm.score(some, model, ids(), tree_bytes=size).collect()} for size in (1 << 20, 2000))
     assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
+
+
+def test_scores_match_a_plain_walk_of_the_tree(spark):
+    """Each token is scored by the longest kept suffix before it, its probability built up from the unigram's, whether rows are broadcast or dealt."""
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a b c", "a c", "b b a", "d"]) for _ in range(40)) for _ in range(30)] + [None, "", "zz unseen d a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = suffix_tree_lm.train(docs.where("doc_id < 30"), gamma=0.01, g_least=1.0, kl_least=0.001)
+    rows = {(r["depth"], r["h"], r["w"]): r["change"] for r in model.rows.collect()}
+    count = {r["k"]: r["n"] for r in model.vocabulary.collect()}
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+
+    def plain(text):
+        chunk = next(iter(suffix_tree_lm.chunks(pa.array([text or ""]))))
+        t, _, _ = suffix_tree_lm.tokens(chunk)
+        total = 0.0
+        for i, w in enumerate(t):
+            total += math.log10((count.get(signed(w), 0) + 0.1) / (model.n + 0.1 * (model.v + 1)))
+            for depth in range(1, min(i, 3) + 1):
+                h = np.zeros(1, np.uint64)
+                for d in range(1, depth + 1):
+                    h = suffix_tree_lm.extend(h, t[i - depth + d - 1 : i - depth + d], d)
+                key = depth, signed(h[0])
+                if (*key, None) not in rows:
+                    break
+                total += rows.get((*key, signed(w)), rows[*key, None])
+        return total
+
+    for size in (1 << 20, 64, 0):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(docs, model, ids(), block_bytes=size, tree_bytes=size).collect()}
+        assert len(got) == len(texts) and all(math.isclose(got[i], plain(t), rel_tol=1e-9) for i, t in enumerate(texts))
