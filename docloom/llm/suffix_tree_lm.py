@@ -16,7 +16,8 @@ which they are merged; candidates are looked up in hash blocks of bounded size,
 A tree row holds by how much (log10) a state, or one of its words, changes its parent's probability: a token's score
 is its unigram score plus one row per depth. Scoring is one pass: the most frequent words and states, as many as a fixed
 size holds, are broadcast, with a Bloom filter of the others. What may be one of those goes, as arrays of hashes and row
-numbers, to the hash buckets among which the rest of the model is dealt, in the same shuffle as the documents' own sums.
+numbers, to the hash buckets among which the rest of the model is dealt; what they add to a document's sums goes, as
+arrays again, to where the document is dealt. Ascending numbers are passed on as differences, which compress.
 
 Defined results: a null text is empty, and so has the end token only; with nothing to learn from, every token is
 unseen. Repeated rows count and are scored each; ids may be null (such rows are in fold 0, which is held out). Texts of
@@ -86,6 +87,28 @@ def contexts(t: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.
         yield h, place >= d
 
 
+# ---------------------------------------------------------------- packed arrays
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, all least bytes first: the leading ones, mostly zeros, then compress to nothing."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unpacked(blob, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def packed_steps(x: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as their differences, packed."""
+    return packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpacked_steps(blob, dtype: type) -> np.ndarray:
+    return np.cumsum(unpacked(blob, dtype), dtype=dtype)
+
+
 # ---------------------------------------------------------------- counting
 
 
@@ -123,11 +146,11 @@ class Counter:
 
     def _dealt(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         bucket = (mix(a.astype(np.uint64) + b, 32) % np.uint64(self.n_buckets)).astype(np.int64)
-        order = np.lexsort((a, bucket))  # contexts in order: their leading bytes then compress
+        order = np.lexsort((a, bucket))
         a, b, n, bucket = a[order], b[order], n[order].astype(np.uint32), bucket[order]
         at = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-        cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), cut(a), cut(b), cut(n)], ["bucket", "a", "b", "n"])
+        cut = lambda x, pack: pa.array([pack(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), cut(a, packed_steps), cut(b, np.ndarray.tobytes), cut(n, packed)], ["bucket", "a", "b", "n"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.size:
@@ -147,7 +170,9 @@ def count(texts: DataFrame, keys, rows, schema: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(blobs: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            a, b, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*blobs, strict=True), (np.uint32, np.uint64, np.uint32), strict=True))
+            a = np.concatenate([unpacked_steps(x, np.uint32) for x, _, _ in blobs])
+            b = np.frombuffer(b"".join(x for _, x, _ in blobs), np.uint64)
+            n = np.concatenate([unpacked(x, np.uint32) for _, _, x in blobs])
             got = rows(*merged(a, b, n.astype(np.int64)))
             for i in range(0, got.num_rows, 1 << 17):
                 yield got.slice(i, 1 << 17)
@@ -430,24 +455,25 @@ def split_at(table: DataFrame, size: str, n_rows: int, most: int) -> int:
     return 1 << cut
 
 
-#: Kinds of rows in the shuffle that scores rare words and states: what the model has, then what is asked of it, then the documents.
-WORD, STATE, ENTRY, ASKED_WORD, ASKED_STATE, DOCUMENT = range(6)
+#: Kinds of rows in the shuffles that score rare words and states: what the model has, what is asked of it, what that adds to sums, the documents.
+WORD, STATE, ENTRY, ASKED_WORD, ASKED_STATE, SUMS, DOCUMENT = range(7)
 PARCEL = "bucket int, kind int, a binary, b binary, n binary"
 
 
-def parcels(kind: int, h: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
-    """Columns of 8-byte values (three at most) dealt to buckets by the hash h, an array for each; the order within is kept."""
+def parcels(kind: int, h: np.ndarray, columns: list[np.ndarray], n_buckets: int, row: np.ndarray | None = None) -> pa.RecordBatch:
+    """Columns (a and perhaps b) and ascending row numbers (n) dealt to buckets by the hash h, an array for each; the order within is kept."""
     bucket = (mix(h, 34) % np.uint64(n_buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     at = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
 
-    def cut(x: np.ndarray) -> pa.Array:
+    def cut(x: np.ndarray, pack) -> pa.Array:
         x = x[order]
-        return pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        return pa.array([pack(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
     rows = len(at) - 1
-    arrays = [cut(x) for x in columns] + [pa.nulls(rows, pa.binary())] * (3 - len(columns))
+    none = pa.nulls(rows, pa.binary())
+    arrays = [*[cut(x, np.ndarray.tobytes) for x in columns], *[none] * (2 - len(columns)), none if row is None else cut(row.view(np.uint64), packed_steps)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(np.full(rows, kind, np.int32)), *arrays], ["bucket", "kind", "a", "b", "n"])
 
 
@@ -488,12 +514,10 @@ def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str
     result = kept + "n_tokens long, n_known long, base_score double, score double"
     got = rows.mapInArrow(_first_pass(spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(tree), n_buckets), f"{PARCEL}, {result}")
     carried = rows.columns[1:-1]
-    sums = ["n_tokens", "n_known", "base_score", "score"]
     if word_cut or tree_cut:
         got = got.unionByName(_model_parcels(model, word_cut, tree_cut, n_buckets), allowMissingColumns=True)
-        got = got.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, f"kind int, {result}")
-        own = [F.first(F.when(F.col("kind") == DOCUMENT, F.col(c)), ignorenulls=True).alias(c) for c in carried]
-        got = got.groupBy("__row").agg(*own, *[F.sum(c).alias(c) for c in sums])
+        got = got.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(n_buckets), f"{PARCEL}, {result}")
+        got = got.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_add_sums, result)
     else:
         got = got.where(F.col("kind") == DOCUMENT)
     out = [F.col(c).alias(k) for c, k in zip(carried, keep, strict=True)]
@@ -517,9 +541,9 @@ def _first_pass(words, tree, n_buckets: int):
                 w, w_row, h, t, row = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
                 if len(w):
-                    yield padded(parcels(ASKED_WORD, w, [w, w, w_row], n_buckets))
+                    yield padded(parcels(ASKED_WORD, w, [w], n_buckets, w_row))
                 if len(h):
-                    yield padded(parcels(ASKED_STATE, h, [h, t, row], n_buckets))
+                    yield padded(parcels(ASKED_STATE, h, [h, t], n_buckets, row))
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -558,8 +582,8 @@ class Answers:
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, row: np.ndarray, known: int, base: np.ndarray, change: np.ndarray) -> None:
-        self.parts.append((row, np.full(len(row), known, np.int64), base, change))
+    def add(self, row: np.ndarray, known: int | np.ndarray, base: np.ndarray, change: np.ndarray) -> None:
+        self.parts.append((row, np.broadcast_to(np.asarray(known, np.int64), len(row)), base, change))
         self.size += len(row)
 
     def summed(self) -> tuple[np.ndarray, ...]:
@@ -572,55 +596,85 @@ class Answers:
         return self.parts[0]
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(n_buckets: int):
     """Rows by bucket and kind: a bucket's part of the model first, then what is asked of it; documents pass through."""
-    answers, at, part, tables, blank = Answers(), None, {}, {}, None
-
-    def table(kind: int) -> tuple[Lookup, np.ndarray]:
-        if kind not in tables:
-            got = part.pop(kind, [])
-            key = np.concatenate([a for a, _ in got]) if got else np.zeros(0, np.uint64)
-            x = np.concatenate([b for _, b in got]) if got else np.zeros(0)
-            order = np.argsort(key)
-            tables[kind] = Lookup(key[order]), x[order]
-        return tables[kind]
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        row, known, base, change = answers.summed()
-        answers.parts, answers.size = [], 0
-        have = {"kind": np.full(len(row), ASKED_STATE, np.int32), "__row": row, "n_tokens": np.zeros(len(row), np.int64), "n_known": known, "base_score": base, "score": base + change}
-        yield pa.RecordBatch.from_arrays([pa.array(have[f.name]) if f.name in have else pa.nulls(len(row), f.type) for f in blank], [f.name for f in blank])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers, at, part, tables, blank = Answers(), None, {}, {}, None
+
+        def table(kind: int) -> tuple[Lookup, np.ndarray]:
+            if kind not in tables:
+                got = part.pop(kind, [])
+                key = np.concatenate([a for a, _ in got]) if got else np.zeros(0, np.uint64)
+                x = np.concatenate([b for _, b in got]) if got else np.zeros(0)
+                order = np.argsort(key)
+                tables[kind] = Lookup(key[order]), x[order]
+            return tables[kind]
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            row, known, base, change = answers.summed()
+            answers.parts, answers.size = [], 0
+            # where the documents are dealt; a sum and the change of it side by side
+            out = parcels(SUMS, row.view(np.uint64), [known, np.stack((base, change), 1)], n_buckets, row)
+            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, f.type) for f in blank)], [*out.schema.names, *(f.name for f in blank)])
+
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            blank = list(batch.schema)[5:]
+            documents = np.flatnonzero(kinds == DOCUMENT)
+            if len(documents):
+                yield batch.take(pa.array(documents))
+            buckets, *blobs = (batch.column(i) for i in (0, 2, 3, 4))
+            for i in np.flatnonzero(kinds != DOCUMENT).tolist():
+                bucket, kind = buckets[i].as_py(), kinds[i]
+                a, b, n = (x[i].as_buffer() for x in blobs)  # views: a batch may hold a whole partition
+                if bucket != at:
+                    at, part, tables = bucket, {}, {}
+                if kind <= ENTRY:
+                    part.setdefault(kind, []).append((np.frombuffer(a, np.uint64).copy(), np.frombuffer(b, np.float64).copy()))
+                    continue
+                h, row = np.frombuffer(a, np.uint64), unpacked_steps(n, np.uint64).view(np.int64)
+                keys, x = table(WORD if kind == ASKED_WORD else STATE)
+                found = keys.find(h)
+                hit = found >= 0
+                h, row, x = h[hit], row[hit], x[found[hit]]
+                if kind == ASKED_WORD:
+                    answers.add(row, 1, x, np.zeros(len(row)))
+                else:
+                    lifts, lift = table(ENTRY)
+                    e = lifts.find(entry(h, np.frombuffer(b, np.uint64)[hit]))
+                    answers.add(row, 0, np.zeros(len(row)), np.where(e >= 0, lift[e], x) if len(lift) else x)
+                if answers.size > HELD_KEYS:
+                    answers.summed()
+                    if answers.size > HELD_KEYS // 2:
+                        yield from sent()
+        if answers.size:
+            yield from sent()
+
+    return run
+
+
+def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket and kind: what its documents' rare words and states add to their sums, then the documents."""
+    at, sums, is_summed = None, Answers(), False
     for batch in batches:
-        kinds = batch.column(1).to_numpy()
-        blank = [f for i, f in enumerate(batch.schema) if i == 1 or i >= 5]
-        documents = np.flatnonzero(kinds == DOCUMENT)
-        if len(documents):
-            whole = batch.take(pa.array(documents))
-            yield pa.RecordBatch.from_arrays([whole.column(i) for i in (1, *range(5, whole.num_columns))], [f.name for f in blank])
-        buckets, *blobs = (batch.column(i) for i in (0, 2, 3, 4))
-        for i in np.flatnonzero(kinds != DOCUMENT).tolist():
-            bucket, kind = buckets[i].as_py(), kinds[i]
-            a, b, n = (x[i].as_buffer() for x in blobs)  # views: a batch may hold a whole partition
-            if bucket != at:
-                at, part, tables = bucket, {}, {}
-            if kind <= ENTRY:
-                part.setdefault(kind, []).append((np.frombuffer(a, np.uint64).copy(), np.frombuffer(b, np.float64).copy()))
+        buckets, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = np.flatnonzero((buckets[1:] != buckets[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(kinds)], strict=True):
+            if buckets[i] != at:
+                at, sums, is_summed = buckets[i], Answers(), False
+            if kinds[i] == SUMS:
+                for a, b, n in zip(*(batch.column(c).slice(i, j - i).to_pylist() for c in (2, 3, 4)), strict=True):
+                    values = np.frombuffer(b, np.float64).reshape(-1, 2)
+                    sums.add(unpacked_steps(n, np.uint64).view(np.int64), np.frombuffer(a, np.int64), values[:, 0], values[:, 1])
                 continue
-            h, t, row = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(n, np.int64)
-            keys, x = table(WORD if kind == ASKED_WORD else STATE)
-            found = keys.find(h)
-            hit = found >= 0
-            h, t, row, x = h[hit], t[hit], row[hit], x[found[hit]]
-            if kind == ASKED_WORD:
-                answers.add(row, 1, x, np.zeros(len(row)))
-            else:
-                lifts, lift = table(ENTRY)
-                e = lifts.find(entry(h, t))
-                answers.add(row, 0, np.zeros(len(row)), np.where(e >= 0, lift[e], x) if len(lift) else x)
-            if answers.size > HELD_KEYS:
-                answers.summed()
-                if answers.size > HELD_KEYS // 2:
-                    yield from sent()
-    if answers.size:
-        yield from sent()
+            own = batch.slice(i, j - i)
+            row, known, base, score = (own.column(c).to_numpy() for c in ("__row", "n_known", "base_score", "score"))
+            if sums.parts:
+                rows, more, lift, change = sums.parts[0] if is_summed else sums.summed()
+                is_summed = True
+                place = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
+                there = rows[place] == row
+                known, lift = known + np.where(there, more[place], 0), np.where(there, lift[place], 0.0)
+                base, score = base + lift, score + lift + np.where(there, change[place], 0.0)
+            yield pa.RecordBatch.from_arrays([*own.columns[5:-3], *map(pa.array, (known, base, score))], own.schema.names[5:])
