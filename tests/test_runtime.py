@@ -2,15 +2,18 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom import Validator
+from docloom.operators import runtime
 from docloom.operators.normalize import Normalizer, Remove, Replace, Rewriter
 from docloom.operators.runtime import NORMALIZING, RuntimeWalk, deep_normalizer
 from docloom.operators.walk import STOP
 from docloom.plans.nodes import Options
 from docloom.plans.pyeval import deep_validator
+from docloom.plans.refs import resolve
 
 
 def test_handlers_see_and_change(spark):
@@ -94,3 +97,23 @@ def test_deeper_than_unrolled(spark):
     assert got == "depth_exceeded"
     out = df.where("k = 11").select(F.to_json(Normalizer(CHAIN, Options(max_depth=2)).column(F.col("doc")))).first()[0]
     assert out.count('"v":1') == 20 and '"v":7' in out
+
+
+def test_normalising_single_values_finds_the_schema_once(monkeypatch):
+    """What a schema node and its references say is found once, not at every level of every document; far deeper ones fit the stack."""
+    asked = []
+    monkeypatch.setattr(runtime, "resolve", lambda *a: asked.append(a) or resolve(*a))
+    monkeypatch.setattr(F, "arrow_udf", lambda fn, kind: fn)
+    doc = {"v": "7", "junk": 1}
+    for _ in range(300):
+        doc = {"v": "1", "next": doc}
+    out = deep_normalizer(CHAIN)(pa.array([json.dumps(doc), None, '{"v":"3"}']))
+    assert [x and x.as_py() and x.as_py().count('"v":') for x in out][::2] == [301, 1] and out[1].as_py() is None and "junk" not in out[0].as_py()
+    assert len(asked) <= 2  # one for each node that refers
+
+
+def test_tuples_do_not_touch_objects(spark):
+    """A tuple's default has no place in an object, whichever way it takes."""
+    schema = {"items": [{"default": 1}], "properties": {"a": {"default": 2}}}
+    row = spark.createDataFrame([("{}",)], "j string").select(F.to_json(Normalizer(schema).column(F.parse_json("j"))).alias("a"), deep_normalizer(schema)(F.col("j")).alias("b")).first()
+    assert row["a"] == row["b"] == '{"a":2}'
