@@ -117,3 +117,40 @@ def test_tuples_do_not_touch_objects(spark):
     schema = {"items": [{"default": 1}], "properties": {"a": {"default": 2}}}
     row = spark.createDataFrame([("{}",)], "j string").select(F.to_json(Normalizer(schema).column(F.parse_json("j"))).alias("a"), deep_normalizer(schema)(F.col("j")).alias("b")).first()
     assert row["a"] == row["b"] == '{"a":2}'
+
+
+def chain_of(n):
+    doc = {"v": 2}
+    for _ in range(n):
+        doc = {"v": 1, "next": doc}
+    return doc
+
+
+def test_deep_visits_read_the_schema_once(monkeypatch):
+    """References are followed and children listed once for a schema node, not at every level; a document nobody holds is not read again from its root."""
+    asked, read = [], []
+    monkeypatch.setattr(runtime, "resolve", lambda *a: asked.append(a) or resolve(*a))
+    monkeypatch.setattr(F, "arrow_udf", lambda fn, kind: fn)
+    walk = RuntimeWalk(CHAIN, {"[type=integer]": lambda s, v, c: len(c.path)})
+    visits = walk.visits(pa.array([json.dumps(chain_of(20)), None, json.dumps(chain_of(2))])).to_pylist()
+    assert visits[1] is None and [len(visits[0]), len(visits[2])] == [21, 3] and len(asked) <= 2
+    assert visits[0][20] == {"selector": "[type=integer]", "phase": "", "path": [*["next"] * 20, "v"], "property": "v", "value": "2", "schema": json.dumps(CHAIN["definitions"]["link"]["properties"]["v"], sort_keys=True), "output": "21"}
+    get = runtime._Slot.get
+    monkeypatch.setattr(runtime._Slot, "get", lambda slot: read.append(slot.stamp != slot.walk._stamp) or get(slot))
+    walk.visits(pa.array([json.dumps(chain_of(20))]))
+    assert not any(read)
+
+
+def test_handlers_may_change_the_document_anywhere():
+    """Also objects that they got hold of earlier, above the node they are at."""
+    held = []
+    selectors = {
+        "[hold]": lambda s, v, c: held.append(v), "[swap]": lambda s, v, c: held[0].update(b={"c": 9, "d": 8}), "[seen]": lambda s, v, c: held.append(v),
+        "[kept]": lambda s, v, c: held.append(c), "[late]": lambda s, v, c: held[-1].replace({"y": 6}),
+    }
+    schema = {"hold": 1, "properties": {"b": {"properties": {"c": {"swap": 1}, "d": {"seen": 1}}}}}
+    for walk in (lambda w, d: w.run(d), lambda w, d: w._run(d, None, {})):
+        held.clear()
+        assert walk(RuntimeWalk(schema, selectors), {"b": {"c": 1, "d": 2}}) == {"b": {"c": 9, "d": 8}} and held[1] == 8
+        held.clear()
+        assert walk(RuntimeWalk({"properties": {"b": {"kept": 1, "properties": {"x": {"late": 1}, "y": {"seen": 1}}}}}, selectors), {"b": {"x": 1, "y": 2}}) == {"b": {"y": 6}} and held[1] == 6
