@@ -154,3 +154,26 @@ def test_handlers_may_change_the_document_anywhere():
         assert walk(RuntimeWalk(schema, selectors), {"b": {"c": 1, "d": 2}}) == {"b": {"c": 9, "d": 8}} and held[1] == 8
         held.clear()
         assert walk(RuntimeWalk({"properties": {"b": {"kept": 1, "properties": {"x": {"late": 1}, "y": {"seen": 1}}}}}, selectors), {"b": {"x": 1, "y": 2}}) == {"b": {"y": 6}} and held[1] == 6
+
+
+def test_handler_forms_are_told_apart_once(monkeypatch):
+    """Signatures are not inspected at visits; all forms are called as before."""
+    asked = []
+    monkeypatch.setattr(runtime.inspect, "signature", lambda f, real=runtime.inspect.signature: asked.append(f) or real(f))
+
+    class Callable3:
+        def __call__(self, s, v, c):
+            return v
+
+    def optional(s, v, c, more=1):
+        return more
+
+    class Own:
+        def two(self, s, c):
+            return lambda _s, v: v + s["maximum"]
+
+    selectors = {"[items]": {"prepare": lambda s, c: None}, ":item": {"inline": lambda s, v, c: v}, "[type]": lambda: "r", "[maximum]": Own().two, ":item-end": Callable3(), "[type=integer]": optional}
+    got = []
+    RuntimeWalk({"items": {"type": "integer", "maximum": 9}}, selectors).run(list(range(50)), lambda selector, phase, schema, ctx, out: got.append((selector.text, out)))
+    assert got == [("[items]", None), *[x for i in range(50) for x in ((":item", i), ("[type]", "r"), ("[maximum]", i + 9), ("[type=integer]", 1), (":item-end", i))]]
+    assert len(asked) <= 1  # of the callable object
