@@ -177,3 +177,29 @@ def test_handler_forms_are_told_apart_once(monkeypatch):
     RuntimeWalk({"items": {"type": "integer", "maximum": 9}}, selectors).run(list(range(50)), lambda selector, phase, schema, ctx, out: got.append((selector.text, out)))
     assert got == [("[items]", None), *[x for i in range(50) for x in ((":item", i), ("[type]", "r"), ("[maximum]", i + 9), ("[type=integer]", 1), (":item-end", i))]]
     assert len(asked) <= 1  # of the callable object
+
+
+def test_selectors_made_for_each_document_are_read_once(monkeypatch):
+    """State is each document's own, but selectors' texts, children and branches are worked out once for a batch."""
+    asked = []
+    monkeypatch.setattr(runtime, "children", lambda *a, real=runtime.children: asked.append("children") or real(*a))
+    monkeypatch.setattr(runtime, "parse", lambda text, real=runtime.parse: asked.append("parse") or real(text))
+    monkeypatch.setattr(F, "arrow_udf", lambda fn, kind: fn)
+
+    class Collected:
+        def __init__(self):
+            self.out = []
+            self.selectors = {"[either]": {"prepare": self.prepared}, "[type=integer]": lambda s, v, c: self.out.append("i") if type(v) is int else None, "[type=string]": lambda s, v, c: self.out.append("s") if isinstance(v, str) else None}
+
+        @staticmethod
+        def prepared(schema, ctx):
+            ctx.compile(schema["either"], "either")
+            return lambda s, v, c: [walk(v, c.path) for walk in c.either] and None
+
+        def end(self):
+            return "".join(self.out)
+
+    walk = RuntimeWalk({"properties": {"p": {"either": [{"type": "integer"}, {"type": "string"}, {"items": {"type": "integer"}}]}}}, Collected)
+    texts = ['{"p":1}', '{"p":"x"}', None, '{"p":[1,2,7]}', "{}"] * 20
+    assert walk.results(pa.array(texts)).to_pylist() == ['"i"', '"s"', None, '"iii"', '""'] * 20
+    assert len(asked) <= 3 + 7  # selectors and schema nodes
