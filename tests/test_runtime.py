@@ -11,6 +11,7 @@ from docloom.operators import runtime
 from docloom.operators.normalize import Normalizer, Remove, Replace, Rewriter
 from docloom.operators.runtime import NORMALIZING, RuntimeWalk, deep_normalizer
 from docloom.operators.walk import STOP
+from docloom.plans import pyeval
 from docloom.plans.nodes import Options
 from docloom.plans.pyeval import deep_validator
 from docloom.plans.refs import resolve
@@ -203,3 +204,15 @@ def test_selectors_made_for_each_document_are_read_once(monkeypatch):
     texts = ['{"p":1}', '{"p":"x"}', None, '{"p":[1,2,7]}', "{}"] * 20
     assert walk.results(pa.array(texts)).to_pylist() == ['"i"', '"s"', None, '"iii"', '""'] * 20
     assert len(asked) <= 3 + 7  # selectors and schema nodes
+
+
+def test_the_evaluator_reads_the_schema_once(monkeypatch):
+    """References are followed once for a schema node, also over many documents; patterns that no member meets stay unread."""
+    asked = []
+    monkeypatch.setattr(pyeval, "resolve", lambda *a: asked.append(a) or resolve(*a))
+    evaluator = pyeval.Evaluator(CHAIN)
+    for n in (20, 3, 0):
+        assert evaluator.errors(chain_of(n)) == [] and [e[:2] for e in evaluator.errors(chain_of(n) | {"v": 9})] == [("maximum", ["v"])]
+    assert len(asked) <= 2
+    unread = {"patternProperties": {"(": {}}, "additionalProperties": {}}
+    assert pyeval.Evaluator(unread).errors(5) == [] and RuntimeWalk(unread, {"[x]": lambda s, v, c: 1}).run(5) == 5 and runtime.NormalizingWalk(unread).run(5) == 5
