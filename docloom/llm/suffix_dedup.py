@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import BROADCAST_BYTES, Scratch, as_i64, chunks, mix, prefix_hash, slice_hash, union_spans
+from docloom.llm.common import BROADCAST_BYTES, Scratch, as_i64, chunks, mix, prefix_hash, segment_sum, slice_hash, union_spans
 
 LENGTH = 200
 #: Bytes of the k-grams that anchors are chosen from, as a share of the length.
@@ -161,17 +162,31 @@ def _neighbours(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumns({"before": F.lag(order[0]).over(w), "after": F.lead(order[0]).over(w)})
 
 
-def _spans(flags: np.ndarray, at: np.ndarray) -> list[list[dict]]:
+def _flat(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs, a null one empty: where each list starts, and the structs' fields, one list after another."""
+    at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))))
+    return at, [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+
+
+def _listed(at: np.ndarray, **fields: np.ndarray) -> pa.ListArray:
+    """The other way round."""
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], names=list(fields)))
+
+
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Texts of these sizes, which stand in data one after another."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _spans(flags: np.ndarray, at: np.ndarray) -> pa.ListArray:
     """For flags[at[k]:at[k + 1]] the runs of true ones as first and last."""
     edge = np.zeros(len(flags) + 1, bool)
     edge[at] = True
     first = np.flatnonzero(flags & (edge[:-1] | ~np.concatenate(([False], flags[:-1]))))
     last = np.flatnonzero(flags & (edge[1:] | ~np.concatenate((flags[1:], [False]))))
-    owner = np.searchsorted(at, first, "right") - 1
-    out: list[list[dict]] = [[] for _ in range(len(at) - 1)]
-    for k, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True):
-        out[k].append({"first": int(a - at[k]), "last": int(b - at[k])})
-    return out
+    base = at[np.searchsorted(at, first, "right") - 1]
+    return _listed(np.searchsorted(first, at), first=(first - base).astype(np.int32), last=(last - base).astype(np.int32))
 
 
 def remove_repeats(docs: DataFrame, keep: dict[str, Column], length: int = LENGTH, text_col: str = "text", scratch: Scratch | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -234,13 +249,16 @@ def remove_repeats(docs: DataFrame, keep: dict[str, Column], length: int = LENGT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i in range(0, len(runs), 4096):
-                    part = runs[i : i + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["h"] for r in part], pa.int64()), pa.array([r["c"] for r in part], pa.int64()), pa.array([r["hot"] for r in part], pa.bool_()), pa.array([body[r["first"] : r["first"] + r["n"] + length - 1] for r in part], pa.binary())],
-                        ["h", "c", "hot", "bytes"],
-                    )
+            at, (h, c, hot, first, n) = _flat(batch.column(1))
+            for chunk in chunks(batch.column(0)):
+                own = at[chunk.first : chunk.first + len(chunk) + 1]
+                base = np.repeat(chunk.offsets[:-1], np.diff(own))
+                for i in range(own[0], own[-1], 4096):
+                    part = slice(i, min(i + 4096, own[-1]))
+                    size = n[part].astype(np.int64) + (length - 1)
+                    start = base[part.start - own[0] : part.stop - own[0]] + first[part]
+                    spot = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(c[part]), pa.array(hot[part]), _binary(size, chunk.data[spot])], ["h", "c", "hot", "bytes"])
 
     contexts = scratch.save(texts.join(wanted, "doc").select("text", "runs").mapInArrow(cut, "h long, c long, hot boolean, bytes binary"), "contexts")
     spans_type = "array<struct<first:int,last:int>>"
@@ -250,7 +268,7 @@ def remove_repeats(docs: DataFrame, keep: dict[str, Column], length: int = LENGT
             flags = repeated_windows([b for _, _, b in bundle], length)
             at = np.concatenate(([0], np.cumsum([len(b) - length + 1 for _, _, b in bundle])))
             return pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _, _ in bundle], pa.int64()), pa.array([c for _, c, _ in bundle], pa.int64()), pa.array(_spans(flags, at), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["h", "c", "spans"]
+                [pa.array([h for h, _, _ in bundle], pa.int64()), pa.array([c for _, c, _ in bundle], pa.int64()), _spans(flags, at)], ["h", "c", "spans"]
             )
 
         bundle, size = [], 0
@@ -293,28 +311,37 @@ def remove_repeats(docs: DataFrame, keep: dict[str, Column], length: int = LENGT
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("__text").to_pylist(), [x or [] for x in batch.column("__spans").to_pylist()]
-            left = []
-            for body, own in zip(texts, spans, strict=True):
-                at = [0, *(e for s in own for e in (s["first"], s["stop"])), len(body)]
-                left.append(b"".join(body[at[i] : at[i + 1]] for i in range(0, len(at), 2)) if own else body)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array([len(x) for x in texts], pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))), pa.array(left, pa.binary())],
-                [*batch.schema.names[:-2], "n_bytes", "spans", "kept"],
-            )
+            at, (first, stop) = _flat(batch.column("__spans"))
+            n_bytes, n_left, left = [], [], []
+            for chunk in chunks(batch.column("__text")):
+                own = at[chunk.first : chunk.first + len(chunk) + 1]
+                part, base = slice(own[0], own[-1]), np.repeat(chunk.offsets[:-1], np.diff(own))
+                edge = np.zeros(len(chunk.data) + 1, np.int8)
+                edge[first[part] + base] += 1
+                edge[stop[part] + base] -= 1
+                left.append(chunk.data[np.cumsum(edge[:-1], dtype=np.int8) == 0])
+                n_bytes.append(np.diff(chunk.offsets))
+                n_left.append(n_bytes[-1] - segment_sum(stop[part] - first[part], own - own[0]))
+            if left:
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-2], pa.array(np.concatenate(n_bytes)), _listed(at, first=first, stop=stop), _binary(np.concatenate(n_left), np.concatenate(left))],
+                    [*batch.schema.names[:-2], "n_bytes", "spans", "kept"],
+                )
 
     return body.mapInArrow(strip, schema + "n_bytes long, spans array<struct<first:long,stop:long>>, kept binary")
 
 
 def _tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's spans in order, merged where they overlap or touch."""
     for batch in batches:
-        out = []
-        for spans in batch.column(1).to_pylist():
-            a = np.array([[s["first"], s["stop"]] for s in spans], np.int64)
-            a = a[np.lexsort((a[:, 1], a[:, 0]))]
-            first, stop = union_spans(a[:, 0], a[:, 1])
-            out.append([{"first": x, "stop": y} for x, y in zip(first.tolist(), stop.tolist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())])))], ["doc", "spans"])
+        at, (first, stop) = _flat(batch.column(1))
+        apart = int(stop.max(initial=0)) + 2  # so that spans of different documents do not touch
+        base = np.repeat(np.arange(len(at) - 1) * apart, np.diff(at))
+        first, stop = first + base, stop + base
+        order = np.argsort(first, kind="stable")
+        first, stop = union_spans(first[order], stop[order])
+        owner = first // apart
+        yield pa.RecordBatch.from_arrays([batch.column(0), _listed(np.searchsorted(owner, np.arange(len(at))), first=first - owner * apart, stop=stop - owner * apart)], ["doc", "spans"])
 
 
 def n_removed() -> Column:

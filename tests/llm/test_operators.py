@@ -390,6 +390,34 @@ def test_suffix_dedup(spark, empty, group_bytes):
     assert suffix_dedup.remove_repeats(empty, ids()).count() == 0
 
 
+def test_suffix_dedup_spans_stay_in_arrays():
+    """The spans of a batch take a few times their own bytes, not a Python object each; merged as by hand, a null list and an empty batch included."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    first = np.sort(rng.integers(0, 1 << 20, 200_000))
+    many = pa.ListArray.from_arrays(pa.array(np.arange(0, 200_001, 40), pa.int32()), pa.StructArray.from_arrays([pa.array(first), pa.array(first + 266)], names=["first", "stop"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), many], ["doc", "spans"])
+    tracemalloc.start()
+    try:
+        list(suffix_dedup._tidy([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 8 * batch.nbytes
+    finally:
+        tracemalloc.stop()
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
+    few = [[{"first": int(x), "stop": int(x) + int(rng.integers(1, 20))} for x in rng.integers(0, 200, n)] for n in rng.integers(0, 12, 300)]
+    column = pa.array([*few[:150], None, *few[150:]], kind)
+    for lists in (column, column.slice(7, 200), column.slice(0, 0)):
+        (out,) = suffix_dedup._tidy([pa.RecordBatch.from_arrays([pa.array(range(len(lists)), pa.int64()), lists], ["doc", "spans"])])
+        for got, spans in zip(out.column(1).to_pylist(), lists.to_pylist(), strict=True):
+            inside = {i for s in spans or [] for i in range(s["first"], s["stop"])}
+            firsts, stops = (sorted(i for i in inside if i - 1 not in inside), sorted(i + 1 for i in inside if i + 1 not in inside))
+            assert got == [{"first": a, "stop": b} for a, b in zip(firsts, stops, strict=True)]
+
+
 def test_suffix_order():
     import numpy as np
 
