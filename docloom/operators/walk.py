@@ -22,6 +22,7 @@ from docloom.plans.nodes import Options, Place, TooDeep, children, follow, too_d
 from docloom.plans.selectors import Selector, is_selector, parse
 
 VISIT = "struct<selector:string,phase:string,path:array<string>,property:string,value:string,schema:string,output:string>"
+VISIT_FIELDS = ("selector", "phase", "path", "property", "value", "schema", "output")
 NONE = f"cast(array() as array<{VISIT}>)"
 
 

@@ -348,7 +348,7 @@ def _forms(spark: SparkSession, d: str) -> DataFrame:
     """Handlers called at each visit, prepared ones of two arguments, and both forms by name."""
     selectors = {"[items]": {"prepare": lambda s, c: None}, ":item": {"inline": lambda s, v, c: v}, "[type]": lambda s, v, c: "r", "[maximum]": lambda s, c: lambda _s, v, _c: s["maximum"] - v}
     walk = RuntimeWalk({"items": {"type": "integer", "maximum": 9}}, selectors)
-    rows = X.arrays(spark, d).select("event_id", F.posexplode(walk.visits(F.to_json("doc"))).alias("seq", "visit"))
+    rows = X.arrays(spark, d).select("event_id", F.posexplode(walk.visits(F.to_json("doc"), ["selector", "output"])).alias("seq", "visit"))
     return rows.select("event_id", F.col("seq").cast("long").alias("seq"), "visit.selector", "visit.output")
 
 
@@ -359,7 +359,7 @@ SQL["handler_forms"] = f"""select event_id, 0::bigint as seq, '[items]' as selec
 
 def _deep_visits(spark: SparkSession, d: str) -> DataFrame:
     walk = RuntimeWalk(CHAIN, {"[type=integer]": lambda s, v, c: len(c.path)})
-    rows = X.deep(spark, d).select("event_id", F.explode(walk.visits(F.to_json("doc"))).alias("visit"))
+    rows = X.deep(spark, d).select("event_id", F.explode(walk.visits(F.to_json("doc"), ["path", "value", "output"])).alias("visit"))
     return rows.select("event_id", F.array_join("visit.path", "/").alias("path"), "visit.value", "visit.output")
 
 

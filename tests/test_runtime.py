@@ -180,6 +180,26 @@ def test_handler_forms_are_told_apart_once(monkeypatch):
     assert len(asked) <= 1  # of the callable object
 
 
+def test_visits_cost_what_is_asked_for(monkeypatch):
+    """Forms and texts of a dict's selectors are read once a batch, and only the fields named are made, in any order, as among all."""
+    asked = []
+    for name in ("_form", "is_selector", "compact"):
+        monkeypatch.setattr(runtime, name, lambda x, name=name, real=getattr(runtime, name): asked.append(name) or real(x))
+    monkeypatch.setattr(F, "arrow_udf", lambda fn, kind: lambda text: fn)
+    selectors = {"[items]": {"prepare": lambda s, c: None}, ":item": {"inline": lambda s, v, c: v}, "[type]": lambda s, v, c: "r", "[maximum]": lambda s, c: lambda _s, v, _c: s["maximum"] - v}
+    walk = RuntimeWalk({"items": {"type": "integer", "maximum": 9}}, selectors)
+    texts = pa.array([json.dumps(list(range(i % 5))) for i in range(100)] + [None, "[]", "3"])
+    whole = walk.visits(None)(texts).to_pylist()
+    asked.clear()
+    got = walk.visits(None, ["output", "selector"])(texts)
+    assert len(asked) <= 8 and "compact" not in asked
+    assert got.to_pylist() == [None if v is None else [{k: x[k] for k in ("output", "selector")} for x in v] for v in whole]
+    assert walk.visits(None, ["path"])(texts).to_pylist() == [None if v is None else [{"path": x["path"]} for x in v] for v in whole]
+    for wrong in ([], ["paths"], ["path", "path"]):
+        with pytest.raises(ValueError):
+            walk.visits(None, wrong)
+
+
 def test_selectors_made_for_each_document_are_read_once(monkeypatch):
     """State is each document's own, but selectors' texts, children and branches are worked out once for a batch."""
     asked = []
