@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.documents import dealt
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def poly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, deal: bool) -> DataFrame:
+    """deal: whether the rows go on to a walk over single values."""
+    found = table(spark, sf_dir, "events")
+    return dealt(found, "event_id") if deal else found
+
+
+def poly(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     """events as documents whose `p` is, by event_id % 8: null, true, integer, fraction, string, array, object, absent."""
     kinds = """case event_id % 8
         when 0 then 'null' when 1 then 'true' when 2 then cast(event_id as string) when 3 then concat(cast(event_id as string), '.5')
         when 4 then concat('"', event_type, '"') when 5 then concat('[', user_id % 3, ',', event_id % 3, ',7]') when 6 then concat('{"a":', event_id % 5, ',"b":"x"}') end"""
     text = f"case when event_id % 8 = 7 then '{{}}' else concat('{{\"p\":', {kinds}, '}}') end"
-    return table(spark, sf_dir, "events").select("event_id", F.expr(f"parse_json({text})").alias("doc"))
+    return events(spark, sf_dir, deal).select("event_id", F.expr(f"parse_json({text})").alias("doc"))
 
 
-def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arrays(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     """events as arrays of event_id % 5 numbers: user_id % 3, event_id % 3, event_id % 2, 7."""
     parts = "slice(array(user_id % 3, event_id % 3, event_id % 2, 7), 1, cast(event_id % 5 as int))"
-    return table(spark, sf_dir, "events").select("event_id", F.expr(f"parse_json(to_json({parts}))").alias("doc"))
+    return events(spark, sf_dir, deal).select("event_id", F.expr(f"parse_json(to_json({parts}))").alias("doc"))
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +44,13 @@ def strings(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.expr(sql).alias("s"))
 
 
-def nested(spark: SparkSession, sf_dir: str, levels: int = 4) -> DataFrame:
+def nested(spark: SparkSession, sf_dir: str, levels: int = 4, deal: bool = False) -> DataFrame:
     """events as chains of `next`, event_id % levels deep; the innermost `v` is a string for every 3rd event."""
     n = f"cast(event_id % {levels} as int)"
     body = f"concat(repeat('{{\"v\":1,\"next\":', {n}), if(event_id % 3 = 0, '{{\"v\":\"s\"}}', '{{\"v\":2}}'), repeat('}}', {n}))"
-    return table(spark, sf_dir, "events").select("event_id", F.expr(f"parse_json({body})").alias("doc"))
+    return events(spark, sf_dir, deal).select("event_id", F.expr(f"parse_json({body})").alias("doc"))
 
 
-def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deep(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     """Chains of up to 20 levels, more than recursion is unrolled to."""
-    return nested(spark, sf_dir, 21)
+    return nested(spark, sf_dir, 21, deal)

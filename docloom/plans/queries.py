@@ -173,7 +173,7 @@ on_poly("walk_aggregate", {"anyOf": [{"type": "string"}, {"type": "array", "item
 
 CHAIN = {"properties": {"v": {"type": "integer"}, "next": {"$ref": "#/definitions/link"}}, "definitions": {"link": {"properties": {"v": {"type": "integer"}, "next": {"$ref": "#/definitions/link"}}}}}
 check("walk_recursion", X.nested, "event_id", "doc", CHAIN, "events", ("event_id % 3 = 0", "integer"), options=LIMIT_OPTIONS)
-check("v_recursion_deep", X.deep, "event_id", "doc", CHAIN, "events", ("event_id % 3 = 0", "integer"))
+check("v_recursion_deep", lambda spark, d: X.deep(spark, d, deal=True), "event_id", "doc", CHAIN, "events", ("event_id % 3 = 0", "integer"))
 on_poly("walk_ref", {"$ref": "#/definitions/a~1b"}, ("k not in (4, 7)", "string"), root={"definitions": {"a/b": {"type": "string"}}})
 on_poly("walk_ref_remote", {"$ref": "http://s.example/t#/types/0"}, ("k not in (2, 3, 7)", "number"), options=Options(loader=lambda uri: {"types": [{"type": "number"}]}))
 
@@ -270,7 +270,7 @@ normal("n_to_array", {"type": "array", "items": {"type": "string"}}, "case k whe
 normal("n_items", {"items": {"type": "boolean"}}, f"case when k = 5 then '[' || (user_id % 3 <> 0) || ',' || (event_id % 3 <> 0) || ',true]' else {_SAME} end")
 normal("n_result", {}, "case when k = 7 then '\"root\"' end || '' ", root={"default": "unused", "properties": {"q": {}}})
 SQL["n_result"] = "select event_id, '{}' as out from events"
-QUERIES["n_recursion_deep"] = lambda spark, d: X.deep(spark, d).select("event_id", F.to_json(Normalizer(CHAIN).column(F.col("doc"))).alias("out"))
+QUERIES["n_recursion_deep"] = lambda spark, d: X.deep(spark, d, deal=True).select("event_id", F.to_json(Normalizer(CHAIN).column(F.col("doc"))).alias("out"))
 SQL["n_recursion_deep"] = """select event_id, case when n = 0 then '{"next":{},' else repeat('{"next":', n) || '{' end || '"v":' || case when event_id % 3 = 0 then 'null' else '2' end || '}' || repeat(',"v":1}', n) as out
   from (select event_id, (event_id % 21)::int as n from events)"""
 
@@ -337,7 +337,7 @@ class _Collected:
 
 def _compiled(spark: SparkSession, d: str) -> DataFrame:
     walk = RuntimeWalk({"properties": {"p": {"either": [{"type": "integer"}, {"type": "string"}, {"items": {"type": "integer"}}]}}}, _Collected)
-    return X.poly(spark, d).select("event_id", walk.results(F.to_json("doc")).alias("out"))
+    return X.poly(spark, d, deal=True).select("event_id", walk.results(F.to_json("doc")).alias("out"))
 
 
 QUERIES["ctx_compile"] = _compiled
@@ -348,7 +348,7 @@ def _forms(spark: SparkSession, d: str) -> DataFrame:
     """Handlers called at each visit, prepared ones of two arguments, and both forms by name."""
     selectors = {"[items]": {"prepare": lambda s, c: None}, ":item": {"inline": lambda s, v, c: v}, "[type]": lambda s, v, c: "r", "[maximum]": lambda s, c: lambda _s, v, _c: s["maximum"] - v}
     walk = RuntimeWalk({"items": {"type": "integer", "maximum": 9}}, selectors)
-    rows = X.arrays(spark, d).select("event_id", F.posexplode(walk.visits(F.to_json("doc"), ["selector", "output"])).alias("seq", "visit"))
+    rows = X.arrays(spark, d, deal=True).select("event_id", F.posexplode(walk.visits(F.to_json("doc"), ["selector", "output"])).alias("seq", "visit"))
     return rows.select("event_id", F.col("seq").cast("long").alias("seq"), "visit.selector", "visit.output")
 
 
@@ -359,7 +359,7 @@ SQL["handler_forms"] = f"""select event_id, 0::bigint as seq, '[items]' as selec
 
 def _deep_visits(spark: SparkSession, d: str) -> DataFrame:
     walk = RuntimeWalk(CHAIN, {"[type=integer]": lambda s, v, c: len(c.path)})
-    rows = X.deep(spark, d).select("event_id", F.explode(walk.visits(F.to_json("doc"), ["path", "value", "output"])).alias("visit"))
+    rows = X.deep(spark, d, deal=True).select("event_id", F.explode(walk.visits(F.to_json("doc"), ["path", "value", "output"])).alias("visit"))
     return rows.select("event_id", F.array_join("visit.path", "/").alias("path"), "visit.value", "visit.output")
 
 

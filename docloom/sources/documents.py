@@ -29,3 +29,13 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
 def write_json(df: DataFrame, column: str, path: str) -> None:
     """A VARIANT column as JSON lines."""
     df.select(F.to_json(F.col(column)).alias("value")).write.text(path)
+
+
+def dealt(df: DataFrame, key: str, parts_a_core: int = 4) -> DataFrame:
+    """The rows dealt by a key that few of them share, for a walk over single values, which costs far more than moving them.
+
+    A file is read by no more tasks than it has row groups, however many cores there are. A table in so many parts that each
+    core gets several stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= parts_a_core * cores else df.repartition(parts_a_core * cores, key)

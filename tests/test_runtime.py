@@ -11,10 +11,11 @@ from docloom.operators import runtime
 from docloom.operators.normalize import Normalizer, Remove, Replace, Rewriter
 from docloom.operators.runtime import NORMALIZING, RuntimeWalk, deep_normalizer
 from docloom.operators.walk import STOP
-from docloom.plans import pyeval
+from docloom.plans import pyeval, queries
 from docloom.plans.nodes import Options
 from docloom.plans.pyeval import deep_validator
 from docloom.plans.refs import resolve
+from docloom.sources.documents import dealt
 
 
 def test_handlers_see_and_change(spark):
@@ -236,3 +237,13 @@ def test_the_evaluator_reads_the_schema_once(monkeypatch):
     assert len(asked) <= 2
     unread = {"patternProperties": {"(": {}}, "additionalProperties": {}}
     assert pyeval.Evaluator(unread).errors(5) == [] and RuntimeWalk(unread, {"[x]": lambda s, v, c: 1}).run(5) == 5 and runtime.NormalizingWalk(unread).run(5) == 5
+
+
+def test_walks_over_single_values_use_all_cores(spark, tmp_path):
+    """Also where a table is one file of one row group, which one task reads; a table in several parts a core is not moved."""
+    spark.range(4000).selectExpr("id as event_id", "id % 7 as user_id", "'x' as event_type").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("handler_forms", "walk_recursion_deep", "ctx_compile", "n_recursion_deep"):
+        rows = queries.QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert len(rows) > spark.sparkContext.defaultParallelism, name
+    many = spark.range(0, 4000, 1, 4 * spark.sparkContext.defaultParallelism)
+    assert dealt(many, "id") is many and dealt(many.coalesce(2), "id").count() == 4000
