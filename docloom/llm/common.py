@@ -7,6 +7,7 @@ columns, whatever they are called, cannot clash with what it adds.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -111,7 +112,9 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums, from which the hash of any slice follows in constant time."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
+    terms = np.add(data, np.uint64(1), dtype=np.uint64)
+    terms *= powers(len(data))
+    np.cumsum(terms, out=out[1:])
     return out
 
 
@@ -173,8 +176,9 @@ class Words:
     """Words of a chunk: starts and ends in its bytes, and for each document its first word's number."""
 
     def __init__(self, chunk: Chunk, table: tuple[np.ndarray, np.ndarray] = SPACED):
-        self.norm = table[0][chunk.data]
-        inside = np.concatenate(([False], table[1][chunk.data], [False]))
+        data = chunk.data.tobytes()
+        self.norm = np.frombuffer(data.translate(table[0].tobytes()), np.uint8)
+        inside = np.concatenate(([False], np.frombuffer(data.translate(table[1].tobytes()), bool), [False]))
         edges = chunk.offsets[:-1]
         edges = edges[edges < len(chunk.data)]
         cut = np.zeros(len(chunk.data) + 2, bool)
@@ -210,6 +214,22 @@ def union_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[np.concatenate(([0], new))], reach[np.concatenate((new - 1, [len(reach) - 1]))]
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which freed memory goes back to the system: a worker lives on for later tasks, and what it keeps counts as the executor's."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+        if trim is not None:
+            trim(0)
+
+    return released
+
+
 # ---------------------------------------------------------------- bounded broadcasts
 
 
@@ -249,16 +269,19 @@ class Lookup:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key in the table, or -1."""
-        at = np.full(len(keys), -1, np.int64)
-        bucket = (keys >> self.shift).astype(np.int64)
-        place, stop = self.begin[bucket], self.begin[bucket + 1]
-        todo = np.flatnonzero(place < stop)
+        if not len(self.table):
+            return np.full(len(keys), -1, np.int64)
+        bucket = (keys >> self.shift).view(np.int64)
+        place = self.begin[bucket]
+        # an empty bucket's place is another's, whose keys have other leading bits
+        hit = self.table.take(place, mode="clip") == keys
+        at = np.where(hit, place, -1).astype(np.int64)
+        todo = np.flatnonzero(~hit)
+        here, stop = place[todo] + 1, self.begin[bucket[todo] + 1]
         while len(todo):
-            here = place[todo]
+            more = here < stop
+            todo, here, stop = todo[more], here[more], stop[more]
             hit = self.table[here] == keys[todo]
             at[todo[hit]] = here[hit]
-            todo, here = todo[~hit], here[~hit] + 1
-            more = here < stop[todo]
-            todo, here = todo[more], here[more]
-            place[todo] = here
+            todo, here, stop = todo[~hit], here[~hit] + 1, stop[~hit]
         return at

@@ -26,7 +26,7 @@ any length are scored whole. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Lookup, Scratch, Words, as_i64, blocks_for, chunks, mix, segment_sum
+from docloom.llm.common import Lookup, Scratch, Words, as_i64, blocks_for, chunks, mix, releasing, segment_sum
 
 ALPHA = 0.1
 MIN_COUNT = 10
@@ -49,10 +49,14 @@ BLOCK_BYTES = 8 << 20
 TREE_BYTES = 16 << 20
 #: Bytes of a block of candidates, 16 bytes each, that a counting pass looks up.
 CANDIDATE_BYTES = 32 << 20
+#: Texts are worked on in runs of about this many bytes; the arrays of a larger one leave the processor's cache.
+RUN_BYTES = 1 << 18
 #: Distinct keys that a counting task holds before it passes them on.
 HELD_KEYS = 1 << 21
 #: Rare words and states that a scoring task holds before it asks for them.
 HELD_ASKED = 1 << 19
+#: Bytes of packed arrays that a task hands to Spark at once, or one array if it is larger.
+BATCH_BYTES = 4 << 20
 #: Hash buckets of the counts for each part of the texts.
 BUCKETS_PER_PART = 4
 #: The filter of rare words or states: bits a key, up to a most, and those of a block, in which all of a key's are.
@@ -125,36 +129,53 @@ def merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Counter:
-    """Counts of (a, b) pairs, merged as they come and passed on in hash buckets when there are many."""
+    """Counts of (a, b) pairs, merged as they come and passed on in hash buckets when there are many. Buckets are merged one by one: only the pairs themselves are held at once."""
 
     def __init__(self, n_buckets: int, most: int = HELD_KEYS):
         self.parts, self.size, self.n_buckets, self.most = [], 0, n_buckets, most
 
     def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(merged(a, b, np.ones(len(a), np.int64)))
-        self.size += len(self.parts[-1][0])
+        self._hold(*merged(a, b, np.ones(len(a), np.uint32)))
         if self.size > 2 * self.most:
-            held = self._merge()
-            if len(held[0]) > self.most:
-                yield self._dealt(*held)
+            held = list(self._merged())
+            if sum(len(a) for _, a, _, _ in held) > self.most:
+                yield from self._dealt(held)
             else:
-                self.parts, self.size = [held], len(held[0])
+                self._hold(*(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
 
-    def _merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts, self.parts, self.size = self.parts, [], 0
-        return merged(*(np.concatenate(c) for c in zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def _hold(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        """Pairs in the order of their keys, whose leading bits choose the bucket."""
+        bucket = ((entry(a.astype(np.uint64), b) >> np.uint64(32)) * np.uint64(self.n_buckets)) >> np.uint64(32)
+        self.parts.append((a, b, n.astype(np.uint32), np.searchsorted(bucket, np.arange(self.n_buckets + 1, dtype=np.uint64))))
+        self.size += len(a)
 
-    def _dealt(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        bucket = (mix(a.astype(np.uint64) + b, 32) % np.uint64(self.n_buckets)).astype(np.int64)
-        order = np.lexsort((a, bucket))
-        a, b, n, bucket = a[order], b[order], n[order].astype(np.uint32), bucket[order]
-        at = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-        cut = lambda x, pack: pa.array([pack(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), cut(a, packed_steps), cut(b, np.ndarray.tobytes), cut(n, packed)], ["bucket", "a", "b", "n"])
+    def _merged(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """What is held of each bucket; the counter lets go of it."""
+        parts, self.parts, self.size = self.parts, [], 0
+        for bucket in range(self.n_buckets):
+            own = [tuple(x[at[bucket] : at[bucket + 1]] for x in columns) for *columns, at in parts if at[bucket] < at[bucket + 1]]
+            if own:
+                yield bucket, *merged(*(np.concatenate(c) for c in zip(*own, strict=True)))
+
+    def _dealt(self, held: Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            bucket, *blobs = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "a", "b", "n"])
+
+        for bucket, a, b, n in held:
+            order = np.argsort(a, kind="stable")
+            rows.append((bucket, packed_steps(a[order]), b[order].tobytes(), packed(n[order].astype(np.uint32))))
+            size += sum(map(len, rows[-1][1:]))
+            if size > BATCH_BYTES:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            yield self._dealt(*self._merge())
+        yield from self._dealt(self._merged())
 
 
 def count(texts: DataFrame, keys, rows, schema: str) -> DataFrame:
@@ -164,14 +185,14 @@ def count(texts: DataFrame, keys, rows, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter(n_buckets)
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
+            for chunk in chunks(batch.column(0), RUN_BYTES):
                 yield from held.add(*keys(chunk))
         yield from held.rest()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(blobs: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        def done(blobs: list[list[pa.Buffer]]) -> Iterator[pa.RecordBatch]:
             a = np.concatenate([unpacked_steps(x, np.uint32) for x, _, _ in blobs])
-            b = np.frombuffer(b"".join(x for _, x, _ in blobs), np.uint64)
+            b = np.concatenate([np.frombuffer(x, np.uint64) for _, x, _ in blobs])
             n = np.concatenate([unpacked(x, np.uint32) for _, _, x in blobs])
             got = rows(*merged(a, b, n.astype(np.int64)))
             for i in range(0, got.num_rows, 1 << 17):
@@ -179,16 +200,17 @@ def count(texts: DataFrame, keys, rows, schema: str) -> DataFrame:
 
         at, blobs = None, []
         for batch in batches:
-            for bucket, *blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            buckets, *columns = batch.columns
+            for i, bucket in enumerate(buckets.to_pylist()):
                 if bucket != at and blobs:
                     yield from done(blobs)
                     blobs = []
                 at = bucket
-                blobs.append(blob)
+                blobs.append([x[i].as_buffer() for x in columns])  # views: a batch may hold a whole partition
         if blobs:
             yield from done(blobs)
 
-    dealt = texts.mapInArrow(run, "bucket int, a binary, b binary, n binary").repartition(n_buckets, "bucket")
+    dealt = texts.mapInArrow(releasing(run), "bucket int, a binary, b binary, n binary").repartition(n_buckets, "bucket")
     return dealt.sortWithinPartitions("bucket").mapInArrow(add, schema)
 
 
@@ -477,6 +499,14 @@ def parcels(kind: int, h: np.ndarray, columns: list[np.ndarray], n_buckets: int,
     return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(np.full(rows, kind, np.int32)), *arrays], ["bucket", "kind", "a", "b", "n"])
 
 
+def padded(parcel: pa.RecordBatch, blank: list[pa.Field]) -> Iterator[pa.RecordBatch]:
+    """Parcels with nulls for the documents' columns, some bytes of them at once."""
+    out = pa.RecordBatch.from_arrays([*parcel.columns, *(pa.nulls(parcel.num_rows, f.type) for f in blank)], [*parcel.schema.names, *(f.name for f in blank)])
+    step = max(1, parcel.num_rows * BATCH_BYTES // max(1, parcel.nbytes))
+    for i in range(0, parcel.num_rows, step):
+        yield out.slice(i, step)
+
+
 def _model_parcels(model: Model, word_cut: int, tree_cut: int, n_buckets: int) -> DataFrame:
     """The words and tree rows that are not broadcast, dealt by the hash of the word or state."""
 
@@ -512,7 +542,7 @@ def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str
     n_buckets = BUCKETS_PER_PART * max(1, rows.rdd.getNumPartitions())
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     result = kept + "n_tokens long, n_known long, base_score double, score double"
-    got = rows.mapInArrow(_first_pass(spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(tree), n_buckets), f"{PARCEL}, {result}")
+    got = rows.mapInArrow(releasing(_first_pass(spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(tree), n_buckets)), f"{PARCEL}, {result}")
     carried = rows.columns[1:-1]
     if word_cut or tree_cut:
         got = got.unionByName(_model_parcels(model, word_cut, tree_cut, n_buckets), allowMissingColumns=True)
@@ -533,21 +563,18 @@ def _first_pass(words, tree, n_buckets: int):
         held: list[tuple[np.ndarray, ...]] = []
         size, blank = 0, None
 
-        def padded(parcel: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*parcel.columns, *(pa.nulls(parcel.num_rows, f.type) for f in blank)], [*parcel.schema.names, *(f.name for f in blank)])
-
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 w, w_row, h, t, row = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
                 if len(w):
-                    yield padded(parcels(ASKED_WORD, w, [w], n_buckets, w_row))
+                    yield from padded(parcels(ASKED_WORD, w, [w], n_buckets, w_row), blank)
                 if len(h):
-                    yield padded(parcels(ASKED_STATE, h, [h, t], n_buckets, row))
+                    yield from padded(parcels(ASKED_STATE, h, [h, t], n_buckets, row), blank)
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for chunk in chunks(batch.column(batch.num_columns - 1)):
+            for chunk in chunks(batch.column(batch.num_columns - 1), RUN_BYTES):
                 t, at, place = tokens(chunk)
                 found = word.find(t)
                 c = np.where(found >= 0, n[found] if len(n) else 0, 0)
@@ -600,7 +627,9 @@ def _answer(n_buckets: int):
     """Rows by bucket and kind: a bucket's part of the model first, then what is asked of it; documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers, at, part, tables, blank = Answers(), None, {}, {}, None
+        answers, at, of, part, tables, blank = Answers(), None, None, {}, {}, None
+        asked: list[tuple[np.ndarray, ...]] = []  # of one bucket and kind
+        n_asked = 0
 
         def table(kind: int) -> tuple[Lookup, np.ndarray]:
             if kind not in tables:
@@ -616,7 +645,30 @@ def _answer(n_buckets: int):
             answers.parts, answers.size = [], 0
             # where the documents are dealt; a sum and the change of it side by side
             out = parcels(SUMS, row.view(np.uint64), [known, np.stack((base, change), 1)], n_buckets, row)
-            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(out.num_rows, f.type) for f in blank)], [*out.schema.names, *(f.name for f in blank)])
+            yield from padded(out, blank)
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            nonlocal n_asked
+            if not asked:
+                return
+            h, row = (np.concatenate(x) for x in list(zip(*asked, strict=True))[:2])
+            t = np.concatenate([x for _, _, x in asked]) if of == ASKED_STATE else None
+            asked.clear()
+            n_asked = 0
+            keys, x = table(WORD if of == ASKED_WORD else STATE)
+            found = keys.find(h)
+            hit = found >= 0
+            h, row, x = h[hit], row[hit], x[found[hit]]
+            if of == ASKED_WORD:
+                answers.add(row, 1, x, np.zeros(len(row)))
+            else:
+                lifts, lift = table(ENTRY)
+                e = lifts.find(entry(h, t[hit]))
+                answers.add(row, 0, np.zeros(len(row)), np.where(e >= 0, lift[e], x) if len(lift) else x)
+            if answers.size > HELD_KEYS:
+                answers.summed()
+                if answers.size > HELD_KEYS // 2:
+                    yield from sent()
 
         for batch in batches:
             kinds = batch.column(1).to_numpy()
@@ -628,26 +680,19 @@ def _answer(n_buckets: int):
             for i in np.flatnonzero(kinds != DOCUMENT).tolist():
                 bucket, kind = buckets[i].as_py(), kinds[i]
                 a, b, n = (x[i].as_buffer() for x in blobs)  # views: a batch may hold a whole partition
+                if (bucket, kind) != (at, of):
+                    yield from answered()
+                    of = kind
                 if bucket != at:
                     at, part, tables = bucket, {}, {}
                 if kind <= ENTRY:
                     part.setdefault(kind, []).append((np.frombuffer(a, np.uint64).copy(), np.frombuffer(b, np.float64).copy()))
                     continue
-                h, row = np.frombuffer(a, np.uint64), unpacked_steps(n, np.uint64).view(np.int64)
-                keys, x = table(WORD if kind == ASKED_WORD else STATE)
-                found = keys.find(h)
-                hit = found >= 0
-                h, row, x = h[hit], row[hit], x[found[hit]]
-                if kind == ASKED_WORD:
-                    answers.add(row, 1, x, np.zeros(len(row)))
-                else:
-                    lifts, lift = table(ENTRY)
-                    e = lifts.find(entry(h, np.frombuffer(b, np.uint64)[hit]))
-                    answers.add(row, 0, np.zeros(len(row)), np.where(e >= 0, lift[e], x) if len(lift) else x)
-                if answers.size > HELD_KEYS:
-                    answers.summed()
-                    if answers.size > HELD_KEYS // 2:
-                        yield from sent()
+                asked.append((np.frombuffer(a, np.uint64), unpacked_steps(n, np.uint64).view(np.int64), np.frombuffer(b, np.uint64) if kind == ASKED_STATE else None))
+                n_asked += len(asked[-1][0])
+                if n_asked > HELD_ASKED:
+                    yield from answered()
+            yield from answered()  # the batch goes
         if answers.size:
             yield from sent()
 

@@ -630,6 +630,31 @@ def test_tree_grows_with_the_input(spark):
     assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
 
 
+def test_counts_are_passed_on_without_a_copy_of_all():
+    """A counting task holds its pairs; passing them on takes little more, and Spark gets some MB at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    counter = suffix_tree_lm.Counter(64)
+    pairs = [(rng.integers(0, 1000, 1 << 17).astype(np.uint32), rng.integers(0, 1 << 40, 1 << 17).astype(np.uint64)) for _ in range(8)]
+    assert not [x for p in pairs + pairs[:2] for x in counter.add(*p)]
+    total = sizes = 0
+    tracemalloc.start()
+    for batch in counter.rest():
+        assert batch.nbytes < 6 << 20
+        sizes += 1
+        for a, b, n in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n")), strict=True):
+            a, b, n = suffix_tree_lm.unpacked_steps(a, np.uint32), np.frombuffer(b, np.uint64), suffix_tree_lm.unpacked(n, np.uint32)
+            total += int(np.sum(n * suffix_tree_lm.entry(a.astype(np.uint64), b)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes > 2 and peak < 24 << 20, peak
+    want = sum(int(np.sum(suffix_tree_lm.entry(a.astype(np.uint64), b))) for a, b in pairs + pairs[:2])
+    assert total % 2**64 == want % 2**64
+
+
 def test_scores_match_a_plain_walk_of_the_tree(spark):
     """Each token is scored by the longest kept suffix before it, its probability built up from the unigram's, whether rows are broadcast or dealt."""
     import numpy as np
